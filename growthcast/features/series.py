@@ -62,7 +62,7 @@ def entity_table(papers: DataFrame, key: str, series: str, axis: TimeAxis) -> Da
         at(series, axis, axis.source - 1).cast("double").alias("delta_1"),
         (base / age).alias("average"), age.alias("age"),
         increments_to_source(series, axis).alias("inc"),
-        *responses(series, axis, "y_"))
+        *[upto(series, axis, axis.source + h).cast("double").alias(f"y_{h}") for h in range(1, axis.horizons + 1)])
 
 
 def first_period_links(events: DataFrame, axis: TimeAxis, paper: str = "pid", author: str = "sid") -> DataFrame:
