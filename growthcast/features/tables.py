@@ -25,9 +25,14 @@ def author_measures(links: DataFrame, papers: DataFrame, axis: TimeAxis) -> Data
     return group_measures(links, paper_facts(papers, axis), "sid", axis)
 
 
+def ranked(measures: DataFrame, value: str, out: str) -> DataFrame:
+    """Measures with their 0-1 rank; written first, since ranking reads them more than once."""
+    return percent_rank(materialise(measures, "measures"), value, out)
+
+
 def venue_measures(venue_of: DataFrame, papers: DataFrame, axis: TimeAxis) -> DataFrame:
     table = group_measures(venue_of, paper_facts(papers, axis), "venue", axis)
-    return percent_rank(table, "mean_citations", "rank")
+    return ranked(table, "mean_citations", "rank")
 
 
 VENUE_COLUMNS = {
@@ -69,9 +74,9 @@ def author_table(links: DataFrame, papers: DataFrame, venue_of: DataFrame, axis:
                  iterations: int = 20) -> DataFrame:
     """The 44 author features, keyed by ``sid``."""
     measures = author_measures(links, papers, axis)
-    ranked = percent_rank(measures, "mean_citations_per_year", "author_mean_citation_rank")
-    own = ranked.select("sid", "author_mean_citation_rank",
-                        *[F.col(c).alias(a) for a, c in AUTHOR_COLUMNS.items()])
+    own = ranked(measures, "mean_citations_per_year", "author_mean_citation_rank").select(
+        "sid", "author_mean_citation_rank",
+        *[F.col(c).alias(a) for a, c in AUTHOR_COLUMNS.items()])
     at_venues = author_venue_features(links, venue_of, venue_measures(venue_of, papers, axis))
     return own.join(author_network_features(links, axis, iterations), "sid").join(at_venues, "sid")
 
@@ -120,7 +125,7 @@ def paper_venue_features(venue_of: DataFrame, venues: DataFrame) -> DataFrame:
 def paper_table(links: DataFrame, papers: DataFrame, venue_of: DataFrame, axis: TimeAxis,
                 iterations: int = 20) -> DataFrame:
     """The 63 paper features, keyed by ``pid``."""
-    measures = percent_rank(author_measures(links, papers, axis), "mean_citations", "rank")
+    measures = ranked(author_measures(links, papers, axis), "mean_citations", "rank")
     authors = materialise(measures.join(author_network_features(links, axis, iterations), "sid"), "authors")
     columns = {**PAPER_AUTHOR_COLUMNS, **PAPER_NETWORK_COLUMNS, "author_mean_citation_rank": "rank"}
     return (paper_own_features(papers, venue_of, axis)

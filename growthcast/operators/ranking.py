@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BUCKETS = 128
+ONE_TASK_ROWS = 100_000  # up to this many values are ranked by a single task
 
 
 def top_n(df: DataFrame, n: int, by: Column, cells: Sequence[str] = (), tie: str = "row_id") -> DataFrame:
@@ -35,10 +36,11 @@ def argmax_row(df: DataFrame, value: str, cells: Sequence[str], key: str = "row_
 
 
 def _edges(df: DataFrame, value: str, buckets: int) -> list[float]:
-    """Bucket boundaries near the quantiles; at most ``buckets`` numbers."""
+    """Bucket boundaries near the quantiles; at most ``buckets`` numbers, none for few values."""
     steps = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(F.col(value), steps, 10 * buckets).alias("q")).first()
-    return sorted(set(row.q or []))
+    row = df.agg(F.count(value).alias("n"),
+                 F.percentile_approx(F.col(value), steps, 10 * buckets).alias("q")).first()
+    return [] if row.n <= ONE_TASK_ROWS else sorted(set(row.q))
 
 
 def _bucket(value: str, edges: list) -> Column:

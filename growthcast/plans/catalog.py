@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from growthcast.models.baselines import SimpleLinear
 from growthcast.operators.metrics import mape_with_error
-from growthcast.plans import ctes, frames, queries_metrics, queries_features, queries_relational  # noqa: F401
+from growthcast.plans import ctes, frames, queries_metrics, queries_features, queries_models, queries_relational  # noqa: F401
 from growthcast.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from growthcast.features import coauthors as CO, groups as GR, series as SE, tables as FT
-from growthcast.operators.ranking import percent_rank
 from growthcast.plans import fixture as fx
 from growthcast.plans.queries_metrics import r
 from growthcast.plans.queries_relational import joined, _HIST
@@ -94,12 +93,12 @@ author_query("d11_author_max_citations", ["max_single_paper_citations"])
 
 @query("d12_author_rank_per_year", "SELECT sid, round(percent_rank() OVER (ORDER BY mean_citations_per_year), 6) AS rank FROM am")
 def d12(spark, sf):
-    return percent_rank(authors(spark, sf), "mean_citations_per_year", "rank").select("sid", r("rank"))
+    return FT.ranked(authors(spark, sf), "mean_citations_per_year", "rank").select("sid", r("rank"))
 
 
 @query("d34_author_rank_per_paper", "SELECT sid, round(rk, 6) AS rank FROM la_rank")
 def d34(spark, sf):
-    return percent_rank(authors(spark, sf), "mean_citations", "rank").select("sid", r("rank"))
+    return FT.ranked(authors(spark, sf), "mean_citations", "rank").select("sid", r("rank"))
 
 
 @query("d13_pagerank_unweighted", f"SELECT sid, round(rank, 9) AS rank FROM pru_{STEPS}")
@@ -194,7 +193,7 @@ SELECT l.pid, {_stats_sql('a.rk', 'rank')}, {_stats_sql('c.coauthors', 'coauthor
 FROM links l JOIN la_rank a ON a.sid = l.sid JOIN recent c ON c.sid = l.sid GROUP BY l.pid""")
 def d27(spark, sf):
     links = fx.authorship(spark, sf)
-    table = percent_rank(authors(spark, sf), "mean_citations", "rank").join(
+    table = FT.ranked(authors(spark, sf), "mean_citations", "rank").join(
         CO.recent_coauthors(links, Q.source - Q.window), "sid")
     names = {"rank": "rank", "coauthors": "coauthors", "max_single": "max_single_paper_citations"}
     feats = FT.paper_author_features(links, table, names)
