@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from growthcast.functions import scalars as S, special as sp
-from growthcast.operators.partials import array_sums
+from growthcast.operators.partials import TASKS, array_sums
 from growthcast.operators.standardise import Scaler, fit_scaler
 from growthcast.session import shared_dir
 
@@ -25,6 +25,7 @@ PRIOR = 10.0                   # m
 FLOOR = 0.001                  # added to the softplus
 MU_MIN, SD_MIN = -1.0, 0.5     # bounds of the per-entity fit
 FIT_STEPS, PREDICT_STEPS = 10, 10_000
+REACH = 10.0                   # farthest a layer weight moves in one round (1000 steps of .01)
 
 
 class Histories:
@@ -230,13 +231,15 @@ def _z(pdf: pd.DataFrame) -> np.ndarray:
     return np.array(pdf["z"].tolist(), dtype=float)
 
 
-def fit_layer(states: DataFrame, weights: np.ndarray, gamma: float, passes: int = 20, tol: float = 1e-7):
+def fit_layer(states: DataFrame, weights: np.ndarray, gamma: float, passes: int = 8, tol: float = 1e-7):
     """Newton steps on the layer weights from distributed sums; returns (weights, loss).
 
     Every pass over the states yields loss, gradient and curvature; a second
-    pass prices eight step lengths at once.
+    pass prices eight step lengths at once. ``passes`` is the budget of one
+    round: entities that grow alike have no finite best (alpha, beta).
     """
-    q = weights.shape[0]
+    q, lo, hi = weights.shape[0], weights - REACH, weights + REACH
+    few = states.rdd.getNumPartitions() <= TASKS  # states are checkpointed: no job runs
 
     def full(w):
         def part(pdf: pd.DataFrame) -> dict[int, np.ndarray]:
@@ -244,7 +247,7 @@ def fit_layer(states: DataFrame, weights: np.ndarray, gamma: float, passes: int
             loss, gu, gv, huu, huv, hvv = _objective(w, gamma, z, pdf["n"].to_numpy(float), pdf["x"].to_numpy(float))
             return {0: np.concatenate([[len(pdf), loss.sum()], z.T @ gu, z.T @ gv, ((z * huu[:, None]).T @ z).ravel(),
                                        ((z * huv[:, None]).T @ z).ravel(), ((z * hvv[:, None]).T @ z).ravel()])}
-        v = array_sums(states.select("z", "n", "x"), part)[0]
+        v = array_sums(states.select("z", "n", "x"), part, few)[0]
         count, g, rest = v[0], v[2:2 + 2 * q], v[2 + 2 * q:].reshape(3, q, q)
         hess = np.block([[rest[0], rest[1]], [rest[1].T, rest[2]]])
         return v[1] / count, g / count, hess / count
@@ -257,7 +260,7 @@ def fit_layer(states: DataFrame, weights: np.ndarray, gamma: float, passes: int
                 a, b = layer(z, w)
                 out.append(float((-gamma_terms(a, b, n, x) + gamma * (a / b) ** 2).sum()))
             return {0: np.array(out)}
-        v = array_sums(states.select("z", "n", "x"), part)[0]
+        v = array_sums(states.select("z", "n", "x"), part, few)[0]
         return v[1:] / v[0]
 
     loss = None
@@ -267,7 +270,7 @@ def fit_layer(states: DataFrame, weights: np.ndarray, gamma: float, passes: int
         step = np.linalg.solve(hess + ridge * np.eye(2 * q), grad).reshape(2, q).T
         if float(np.abs(step.T.ravel() @ grad)) <= tol * max(1.0, abs(loss)):
             break
-        options = [weights - step / 2.0 ** i for i in range(8)]
+        options = [np.clip(weights - step / 2.0 ** i, lo, hi) for i in range(8)]
         found = losses(options)
         best = int(np.nanargmin(found))
         if not found[best] < loss:
