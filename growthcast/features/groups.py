@@ -66,7 +66,7 @@ def group_measures(members: DataFrame, facts: DataFrame, group: str, axis: TimeA
 
 def h_index_by_period(members: DataFrame, papers: DataFrame, group: str, axis: TimeAxis) -> DataFrame:
     """(group, per, h) for every period of the axis in which h is positive."""
-    counts = (members.select("pid", group).join(papers.select("pid", running(F.col("n")).alias("_c")), "pid")
+    counts = (members.select("pid", group).join(papers.select("pid", running("n").alias("_c")), "pid")
               .select(group, F.posexplode("_c").alias("_p", "_v"))
               .select(group, (F.col("_p") + axis.start).alias("per"), "_v"))
     return h_index(counts, [group, "per"], "_v", "h")

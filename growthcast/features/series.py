@@ -14,39 +14,38 @@ from growthcast.config import TimeAxis
 
 def paper_series(events: DataFrame, axis: TimeAxis, key: str = "pid") -> DataFrame:
     """events(key, per, key flag) -> (key, p0, n[], k[]): counts per period start..target."""
-    span = range(axis.start, axis.target + 1)
-    per = F.col("per")
-    return (events.groupBy(key).agg(
-        F.min("per").alias("p0"),
-        F.array(*[F.count_if(per == t) for t in span]).alias("n"),
-        F.array(*[F.count_if((per == t) & F.col("key")) for t in span]).alias("k"))
-        .where(F.col("p0") <= axis.source))
+    def counters(test: str) -> Column:
+        each = (f"count_if(per = {t}{test})" for t in range(axis.start, axis.target + 1))
+        return F.expr(f"array({', '.join(each)})")
+
+    # a series nobody reads is pruned, counters included
+    return (events.groupBy(key)
+            .agg(F.min("per").alias("p0"), counters("").alias("n"), counters(" AND key").alias("k"))
+            .where(F.col("p0") <= axis.source))
 
 
 def upto(series: str, axis: TimeAxis, period: int) -> Column:
-    """Sum of a count series through a period."""
-    return F.aggregate(F.slice(F.col(series), 1, period - axis.start + 1), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    """Sum of a count series through a period, as plain additions."""
+    return F.expr(" + ".join(f"{series}[{i}]" for i in range(period - axis.start + 1)))
 
 
 def at(series: str, axis: TimeAxis, period: int) -> Column:
-    return F.get(F.col(series), F.lit(period - axis.start))
+    return F.expr(f"{series}[{period - axis.start}]")
 
 
 def increments_to_source(series: str, axis: TimeAxis, first: str = "p0") -> Column:
     """Counts from the first period through the source period."""
-    return F.slice(F.col(series), F.col(first) - axis.start + 1, axis.source - F.col(first) + 1)
+    return F.expr(f"slice({series}, {first} - {axis.start} + 1, {axis.source} - {first} + 1)")
 
 
-def running(series: Column) -> Column:
-    """Running sums of an array, one pass."""
-    return F.aggregate(
-        series, F.array().cast("array<bigint>"),
-        lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, F.when(F.size(acc) > 0, -1)), F.lit(0)) + x)))
+def running(series: str) -> Column:
+    """Running sums of an array expression."""
+    return F.expr(f"transform({series}, (x, i) -> aggregate(slice({series}, 1, i + 1), 0L, (s, v) -> s + v))")
 
 
 def history(series: str, axis: TimeAxis, first: str = "p0") -> Column:
     """Dense cumulative history from the first period through the source period."""
-    return running(increments_to_source(series, axis, first))
+    return running(f"slice({series}, {first} - {axis.start} + 1, {axis.source} - {first} + 1)")
 
 
 def responses(series: str, axis: TimeAxis, prefix: str) -> list[Column]:
@@ -55,14 +54,19 @@ def responses(series: str, axis: TimeAxis, prefix: str) -> list[Column]:
 
 def entity_table(papers: DataFrame, key: str, series: str, axis: TimeAxis) -> DataFrame:
     age = (F.lit(axis.source) - F.col("p0") + 1).cast("int")
-    base = upto(series, axis, axis.source)
-    return papers.select(
-        F.col(key).alias("row_id"), base.cast("double").alias("base"),
+    base = F.col("base")
+    # each horizon adds one period to the one before it
+    named = papers.select(
+        F.col(key).alias("row_id"), upto(series, axis, axis.source).cast("double").alias("base"), age.alias("age"), series,
         at(series, axis, axis.source).cast("double").alias("delta"),
         at(series, axis, axis.source - 1).cast("double").alias("delta_1"),
-        (base / age).alias("average"), age.alias("age"),
-        increments_to_source(series, axis).alias("inc"),
-        *[upto(series, axis, axis.source + h).cast("double").alias(f"y_{h}") for h in range(1, axis.horizons + 1)])
+        increments_to_source(series, axis).alias("inc"))
+    later = "base"
+    ys = []
+    for h in range(1, axis.horizons + 1):
+        later += f" + {series}[{axis.source + h - axis.start}]"
+        ys.append(F.expr(later).alias(f"y_{h}"))
+    return named.select("row_id", "base", "delta", "delta_1", (base / F.col("age")).alias("average"), "age", "inc", *ys)
 
 
 def first_period_links(events: DataFrame, axis: TimeAxis, paper: str = "pid", author: str = "sid") -> DataFrame:

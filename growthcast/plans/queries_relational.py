@@ -68,7 +68,7 @@ def s03(spark, sf):
 @query("s04_row_position", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_id, CAST(p_partkey AS VARCHAR) || ':' || p_brand AS value FROM part")
 def s04(spark, sf):
     path = new_table_path(spark, "names")
-    part = spark.read.parquet(f"{sf}/part.parquet")
+    part = fx.table(spark, sf, "part")
     TX.write_lines(part.orderBy("p_partkey").select(F.concat_ws(":", F.col("p_partkey").cast("string"), "p_brand")), path)
     return TX.numbered_lines(spark, path)
 
@@ -136,7 +136,7 @@ def s10(spark, sf):
 
 
 def citation_records(spark, sf, key_only):
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    lines = fx.table(spark, sf, "lineitem")
     if key_only:
         lines = lines.where("l_returnflag = 'R'")
     return G.edge_records(lines.select(F.col("l_orderkey").alias("citing"), F.col("l_partkey").alias("cited"),
@@ -326,7 +326,7 @@ def r07(spark, sf):
 def j01(spark, sf):
     p = fx.papers(spark, sf)
     ent = SE.entity_table(p, "pid", "n", fx.QUARTERS)
-    names = spark.read.parquet(f"{sf}/part.parquet").select(
+    names = fx.table(spark, sf, "part").select(
         F.col("p_partkey").alias("row_id"), F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("id"))
     hist = p.select(F.col("pid").alias("row_id"), joined(SE.history("n", fx.QUARTERS)).alias("hist"))
     return R.align(ent.select("row_id", "base"), ent.select("row_id", "y_10"), hist, names)
@@ -463,7 +463,7 @@ def x09(spark, sf):
 @query("x10_labels", """
 SELECT p_partkey AS row_id, contains(lower(p_name), 'red') AS has, replace(replace(p_brand || ':' || p_type || ',x', ':', '_'), ',', '_') AS label FROM part""")
 def x10(spark, sf):
-    return spark.read.parquet(f"{sf}/part.parquet").select(
+    return fx.table(spark, sf, "part").select(
         F.col("p_partkey").alias("row_id"), S.name_has("p_name", "Red").alias("has"),
         S.normalise_label(F.concat_ws(":", "p_brand", F.concat("p_type", F.lit(",x")))).alias("label"))
 
