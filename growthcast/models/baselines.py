@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from growthcast.functions.scalars import clamp_to_base
 
@@ -62,6 +62,12 @@ class SimpleLinear:
     name: str = "SM"
     params: DataFrame | None = None
 
+    def save(self, path: str) -> None:
+        self.params.write.parquet(path)
+
+    def load(self, spark: SparkSession, path: str) -> "SimpleLinear":
+        return SimpleLinear(self.name, spark.read.parquet(path))
+
     def fit(self, train: DataFrame) -> "SimpleLinear":
         params = _two_regressor_ols(train, ["horizon"], F.col("base"), F.col("delta"), F.col("y"))
         return SimpleLinear(self.name, params)
@@ -80,6 +86,12 @@ class VariableK:
     name: str = "Variable k"
     params: DataFrame | None = None
 
+    def save(self, path: str) -> None:
+        self.params.write.parquet(path)
+
+    def load(self, spark: SparkSession, path: str) -> "VariableK":
+        return VariableK(self.name, spark.read.parquet(path))
+
     def fit(self, train: DataFrame) -> "VariableK":
         x2 = F.col("horizon") * F.col("average")
         one = _two_regressor_ols(train.withColumn("_all", F.lit(1)), ["_all"], F.col("base"), x2, F.col("y"))
@@ -114,34 +126,34 @@ def huber_score(hist: DataFrame, ks: list[float]) -> list[float]:
     return list(hist.agg(*[term(k).alias(f"g{i}") for i, k in enumerate(ks)]).first())
 
 
-def huber_slope(train: DataFrame, points: int = 24, rounds: int = 12) -> float:
-    """Root of the decreasing score g, narrowed ``points + 1``-fold per pass.
+def huber_slope(train: DataFrame, points: int = 24, rounds: int = 20) -> float:
+    """Root of the decreasing score g, over the histogram of (horizon, growth).
 
-    Passes run over the histogram of (horizon, growth). Inside the last
-    bracket the score is linear up to the bracket's width, so one secant step
-    ends the search.
+    Every pass prices a grid inside the bracket together with the secant
+    guess; g is piecewise linear, so the guess is exact once no kink lies
+    inside the bracket.
     """
     hist = train.groupBy("horizon", (F.col("y") - F.col("base")).alias("d")).agg(F.count(F.lit(1)).alias("n"))
     hist = hist.persist()
     try:
-        lo, hi = hist.agg(F.min((F.col("d") - 1) / F.col("horizon")),
-                          F.max((F.col("d") + 1) / F.col("horizon"))).first()
-        g_lo, g_hi = huber_score(hist, [lo, hi])
+        lo, hi, weight = hist.agg(F.min((F.col("d") - 1) / F.col("horizon")), F.max((F.col("d") + 1) / F.col("horizon")),
+                                  F.sum(F.col("n") * F.col("horizon"))).first()
+        g_lo, g_hi = float(weight), -float(weight)  # every term is at its limit outside the kinks
         for _ in range(rounds):
-            if g_lo <= 0 or hi - lo <= 1e-12 * max(1.0, abs(lo), abs(hi)):
+            if hi - lo <= 1e-13 * max(1.0, abs(lo), abs(hi)):
                 break
-            ks = [lo + (hi - lo) * (i + 1) / (points + 1) for i in range(points)]
+            guess = lo + (hi - lo) * g_lo / (g_lo - g_hi)
+            ks = sorted([lo + (hi - lo) * (i + 1) / (points + 1) for i in range(points)] + [guess])
             gs = huber_score(hist, ks)
-            cut = next((i for i, g in enumerate(gs) if g <= 0), points)
-            if cut < points:
+            near = min(range(len(ks)), key=lambda i: abs(gs[i]))
+            if abs(gs[near]) <= 1e-12 * weight:
+                return ks[near]
+            cut = next((i for i, g in enumerate(gs) if g <= 0), len(ks))
+            if cut < len(ks):
                 hi, g_hi = ks[cut], gs[cut]
             if cut > 0:
                 lo, g_lo = ks[cut - 1], gs[cut - 1]
-            slope = g_lo - g_hi
-            guess = lo + (hi - lo) * g_lo / slope if slope > 0 else lo
-            if abs(huber_score(hist, [guess])[0]) <= 1e-9 * max(1.0, abs(slope)):
-                return guess
-        return lo if g_lo <= 0 or g_lo == g_hi else lo + (hi - lo) * g_lo / (g_lo - g_hi)
+        return lo + (hi - lo) * g_lo / (g_lo - g_hi)
     finally:
         hist.unpersist()
 

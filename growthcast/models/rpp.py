@@ -10,11 +10,11 @@ longest in the batch.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from growthcast.functions import scalars as S, special as sp
 from growthcast.operators.partials import TASKS, array_sums
@@ -297,6 +297,18 @@ class PointProcess:
     def name(self) -> str:
         return "RPPNet" if self.features else "RPP"
 
+    def save(self, path: str) -> None:
+        spark = SparkSession.getActiveSession()
+        rows = [(i, float(a), float(b), float(self.loss)) for i, (a, b) in enumerate(self.weights)]
+        spark.createDataFrame(rows, "i int, a double, b double, loss double").write.parquet(f"{path}/layer")
+        if self.scaler:
+            self.scaler.save(spark, f"{path}/scaler")
+
+    def load(self, spark: SparkSession, path: str) -> "PointProcess":
+        rows = sorted(spark.read.parquet(f"{path}/layer").collect())
+        scaler = Scaler.load(spark, f"{path}/scaler") if self.features else None
+        return replace(self, scaler=scaler, weights=np.array([[r["a"], r["b"]] for r in rows]), loss=rows[0]["loss"])
+
     def inputs(self, df: DataFrame, *keep: str) -> DataFrame:
         """(row_id, z, inc): scaled features with a trailing 1, and the history."""
         bias = F.array(F.lit(1.0))
@@ -307,7 +319,7 @@ class PointProcess:
         """train: (row_id, inc, features). Alternates per-entity and shared parameters."""
         shared_dir(train.sparkSession)
         scaler = fit_scaler(train, self.features) if self.features else None
-        model = PointProcess(self.features, self.horizons, self.gamma, self.rounds, scaler)
+        model = replace(self, scaler=scaler)
         lo, hi = S.history_span("inc")
         mu, sd = S.lognormal_start(S.span_mid(lo, hi))
         states = model.inputs(train).select("row_id", "z", "inc", mu.alias("mu"), sd.alias("sd")).checkpoint()
@@ -316,7 +328,7 @@ class PointProcess:
         for _ in range(self.rounds):
             states = fitted_states(states, weights, FIT_STEPS).checkpoint()
             weights, loss = fit_layer(states, weights, self.gamma)
-        return PointProcess(self.features, self.horizons, self.gamma, self.rounds, scaler, weights, loss)
+        return replace(model, weights=weights, loss=loss)
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """rows: (row_id, split, inc, features) -> long predictions."""

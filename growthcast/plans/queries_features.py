@@ -283,3 +283,33 @@ def d37(spark, sf):
     by_period = fx.papers(spark, sf).select("pid", F.map_from_entries(entries).alias("m"))
     shown = F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string")))
     return by_period.select("pid", F.array_join(shown, ",").alias("citations"))
+
+
+cte("a_ent", "SELECT a.sid AS row_id, a.hindex::DOUBLE AS base, a.hindex_delta::DOUBLE AS delta, "
+    + ", ".join(f"y_{h}" for h in range(1, 11)) + " FROM am a JOIN (SELECT sid, "
+    + ", ".join(f"(max(h) FILTER (per = {15 + h}))::DOUBLE AS y_{h}" for h in range(1, 11))
+    + " FROM ah_long GROUP BY sid) y ON y.sid = a.sid WHERE a.hindex >= 4")
+cte("a_spl", """
+SELECT *, CASE WHEN rn <= least(n // 5, 10000) THEN 'test' WHEN rn <= least(n // 5, 10000) + least(n // 10, 10000) THEN 'valid' ELSE 'train' END AS split
+FROM (SELECT *, row_number() OVER (ORDER BY md5(row_id || '-12'), row_id) AS rn, count(*) OVER () AS n FROM a_ent)""")
+cte("a_long", " UNION ALL ".join(f"SELECT row_id, split, base, delta, {h} AS horizon, y_{h} AS y FROM a_spl" for h in range(1, 11)))
+
+
+@query("m16_author_comparison", """
+SELECT 'mape' AS metric, model, split, horizon, round(avg(abs((pred - y) / y)), 6) AS value FROM (
+  SELECT 'F' AS model, split, horizon, y, base AS pred FROM a_long
+  UNION ALL SELECT 'base + h/8', split, horizon, y, base + 0.125e0 * horizon FROM a_long) GROUP BY model, split, horizon""")
+def m16_authors(spark, sf):
+    """The comparison on author h-index, with responses and histories derived here."""
+    from growthcast.config import AUTHOR_HINDEX
+    from growthcast.models.baselines import Constant, PlusK
+    from growthcast.plans import compare as CM
+
+    links, papers = fx.authorship(spark, sf), fx.papers(spark, sf)
+    table = FT.author_measures(links, papers, Q).withColumnRenamed("sid", "row_id")
+    feats = table.select("row_id", F.col("hindex").alias("author_hindex"), F.col("hindex_delta").alias("author_hindex_delta"),
+                         F.col("citations").alias("author_citations"), F.col("age").alias("author_age"))
+    series = GR.h_index_series(links, papers, "sid", Q).withColumnRenamed("sid", "row_id")
+    wide = CM.prepare(feats, series.drop("hist"), series.select("row_id", "hist"), AUTHOR_HINDEX, "author_hindex:4")
+    done = CM.compare(wide, [CM.OnHorizons(Constant()), CM.OnHorizons(PlusK("base + h/8", 0.125))], focus="F")
+    return done.metrics.where("metric = 'mape'").select("metric", "model", "split", "horizon", r("value"))

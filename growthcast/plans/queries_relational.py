@@ -127,9 +127,8 @@ def s10(spark, sf):
     frame = fr.long_frame(spark, sf)
 
     def get():
-        return ST.load_or_train(
-            spark, path, lambda p: B.SimpleLinear(params=spark.read.parquet(p)),
-            lambda: B.SimpleLinear().fit(fr.train_rows(frame)), lambda m, p: m.params.write.parquet(p))
+        return ST.load_or_train(spark, path, lambda p: B.SimpleLinear().load(spark, p),
+                                lambda: B.SimpleLinear().fit(fr.train_rows(frame)), lambda m, p: m.save(p))
 
     get()
     return get().params.select("horizon", r("b0"), r("b1"), r("b2"))

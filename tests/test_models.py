@@ -120,7 +120,7 @@ def test_boosting_takes_median_steps(spark, wide):
     rows = _train(wide)
     from growthcast.models.trees import assembled
     boost = MedianBoost(["base", "delta"], stages=2, depth=2).fit(assembled(rows, ["base", "delta"]), "y_1")
-    pdf = rows.select("y_1", boost.prediction().alias("f"), *[leaf.alias(f"l{i}") for i, (leaf, _) in enumerate(boost.trees)]).toPandas()
+    pdf = rows.select("y_1", boost.prediction().alias("f"), *[F.expr(leaf).alias(f"l{i}") for i, (leaf, _) in enumerate(boost.trees)]).toPandas()
     f = np.full(len(pdf), np.sort(pdf.y_1)[(len(pdf) - 1) // 2])
     for i in range(2):
         r = pdf.y_1 - f
@@ -253,3 +253,37 @@ def test_comparison_of_all_models(spark, wide):
     assert done.best_by_pa_r_squared.count() == 1 and done.trimmed.count() == 2 * len(names)
     assert done.median_ape.first().model == "GBRT" and done.per_age.count() == 1 and done.labels.count() == 1
     assert done.density.count() == data.where("split = 'test'").count()
+
+
+def test_kept_models_predict_alike(spark, wide):
+    from growthcast.plans import compare as CM
+    from growthcast.session import new_table_path
+
+    folder = new_table_path(spark, "models")
+    feats = ["base", "delta", "noise"]
+    few = wide.where("row_id < 150")
+    models = [CM.OnHorizons(B.SimpleLinear()), CM.OnHorizons(B.VariableK()), LA.Lasso(feats, 2), RandomForest(feats, 2, trees=2, max_depth=3),
+              GradientBoost(feats, 2, MedianBoost(feats, stages=2)), RP.PointProcess(("delta",), 2, rounds=1)]
+    for m in models:
+        first = CM.fit_or_load(m, _train(few), folder).predict(few)
+        again = CM.fit_or_load(m, _train(few).limit(0), folder).predict(few)  # would fail if it had to train
+        key = ["split", "row_id", "horizon"]
+        both = first.join(again.withColumnRenamed("pred", "p2"), key)
+        assert both.count() == first.count() and both.where(F.abs(F.col("pred") - F.col("p2")) > 1e-9).isEmpty(), m.name
+
+
+def test_prepare_aligns_filters_and_splits(spark):
+    from growthcast.config import PAPER_CITATION
+    from growthcast.plans import compare as CM
+
+    n = 100
+    feats = spark.createDataFrame([(i, float(i % 20 + 1), 1.0, 0.5, 4.0) for i in range(n)],
+                                  "row_id bigint, paper_citations double, paper_citations_delta_0 double, "
+                                  "paper_mean_citations_per_year double, paper_age double")
+    resp = spark.createDataFrame([(i, i + 30, i + 40, 7) for i in range(n)], "row_id bigint, Citation_in_1 int, citation_in_2 int, other int")
+    hist = spark.createDataFrame([(i, [1, 3, 3]) for i in range(n)], "row_id bigint, hist array<int>")
+    wide = CM.prepare(feats, resp, hist, PAPER_CITATION, "paper_citations:5")
+    rows = wide.collect()
+    assert len(rows) == 80 and all(r.paper_citations >= 5 and r.base == r.paper_citations for r in rows)
+    assert all(r.y_1 == r.row_id + 30 and r.y_2 == r.row_id + 40 and list(r.inc) == [1, 2, 0] for r in rows)
+    assert sorted((s, sum(r.split == s for r in rows)) for s in ("train", "valid", "test")) == [("test", 16), ("train", 56), ("valid", 8)]
