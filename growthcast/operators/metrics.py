@@ -28,12 +28,17 @@ def mape_with_error(scored: DataFrame, cells: Sequence[str] = CELLS) -> DataFram
         F.avg(e).alias("mape"), F.sqrt(F.var_pop(e) / F.count(e)).alias("se"), F.count(e).alias("n_rows"))
 
 
+def _explained(err, spread):
+    """1 - err / spread with the IEEE values -inf and NaN where nothing spreads."""
+    return (F.when(spread > 0, 1 - err / spread).when(err > 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan"))))
+
+
 def r_squared(scored: DataFrame, cells: Sequence[str] = CELLS) -> DataFrame:
     """R2 against the spread of y, and past-adjusted R2 against that of y - base."""
     err = F.avg(squared_error("pred", "y"))
     return scored.groupBy(*cells).agg(
-        (1 - err / F.var_pop("y")).alias("rsq"),
-        (1 - err / F.var_pop(F.col("y") - F.col("base"))).alias("pa_rsq"))
+        _explained(err, F.var_pop("y")).alias("rsq"),
+        _explained(err, F.var_pop(F.col("y") - F.col("base"))).alias("pa_rsq"))
 
 
 def all_metrics(scored: DataFrame, cells: Sequence[str] = CELLS) -> DataFrame:
@@ -41,8 +46,8 @@ def all_metrics(scored: DataFrame, cells: Sequence[str] = CELLS) -> DataFrame:
     e, err = ape("pred", "y"), F.avg(squared_error("pred", "y"))
     wide = scored.groupBy(*cells).agg(
         F.avg(e).alias("mape"), F.sqrt(F.var_pop(e) / F.count(e)).alias("se"),
-        (1 - err / F.var_pop("y")).alias("rsq"),
-        (1 - err / F.var_pop(F.col("y") - F.col("base"))).alias("pa_rsq"))
+        _explained(err, F.var_pop("y")).alias("rsq"),
+        _explained(err, F.var_pop(F.col("y") - F.col("base"))).alias("pa_rsq"))
     long = wide.unpivot([*cells, "se"], ["mape", "rsq", "pa_rsq"], "metric", "value")
     return long.select("metric", *cells, "value", F.when(F.col("metric") == "mape", F.col("se")).alias("se"))
 

@@ -428,7 +428,7 @@ def x02(spark, sf):
         "row_id", "horizon", S.squared_error("base", "y").alias("err"), F.round(S.centred_square(growth, "m"), 6).alias("centred"))
 
 
-@query("x05_softplus", "SELECT row_id, round(ln(1 + exp(base - 15)) + 0.001e0, 6) AS value FROM ent_all")
+@query("x05_softplus", "SELECT row_id, round(greatest(base - 15, 0) + ln(1 + exp(-abs(base - 15))) + 0.001e0, 6) AS value FROM ent_all")
 def x05(spark, sf):
     return fx.paper_entities(spark, sf).select("row_id", F.round(S.softplus(F.col("base") - 15), 6).alias("value"))
 
