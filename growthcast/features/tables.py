@@ -72,7 +72,8 @@ AUTHOR_COLUMNS = {
 
 def author_table(links: DataFrame, papers: DataFrame, venue_of: DataFrame, axis: TimeAxis,
                  iterations: int = 20) -> DataFrame:
-    """The 44 author features, keyed by ``sid``."""
+    """The 44 author features, keyed by ``sid``. Links and papers are read many times, so both are written first."""
+    links, papers = materialise(links, "links"), materialise(papers, "papers")
     measures = author_measures(links, papers, axis)
     own = ranked(measures, "mean_citations_per_year", "author_mean_citation_rank").select(
         "sid", "author_mean_citation_rank",
@@ -124,7 +125,8 @@ def paper_venue_features(venue_of: DataFrame, venues: DataFrame) -> DataFrame:
 
 def paper_table(links: DataFrame, papers: DataFrame, venue_of: DataFrame, axis: TimeAxis,
                 iterations: int = 20) -> DataFrame:
-    """The 63 paper features, keyed by ``pid``."""
+    """The 63 paper features, keyed by ``pid``. Links and papers are read many times, so both are written first."""
+    links, papers = materialise(links, "links"), materialise(papers, "papers")
     measures = ranked(author_measures(links, papers, axis), "mean_citations", "rank")
     authors = materialise(measures.join(author_network_features(links, axis, iterations), "sid"), "authors")
     columns = {**PAPER_AUTHOR_COLUMNS, **PAPER_NETWORK_COLUMNS, "author_mean_citation_rank": "rank"}

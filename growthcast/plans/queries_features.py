@@ -313,3 +313,58 @@ def m16_authors(spark, sf):
     wide = CM.prepare(feats, series.drop("hist"), series.select("row_id", "hist"), AUTHOR_HINDEX, "author_hindex:4")
     done = CM.compare(wide, [CM.OnHorizons(Constant()), CM.OnHorizons(PlusK("base + h/8", 0.125))], focus="F")
     return done.metrics.where("metric = 'mape'").select("metric", "model", "split", "horizon", r("value"))
+
+
+def _digits(column: str) -> int:
+    return 9 if "pagerank" in column else 6
+
+
+def _rounded(df, key):
+    return df.select(key, *[F.round(F.col(c).cast("double"), _digits(c)).alias(c) for c in df.columns if c != key])
+
+
+def _plain_sql(columns: dict[str, str], prefix: str) -> str:
+    return ", ".join(f"round({prefix}.{_SOURCE.get(c, c)}::DOUBLE, 6) AS {a}" for a, c in columns.items())
+
+
+cte("a_rank", "SELECT sid, percent_rank() OVER (ORDER BY mean_citations_per_year) AS rk FROM am")
+cte("a_venue", "SELECT sid, count(*) AS n, " + ", ".join(
+    f"{f}({_SOURCE.get(c, c)})::DOUBLE AS {n}_{s}" for n, c in FT.VENUE_COLUMNS.items()
+    for s, f in zip(FT.STATS, ("avg", "min", "max"))) + " FROM avm GROUP BY sid")
+
+
+@query("d00_author_table", f"""
+SELECT a.sid, {_plain_sql(FT.AUTHOR_COLUMNS, 'a')}, round(k.rk, 6) AS author_mean_citation_rank,
+  round(u.rank, 9) AS author_unweighted_pagerank, round(w.rank, 9) AS author_weighted_pagerank,
+  c.coauthors::DOUBLE AS author_recent_num_coauthors, v.n::DOUBLE AS total_num_venues,
+  {', '.join(f'round(v.{n}_{s}, 6) AS {n}_{s}' for n in FT.VENUE_COLUMNS for s in FT.STATS)}
+FROM am a JOIN a_rank k ON k.sid = a.sid JOIN pru_{STEPS} u ON u.sid = a.sid JOIN prw_{STEPS} w ON w.sid = a.sid
+JOIN recent c ON c.sid = a.sid JOIN a_venue v ON v.sid = a.sid""")
+def d00_authors(spark, sf):
+    """All 44 author features."""
+    return _rounded(FT.author_table(fx.authorship(spark, sf), fx.papers(spark, sf), fx.venues(spark, sf), Q, STEPS), "sid")
+
+
+cte("p_authors", "SELECT l.pid, count(*) AS n, " + ", ".join(
+    f"{f}({e})::DOUBLE AS {n}_{s}" for n, e in (
+        *((n, "a." + _SOURCE.get(c, c)) for n, c in FT.PAPER_AUTHOR_COLUMNS.items()),
+        ("author_unweighted_pagerank", "u.rank"), ("author_weighted_pagerank", "w.rank"),
+        ("author_recent_num_coauthor", "c.coauthors"), ("author_mean_citation_rank", "a.rk"))
+    for s, f in zip(FT.STATS, ("avg", "min", "max"))) + f"""
+FROM links l JOIN la_rank a ON a.sid = l.sid JOIN pru_{STEPS} u ON u.sid = l.sid JOIN prw_{STEPS} w ON w.sid = l.sid
+JOIN recent c ON c.sid = l.sid GROUP BY l.pid""")
+_PAPER_AUTHOR_NAMES = [*FT.PAPER_AUTHOR_COLUMNS, *FT.PAPER_NETWORK_COLUMNS, "author_mean_citation_rank"]
+
+
+@query("d00_paper_table", f"""
+SELECT p.pid, (15 - p.p0 + 1)::DOUBLE AS paper_age, p.base::DOUBLE AS paper_citations, p.kbase::DOUBLE AS paper_key_citations,
+  round(p.base / (15 - p.p0 + 1)::DOUBLE, 6) AS paper_mean_citations_per_year, (b.p_type = 'ECONOMY')::INT::DOUBLE AS is_survey,
+  p.d0::DOUBLE AS paper_citations_delta_0, p.d1::DOUBLE AS paper_citations_delta_1,
+  p.kd0::DOUBLE AS paper_key_citations_delta_0, p.kd1::DOUBLE AS paper_key_citations_delta_1,
+  x.n::DOUBLE AS total_num_authors,
+  {', '.join(f'round(x.{n}_{s}, {_digits(n)}) AS {n}_{s}' for n in _PAPER_AUTHOR_NAMES for s in FT.STATS)},
+  {_plain_sql(FT.PAPER_VENUE_COLUMNS, 'v')}
+FROM paper p JOIN part b ON b.p_partkey = p.pid JOIN p_authors x ON x.pid = p.pid JOIN vm v ON v.venue = b.p_brand""")
+def d00_papers(spark, sf):
+    """All 63 paper features."""
+    return _rounded(FT.paper_table(fx.authorship(spark, sf), fx.papers(spark, sf), fx.venues(spark, sf), Q, STEPS), "pid")

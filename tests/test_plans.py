@@ -45,3 +45,10 @@ def test_no_cartesian_or_local_checkpoint():
     text = "".join(p.read_text() for p in (Path(__file__).resolve().parents[1] / "growthcast").rglob("*.py"))
     python_only = "\n".join(line for line in text.splitlines() if "CROSS JOIN" not in line)
     assert "localCheckpoint" not in python_only and "crossJoin" not in python_only
+
+
+def test_feature_tables_are_complete(spark, sf):
+    import __spark_entry__ as se
+
+    assert len(se.queries()["d00_author_table"](spark, sf).columns) == 1 + 44
+    assert len(se.queries()["d00_paper_table"](spark, sf).columns) == 1 + 63
