@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from growthcast.config import TimeAxis
 from growthcast.features.series import at, running, upto
+from growthcast.session import materialise
 
 
 def paper_facts(papers: DataFrame, axis: TimeAxis) -> DataFrame:
@@ -37,7 +38,8 @@ def h_index(counts: DataFrame, cells: Sequence[str], value: str, out: str) -> Da
 def group_measures(members: DataFrame, facts: DataFrame, group: str, axis: TimeAxis) -> DataFrame:
     """members(pid, group) -> one row of measures per group."""
     past = axis.source - axis.window
-    rows = members.select("pid", group).join(facts, "pid")
+    # the sums and the h-index both read these rows: join once, write once
+    rows = materialise(members.select("pid", group).join(facts, "pid"), "members")
     sums = rows.groupBy(group).agg(
         *[F.sum(f"{n}{s}").alias(f"{n}{s}") for n in ("cites", "keys") for s in ("", "_past", "_0", "_1")],
         F.count(F.lit(1)).alias("papers"), F.count_if(F.col("p0") <= past).alias("papers_past"),
@@ -64,21 +66,15 @@ def group_measures(members: DataFrame, facts: DataFrame, group: str, axis: TimeA
         age.alias("age"), F.col("max_single").alias("max_single_paper_citations"))
 
 
-def h_index_by_period(members: DataFrame, papers: DataFrame, group: str, axis: TimeAxis) -> DataFrame:
-    """(group, per, h) for every period of the axis in which h is positive."""
-    counts = (members.select("pid", group).join(papers.select("pid", running("n").alias("_c")), "pid")
-              .select(group, F.posexplode("_c").alias("_p", "_v"))
-              .select(group, (F.col("_p") + axis.start).alias("per"), "_v"))
-    return h_index(counts, [group, "per"], "_v", "h")
-
-
 def h_index_series(members: DataFrame, papers: DataFrame, group: str, axis: TimeAxis) -> DataFrame:
     """Per group: ``hist`` of h from its first period to the source, and ``hindex_in_<h>``."""
-    by_period = h_index_by_period(members, papers, group, axis)
-    first = members.select("pid", group).join(papers.select("pid", "p0"), "pid").groupBy(group).agg(
-        F.min("p0").alias("first"))
+    rows = materialise(members.select("pid", group).join(papers.select("pid", "p0", "n"), "pid"), "members")
+    counts = (rows.select(group, F.posexplode(running("n")).alias("_p", "_v"))
+              .select(group, (F.col("_p") + axis.start).alias("per"), "_v"))
+    by_period = h_index(counts, [group, "per"], "_v", "h")
     # one entry per period of the fixed axis
     maps = by_period.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("per", "h"))).alias("_m"))
+    first = rows.groupBy(group).agg(F.min("p0").alias("first"))
     value = lambda t: F.coalesce(F.try_element_at("_m", t), F.lit(0))
     return first.join(maps, group).select(
         group, F.transform(F.sequence("first", F.lit(axis.source)), value).alias("hist"),
