@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from growthcast.functions import scalars as S
 from growthcast.models import baselines as B
-from growthcast.operators import diagnostics as DG, filters as P, metrics as M, ranking as K
+from growthcast.operators import diagnostics as DG, metrics as M, ranking as K
 from growthcast.plans import frames as fr
 from growthcast.plans.registry import query
 from growthcast.session import materialise

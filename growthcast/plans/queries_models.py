@@ -174,7 +174,7 @@ def m14a(spark, sf):
 
 
 @query("m15_reported_loss", """
-SELECT round(avg(-value), 6) AS neg_log_likelihood, round(0.1e0 * avg((alpha / beta) ** 2), 6) AS penalty,
+SELECT round(avg(-value), 6) AS neg_log_likelihood, round(0.1e0 * avg((alpha / beta) ** 2), 8) AS penalty,
   round(avg(-value) + 0.1e0 * avg((alpha / beta) ** 2), 6) AS loss FROM loglik""")
 def m15(spark, sf):
     def kernel(ids, hist, alpha, beta, mu, sd):
@@ -182,7 +182,7 @@ def m15(spark, sf):
 
     states = at_start(spark, sf, kernel, "nll double, alpha double, beta double")
     penalty = 0.1 * F.avg(F.pow(F.col("alpha") / F.col("beta"), 2))
-    return states.agg(F.round(F.avg("nll"), 6).alias("neg_log_likelihood"), F.round(penalty, 6).alias("penalty"),
+    return states.agg(F.round(F.avg("nll"), 6).alias("neg_log_likelihood"), F.round(penalty, 8).alias("penalty"),
                       F.round(F.avg("nll") + penalty, 6).alias("loss"))
 
 

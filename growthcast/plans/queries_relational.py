@@ -8,7 +8,7 @@ from growthcast.config import Roles
 from growthcast.features import series as SE
 from growthcast.functions import scalars as S
 from growthcast.models import baselines as B
-from growthcast.operators import filters as P, metrics as M, ranking as K, reshape as R, split as SP
+from growthcast.operators import filters as P, metrics as M, reshape as R, split as SP
 from growthcast.plans import fixture as fx, frames as fr
 from growthcast.plans.queries_metrics import r
 from growthcast.plans.registry import cte, query
