@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from growthcast.llm import mixing, tokens
+from pyspark.sql import functions as F
+
+from growthcast.llm import mixing, substrings, tokens
 from growthcast.llm.common import table
 from growthcast.llm.registry import ORACLES, QUERIES, query
 
@@ -38,3 +40,9 @@ FROM queued q LEFT JOIN sums s ON q.doc_id = s.doc_id AND q.source IS NOT DISTIN
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_substring_dedup")
+def op10(spark, sf_dir):
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
