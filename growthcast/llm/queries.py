@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from growthcast.llm import mixing, substrings, tokens
+from growthcast.llm import jaccard, mixing, substrings, tokens
 from growthcast.llm.common import table
 from growthcast.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op1_ngram_jaccard")
+def op1(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query("op6_token_counts")
 def op6(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
