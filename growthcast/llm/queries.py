@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from growthcast.llm import jaccard, mixing, substrings, tokens
+from growthcast.llm import bpe, jaccard, mixing, substrings, tokens
 from growthcast.llm.common import table
 from growthcast.llm.registry import ORACLES, QUERIES, query
 
@@ -16,6 +16,17 @@ def op1(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def token_digests(encoded):
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+                          F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op3_bpe_round_trip")
+def op3(spark, sf_dir):
+    return token_digests(bpe.encode(table(spark, sf_dir, "documents")))
+
+
 @query("op6_token_counts")
 def op6(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
