@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from growthcast.llm import bpe, jaccard, mixing, substrings, tokens
+from growthcast.llm import bpe, jaccard, mixing, substrings, tokens, toxicity
 from growthcast.llm.common import table
 from growthcast.llm.registry import ORACLES, QUERIES, query
 
@@ -27,6 +27,12 @@ def op3(spark, sf_dir):
     return token_digests(bpe.encode(table(spark, sf_dir, "documents")))
 
 
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op6_token_counts")
 def op6(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
