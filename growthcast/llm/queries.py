@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from growthcast.llm import bpe, jaccard, mixing, substrings, tokens, toxicity
+from growthcast.llm import bpe, collisions, jaccard, mixing, substrings, tokens, topk, toxicity
 from growthcast.llm.common import table
 from growthcast.llm.registry import ORACLES, QUERIES, query
 
@@ -33,11 +33,27 @@ def op4(spark, sf_dir):
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+@query("op5_embedding_near_dedup")
+def op5(spark, sf_dir):
+    return collisions.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op6_token_counts")
 def op6(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+@query("op7_exact_top_k", """
+WITH v AS (SELECT vec_id, [floor(x::DOUBLE * 256) FOR x IN embedding] AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""")
+def op7(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 SIZES = r"""
 sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
@@ -67,4 +83,4 @@ def op8(spark, sf_dir):
 @query("op10_substring_dedup")
 def op10(spark, sf_dir):
     kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -47,13 +47,19 @@ def held_out(doc_id: Column) -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              label_col: str = "toxic", examples: int = EXAMPLES) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (doc_id, cosine, label of the nearest) for every row."""
+    out = classify(docs.select(id_col, text_col), labels, id_col, text_col, label_col, examples)
+    return out.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), "score", "predicted", "evidence")
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             label_col: str = "toxic", examples: int = EXAMPLES) -> DataFrame:
+    """The rows with ``score``, ``predicted`` and ``evidence`` in addition; the frame must not have these columns."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     model = fit(texts, labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")), examples)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = texts.mapInArrow(_scores(sent), f"doc_id {kind}, score double, evidence array<struct<doc_id:long,cosine:double,label:int>>")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-                         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
+    scored = F.arrow_udf(_scores(docs.sparkSession.sparkContext.broadcast(model)),
+                         "score double, evidence array<struct<doc_id:long,cosine:double,label:int>>")
+    return (docs.withColumn("_scored", scored(F.col(text_col)))
+            .select(*docs.columns, "_scored.score", F.when(F.col("_scored.score") >= 0.5, 1).otherwise(0).alias("predicted"), "_scored.evidence"))
 
 
 def terms_of(word: str) -> list[str]:
@@ -236,12 +242,12 @@ class Model:
 
 
 def _scores(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = sent.value
         of, known = TermNumbers(model.number), {}
         for batch in batches:
             scores, evidence = [], []
-            for text in batch.column("text"):
+            for text in batch:
                 counts = of.counts(text.as_py())
                 key = tuple(sorted(counts.items()))
                 if key not in known:
@@ -253,8 +259,8 @@ def _scores(sent):
                 score, near = known[key]
                 scores.append(score)
                 evidence.append(near)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(scores, pa.float64()),
-                 pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))],
-                ["doc_id", "score", "evidence"])
+            yield pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(evidence, EVIDENCE)], ["score", "evidence"])
     return run
+
+
+EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
