@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from growthcast.llm import trees
 from growthcast.llm.components import connected
-from growthcast.llm.shingles import WordHashes, run_hashes
+from growthcast.llm.shingles import WordHashes
 from growthcast.session import materialise
 
 WORDS, PERCENT = 5, 80
@@ -135,10 +135,10 @@ def _shingles(text: str | None, n: int, cache: WordHashes) -> np.ndarray:
     """Distinct shingles in order of their hash."""
     # bytes.lower() changes A-Z alone
     words = text.encode("utf-8", "replace").lower().split() if text else []
-    hashes = cache.of(words)
-    if 0 < len(hashes) < n:
-        return run_hashes(hashes, len(hashes)) ^ np.uint64(len(hashes))
-    return np.unique(run_hashes(hashes, n))
+    runs = cache.runs(words)
+    if 0 < len(words) < n:
+        return runs.of(len(words)) ^ np.uint64(len(words))
+    return np.unique(runs.of(n))
 
 
 def _class_of(tokens: np.ndarray) -> int:

@@ -9,7 +9,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_MUL = np.uint64(0x9E3779B97F4A7C15)
+#: An odd multiplier and its inverse modulo 2^64.
+_MUL = 0x9E3779B97F4A7C15
+_INV = pow(_MUL, -1, 1 << 64)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -19,6 +21,7 @@ class WordHashes(dict):
     def __init__(self, most: int = 500_000):
         super().__init__()
         self.most = most
+        self.powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -29,17 +32,34 @@ class WordHashes(dict):
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
+    def runs(self, words: list[bytes]) -> Runs:
+        n = len(words) + 1
+        if len(self.powers[0]) < n:
+            m = 1 << n.bit_length()
+            self.powers = tuple(np.concatenate((np.ones(1, np.uint64), np.full(m - 1, x, np.uint64))).cumprod(dtype=np.uint64) for x in (_MUL, _INV))
+        return Runs(self.of(words), *(p[:n] for p in self.powers))
 
-def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every run of n consecutive words; empty if there are fewer."""
-    m = len(words) - n + 1
-    if m <= 0:
-        return np.empty(0, np.uint64)
-    out = words[:m].copy()
-    for i in range(1, n):
-        out *= _MUL
-        out += words[i:m + i]
-    out ^= out >> np.uint64(33)
-    out *= _MIX
-    out ^= out >> np.uint64(32)
-    return out
+
+class Runs:
+    """Hashes of runs of one document's words: sums of word hashes times powers of ``_INV``, from the run's start."""
+
+    def __init__(self, hashes: np.ndarray, powers: np.ndarray, inverse: np.ndarray):
+        self.n, self.powers = len(hashes), powers
+        self.sums = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(hashes * inverse[:-1], out=self.sums[1:])
+
+    def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of words start to end - 1, for arrays of places."""
+        return mixed((self.sums[end] - self.sums[start]) * self.powers[start])
+
+    def of(self, n: int) -> np.ndarray:
+        """Hash of every run of n words; empty if there are fewer."""
+        if self.n < n:
+            return np.empty(0, np.uint64)
+        return mixed((self.sums[n:] - self.sums[:self.n + 1 - n]) * self.powers[:self.n + 1 - n])
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(33))
+    h *= _MIX
+    return h ^ (h >> np.uint64(32))

@@ -8,16 +8,17 @@ earlier start) are removed; overlapping windows join up to maximal repeats.
    the least hash (the leftmost of equal ones). Equal windows pick the same
    anchor at the same offset, and neighbouring windows mostly share theirs, so
    there is one anchor for every eight words or so.
-2. *Join.* Anchors are counted; only documents' occurrences of anchors that
-   come more than once go on. Counting is combined before the shuffle.
-3. *Extend.* The windows around each joined anchor, reaching to both sides of
-   it, are compared as wholes by a hash of their words: all but the first of
-   equal ones are repeats.
+2. *Join.* Anchors are counted; only occurrences of anchors that come more than
+   once go on. Counting is combined before the shuffle.
+3. *Extend.* The windows of one anchor occurrence, reaching to both sides of
+   it, are first compared as a whole stretch: all but the first of equal
+   stretches are repeats. Where an anchor has several stretches, the windows in
+   the first of each are compared one by one.
 4. Covered words are cut from the texts.
 
-Nothing is paired: a group of equal windows is read in order of place, and
-each row is compared with the first. Anchors with more than ``hot``
-occurrences deal their windows over several tasks first, and the first rows of
+Nothing is paired: a group of equal stretches or windows is read in order of
+place, and each row is compared with the first. Anchors with more than ``hot``
+occurrences deal their rows over several tasks first, and the first rows of
 those meet in a second round. Nothing grows on the driver.
 
 Nulls and edge cases: a null or empty text has no words and comes back as the
@@ -35,11 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
 from growthcast.llm.common import words_of
-from growthcast.llm.shingles import WordHashes, run_hashes
+from growthcast.llm.shingles import Runs, WordHashes, mixed
+from growthcast.session import materialise
 
 WINDOW, SEED, HOT = 20, 6, 5_000
 #: Rows of anchors or windows that a task puts into one batch, about.
@@ -49,36 +50,66 @@ LAST = (1 << 63) - 1
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   window: int = WINDOW, seed: int = SEED, hot: int = HOT) -> DataFrame:
-    """doc_id, text (kept words joined by one space), n_words, n_removed for every row."""
+                   window: int = WINDOW, seed: int = SEED, hot: int = HOT, carry: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """doc_id, kept (the kept words joined by one space), n_words, n_removed for every row, and the columns to ``carry``."""
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"),
-                        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    anchors = texts.select("doc", "text").mapInArrow(_anchor_rows(window, seed), "anchor long, doc long, n int")
+                        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_{c}") for c in carry if c != text_col))
+    anchors = materialise(texts.select("doc", "text").mapInArrow(_anchor_rows(window, seed), "anchor long, doc long, n int"), "anchors")
     shared = anchors.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1")
     salts = F.when(F.col("total") > hot, F.ceil(F.col("total") / hot)).otherwise(0).cast("int")
     found = (anchors.select("anchor", "doc").join(shared, "anchor").groupBy("doc")
-             .agg(F.collect_set(F.struct("anchor", salts.alias("salts"))).alias("anchors")))
-    windows = (texts.join(found, "doc", "left").where(F.col("anchors").isNotNull())
-               .select("doc", "text", "anchors.anchor", "anchors.salts")
-               .mapInArrow(_window_rows(window, seed), "w long, salt int, doc long, pos int"))
-    first_round = (windows.repartition("w", "salt").sortWithinPartitions("w", "salt", "doc", "pos")
-                   .mapInArrow(_mark, "w long, doc long, pos int, again boolean"))
-    second_round = (first_round.where("not again").withColumn("salt", F.lit(-1)).select("w", "salt", "doc", "pos")
-                    .repartition("w").sortWithinPartitions("w", "doc", "pos")
-                    .mapInArrow(_mark, "w long, doc long, pos int, again boolean"))
-    again = first_round.where("again").select("doc", "pos").unionByName(second_round.where("again").select("doc", "pos"))
-    starts = again.groupBy("doc").agg(F.collect_set("pos").alias("starts"))
-    return (texts.join(starts, "doc", "left").select("doc_id", "text", "starts")
-            .mapInArrow(_cut(window), f"doc_id {docs.schema[id_col].dataType.simpleString()}, text string, n_words long, n_removed long"))
-
-
-def _places(hashes: np.ndarray, window: int, seed: int) -> np.ndarray:
+             .agg(F.collect_set(F.struct("anchor", salts.alias("salts"))).alias("found")))
+    # all joins take the same columns of texts, so their shuffle is made once
+    stretches = (texts.join(found, "doc", "left").where(F.col("found").isNotNull())
+                 .select(*texts.columns, "found.anchor", "found.salts").mapInArrow(_stretch_rows(window, seed), STRETCH))
+    again, first = _repeats(stretches)
+    several = first.groupBy("anchor").count().where("count > 1").select("anchor")
+    unclear = first.join(several, "anchor").groupBy("doc").agg(F.collect_list(F.struct("pos", "len", "salts", "anchor")).alias("open"))
+    windows = (texts.join(unclear, "doc", "left").where(F.col("open").isNotNull())
+               .select(*texts.columns, "open.pos", "open.len", "open.salts", "open.anchor").mapInArrow(_window_rows(window), STRETCH))
+    again = again.union(_repeats(windows)[0])
+    gone = again.groupBy("doc").agg(F.collect_set(F.struct("pos", "len")).alias("gone"))
+    cut = F.arrow_udf(_cut(window), "kept string, n_words long, n_removed long")
+    return (texts.join(gone, "doc", "left").withColumn("_cut", cut("text", "gone.pos", "gone.len"))
+            .select("doc_id", "_cut.kept", "_cut.n_words", "_cut.n_removed", *(F.col("text" if c == text_col else f"_{c}").alias(c) for c in carry)))
+
+
+#: ``len`` windows from ``pos`` on, whose words are told apart by ``key``.
+COLUMNS = ["anchor", "key", "salt", "salts", "doc", "pos", "len"]
+TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+STRETCH = "anchor long, key long, salt int, salts int, doc long, pos int, len int"
+
+
+def _repeats(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, pos, len) of all but the first rows of a key, and those first rows."""
+    schema = STRETCH + ", again boolean"
+    one = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc", "pos").mapInArrow(_mark, schema)
+    two = (one.where("not again and salt >= 0").drop("again").repartition("key")
+           .withColumn("salt", F.lit(-1)).sortWithinPartitions("key", "doc", "pos").mapInArrow(_mark, schema))
+    again = one.where("again").select("doc", "pos", "len").union(two.where("again").select("doc", "pos", "len"))
+    first = [x.select("anchor", "doc", "pos", "len", "salts") for x in (one.where("not again and salt < 0"), two.where("not again"))]
+    return again, first[0].union(first[1])
+
+
+def _places(runs: Runs, window: int, seed: int) -> np.ndarray:
     """Anchor position of every window."""
-    m = len(hashes) - window + 1
-    if m <= 0:
+    hashes = runs.of(seed)
+    span = window - seed + 1
+    if len(hashes) < span:
         return np.empty(0, np.int64)
-    runs = run_hashes(hashes, seed)
-    return sliding_window_view(runs, window - seed + 1).argmin(1) + np.arange(m)
+    parts = []
+    # the low bits hold the place, so that a minimum tells where it is; very long texts go in overlapping pieces
+    for at in range(0, len(hashes) - span + 1, PIECE):
+        least = (hashes[at:at + PIECE + span - 1] & ~LOW) | np.arange(min(PIECE + span - 1, len(hashes) - at), dtype=np.uint64)
+        m, wide = len(least) - span + 1, 1
+        while 2 * wide <= span:
+            least = np.minimum(least[:-wide], least[wide:])
+            wide *= 2
+        parts.append((np.minimum(least[:m], least[span - wide:span - wide + m]) & LOW).astype(np.int64) + at)
+    return np.concatenate(parts)
+
+
+LOW, PIECE = np.uint64((1 << 24) - 1), 1 << 23
 
 
 def _batch(parts: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
@@ -104,87 +135,116 @@ def _anchor_rows(window: int, seed: int):
         def rows():
             for batch in batches:
                 for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text")):
-                    hashes = cache.of(words_of(text.as_py()))
-                    at = np.unique(_places(hashes, window, seed))
+                    runs = cache.runs(words_of(text.as_py()))
+                    at = _places(runs, window, seed)
                     if len(at):
-                        anchor, n = np.unique(run_hashes(hashes, seed)[at], return_counts=True)
+                        at = at[np.append(True, at[1:] != at[:-1])]
+                        anchor, n = np.unique(runs.of(seed)[at], return_counts=True)
                         yield anchor.view(np.int64), np.full(len(anchor), doc), n.astype(np.int32)
 
         yield from _in_batches(rows(), ["anchor", "doc", "n"], [pa.int64(), pa.int64(), pa.int32()])
     return run
 
 
-def _window_rows(window: int, seed: int):
+def _salt(doc: int, salts: np.ndarray) -> np.ndarray:
+    return np.where(salts > 0, doc % np.maximum(salts, 1).astype(np.int64), -1).astype(np.int32)
+
+
+def _stretch_rows(window: int, seed: int):
+    """For each joined anchor of a document, the stretch of windows that picked it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
 
         def rows():
             for batch in batches:
                 for doc, text, anchor, salts in zip(*(batch.column(c) for c in ("doc", "text", "anchor", "salts"))):
-                    doc, hashes = doc.as_py(), cache.of(words_of(text.as_py()))
-                    places = _places(hashes, window, seed)
-                    if not len(places):  # a row of the same id may be shorter
+                    doc, runs = doc.as_py(), cache.runs(words_of(text.as_py()))
+                    at = _places(runs, window, seed)
+                    if not len(at):  # a row of the same id may be shorter
                         continue
-                    anchor, salts = anchor.values.to_numpy().view(np.uint64), salts.values.to_numpy().astype(np.int64)
+                    start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                    length = np.diff(np.append(start, len(at)))
+                    at = at[start]
+                    anchor, salts = anchor.values.to_numpy().view(np.uint64), salts.values.to_numpy()
                     order = np.argsort(anchor)
                     anchor, salts = anchor[order], salts[order]
-                    own = run_hashes(hashes, seed)[places]
-                    at = np.minimum(np.searchsorted(anchor, own), len(anchor) - 1)
-                    start = np.flatnonzero(anchor[at] == own)
-                    salts = salts[at[start]]
-                    salt = np.where(salts > 0, doc % np.maximum(salts, 1), -1)
-                    yield (run_hashes(hashes, window)[start].view(np.int64), salt.astype(np.int32),
-                           np.full(len(start), doc), start.astype(np.int32))
-
-        yield from _in_batches(rows(), ["w", "salt", "doc", "pos"], [pa.int64(), pa.int32(), pa.int64(), pa.int32()])
+                    own = runs.of(seed)[at]
+                    found = np.minimum(np.searchsorted(anchor, own), len(anchor) - 1)
+                    keep = anchor[found] == own
+                    start, length, at, own, salts = start[keep], length[keep], at[keep], own[keep], salts[found[keep]]
+                    # stretches are equal if their words and the anchor's place among them are
+                    key = mixed(runs.between(start, start + length + window - 1) + (at - start).astype(np.uint64))
+                    yield (own.view(np.int64), key.view(np.int64), _salt(doc, salts), salts, np.full(len(start), doc),
+                           start.astype(np.int32), length.astype(np.int32))
+
+        yield from _in_batches(rows(), COLUMNS, TYPES)
+    return run
+
+
+def _window_rows(window: int):
+    """Every window of the given stretches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+
+        def rows():
+            for batch in batches:
+                for doc, text, *lists in zip(*(batch.column(c) for c in ("doc", "text", "pos", "len", "salts", "anchor"))):
+                    doc, runs = doc.as_py(), cache.runs(words_of(text.as_py()))
+                    pos, length, salts, anchor = (x.values.to_numpy() for x in lists)
+                    row = np.repeat(np.arange(len(pos)), length)
+                    start = pos[row] + np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+                    inside = start + window <= runs.n
+                    row, start = row[inside], start[inside]
+                    if len(row):
+                        yield (anchor[row], runs.between(start, start + window).view(np.int64), _salt(doc, salts[row]), salts[row],
+                               np.full(len(row), doc), start.astype(np.int32), np.ones(len(row), np.int32))
+
+        yield from _in_batches(rows(), COLUMNS, TYPES)
     return run
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (w, salt, doc, pos): repeats of a group's first row, and the first rows of salted groups.
+    """Tells rows in order of (key, salt, doc, pos) that come after their group's first one.
 
     Only the last group's first row is kept between batches.
     """
-    key, first = None, None
+    last, first = None, None
     for batch in batches:
-        w, salt, doc, pos = (batch.column(c).to_numpy() for c in ("w", "salt", "doc", "pos"))
-        if not len(w):
+        key, salt, doc, pos = (batch.column(c).to_numpy() for c in ("key", "salt", "doc", "pos"))
+        if not len(key):
             continue
-        new = np.empty(len(w), bool)
-        new[0] = key != (w[0], salt[0])
-        new[1:] = (w[1:] != w[:-1]) | (salt[1:] != salt[:-1])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(w)), -1))
+        new = np.empty(len(key), bool)
+        new[0] = last != (key[0], salt[0])
+        new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
         old = at < 0
         first_doc, first_pos = doc[at], pos[at]
         if old.any():
             first_doc, first_pos = np.where(old, first[0], first_doc), np.where(old, first[1], first_pos)
-        key, first = (w[-1], salt[-1]), (first_doc[-1], first_pos[-1])
-        again = (doc != first_doc) | (pos != first_pos)
-        keep = again | (salt >= 0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(w[keep]), pa.array(doc[keep]), pa.array(pos[keep]), pa.array(again[keep])], ["w", "doc", "pos", "again"])
+        last, first = (key[-1], salt[-1]), (first_doc[-1], first_pos[-1])
+        again = pa.array((doc != first_doc) | (pos != first_pos))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in COLUMNS), again], [*COLUMNS, "again"])
 
 
 def _cut(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts, totals, gone = [], [], []
-            for text, starts in zip(batch.column("text"), batch.column("starts")):
+            kept, totals, gone = [], [], []
+            for text, pos, length in zip(*batch):
                 words = words_of(text.as_py())
                 removed = np.zeros(len(words), bool)
-                if starts.is_valid:
-                    # a row of the same id may be shorter than the one that a start comes from
-                    at = starts.values.to_numpy()
-                    at = at[at + window <= len(words)]
+                if pos.is_valid:
+                    start, end = pos.values.to_numpy(), pos.values.to_numpy() + length.values.to_numpy() - 1 + window
+                    # a row of the same id may be shorter than the one that a place comes from
+                    fits = end <= len(words)
                     edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
+                    np.add.at(edge, start[fits], 1)
+                    np.add.at(edge, end[fits], -1)
                     removed = np.cumsum(edge)[:-1] > 0
-                kept = [w for w, r in zip(words, removed.tolist()) if not r] if removed.any() else words
-                texts.append(b" ".join(kept).decode("utf-8", "replace"))
+                left = [w for w, r in zip(words, removed.tolist()) if not r] if removed.any() else words
+                kept.append(b" ".join(left).decode("utf-8", "replace"))
                 totals.append(len(words))
                 gone.append(int(removed.sum()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())],
-                ["doc_id", "text", "n_words", "n_removed"])
+            yield pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())],
+                                             ["kept", "n_words", "n_removed"])
     return run

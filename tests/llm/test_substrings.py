@@ -24,7 +24,7 @@ def brute(rows, window):
 
 def run(spark, rows, **how):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pos", F.lit("x")).withColumn("doc", F.lit(1)).repartition(3)
-    return sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in S.remove_repeats(df, **how).collect()), key=str)
+    return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in S.remove_repeats(df, **how).collect()), key=str)
 
 
 def made(seed, n=60):
