@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from growthcast.llm import bpe, collisions, jaccard, mixing, substrings, tokens, topk, toxicity
+from growthcast.llm import bpe, collisions, jaccard, mixing, pages, substrings, tokens, topk, toxicity
 from growthcast.llm.common import table
 from growthcast.llm.registry import ORACLES, QUERIES, query
 
@@ -16,6 +16,11 @@ def op1(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@query("op2_page_text")
+def op2(spark, sf_dir):
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def token_digests(encoded):
     ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
