@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from growthcast.llm import bpe, collisions, jaccard, mixing, pages, substrings, tokens, topk, toxicity
+from growthcast.llm import bpe, collisions, jaccard, mixing, pages, substrings, tokens, topk, toxicity, warc
 from growthcast.llm.common import table
 from growthcast.llm.registry import ORACLES, QUERIES, query
 
@@ -89,3 +89,10 @@ def op8(spark, sf_dir):
 def op10(spark, sf_dir):
     kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op9_warc_revisits")
+def op9(spark, sf_dir):
+    """Both captures of every page, written as WARC bytes and read again, with revisits resolved."""
+    captures = warc.records(warc.captures_of_pages(table(spark, sf_dir, "pages")))
+    return warc.resolve(captures).withColumn("headers", warc.sorted_json(F.col("headers")))
