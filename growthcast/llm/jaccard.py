@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from growthcast.llm import trees
 from growthcast.llm.components import connected
-from growthcast.llm.shingles import WordHashes
+from growthcast.llm.shingles import Hasher
 from growthcast.session import materialise
 
 WORDS, PERCENT = 5, 80
@@ -61,12 +61,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, n_shingles, component_id for every row."""
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"),
                         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    profile = materialise(texts.mapInArrow(_profiles(n), f"doc long, doc_id {docs.schema[id_col].dataType.simpleString()}, "
-                                           "n_shingles long, cls long, sig binary"), "profiles")
+    levels = texts.sparkSession.sparkContext.broadcast(_levels(texts, n))
+    profile = materialise(texts.mapInArrow(_profiles(n, percent, levels), f"doc long, doc_id {docs.schema[id_col].dataType.simpleString()}, "
+                                           "n_shingles long, cls long, sig binary, keys array<long>"), "profiles")
     classes = (profile.where(F.col("cls").isNotNull()).groupBy("cls")
                .agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig")))
     classes = materialise(classes, "classes")
-    links = _links(texts, classes, n, percent)
+    links = _links(texts, profile, classes, n, percent)
     parts = connected(links)
     named = (classes.select("cls", "doc").join(parts, F.col("cls") == F.col("node"), "left")
              .select("cls", "doc", F.coalesce("component", "cls").alias("component")))
@@ -77,10 +78,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", "n_shingles", F.when(component != LAST, component).alias("component_id"))
 
 
-def _links(texts: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+def _links(texts: DataFrame, profile: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b): links that connect the classes; copies of links that others imply may be left out."""
-    levels = texts.sparkSession.sparkContext.broadcast(_levels(texts, n))
-    keys = texts.select("text").mapInArrow(_keys(n, percent, levels), "key long, cls long")
+    keys = profile.select("cls", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least != most")
     keyed = materialise(keys.join(shared.select("key", "least"), "key").select("key", "cls", "least").distinct(), "keys")
     sigs = classes.select("cls", "size", "sig")
@@ -100,7 +100,7 @@ def _links(texts: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFr
     block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     dealt = group.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cross = materialise(dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "size", "sig", "root")
-                        .groupBy("key", "i", "j").applyInPandas(_cross(percent), "a long, b long").distinct(), "cross")
+                        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross(percent), "a long, b long").distinct(), "cross")
     # the sets of all classes that are compared as wholes
     needed = cluster.select("cls").union(cross.select("a")).union(cross.select("b")).distinct()
     wanted = classes.select("cls", "doc").join(needed, "cls").join(cluster, "cls", "left")
@@ -131,33 +131,37 @@ def _within(sets: DataFrame, percent: int) -> DataFrame:
     return rest.union(star.where("linked and cls != root").select(F.col("cls").alias("a"), F.col("root").alias("b")))
 
 
-def _shingles(text: str | None, n: int, cache: WordHashes) -> np.ndarray:
-    """Distinct shingles in order of their hash."""
+def _shingles(text: str | None, n: int, hasher: Hasher, distinct: bool = True) -> np.ndarray:
+    """Shingles of a text, in order of their hash if distinct."""
     # bytes.lower() changes A-Z alone
-    words = text.encode("utf-8", "replace").lower().split() if text else []
-    runs = cache.runs(words)
-    if 0 < len(words) < n:
-        return runs.of(len(words)) ^ np.uint64(len(words))
-    return np.unique(runs.of(n))
+    runs = hasher.runs((text or "").encode("utf-8", "replace").lower())
+    if 0 < runs.n < n:
+        return runs.of(runs.n) ^ np.uint64(runs.n)
+    return np.unique(runs.of(n)) if distinct else runs.of(n)
 
 
 def _class_of(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).view(np.int64))
 
 
-def _profiles(n: int):
+def _profiles(n: int, percent: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        hasher, level = Hasher(), levels.value
         for batch in batches:
-            size, cls, sig = [], [], []
+            size, cls, sig, keys = [], [], [], []
             for text in batch.column("text"):
-                tokens = _shingles(text.as_py(), n, cache)
+                tokens = _shingles(text.as_py(), n, hasher)
                 size.append(len(tokens))
                 cls.append(_class_of(tokens) if len(tokens) else None)
                 sig.append(trees.bitmap(tokens, trees.width(len(tokens), THIN)).tobytes() if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("doc_id"), pa.array(size, pa.int64()),
-                                              pa.array(cls, pa.int64()), pa.array(sig, pa.binary())],
-                                             ["doc", "doc_id", "n_shingles", "cls", "sig"])
+                # the tokens are in order of hash, which a stable sort keeps
+                first = len(tokens) - -(-percent * len(tokens) // 100) + 1 if len(tokens) else 0
+                keys.append(tokens[np.argsort(level[_bucket(tokens)], kind="stable")[:first]].view(np.int64))
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc"), batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))],
+                ["doc", "doc_id", "n_shingles", "cls", "sig", "keys"])
     return run
 
 
@@ -166,10 +170,10 @@ def _levels(texts: DataFrame, n: int) -> np.ndarray:
     per = (1 << BUCKET_BITS) // SLICES
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, counts = WordHashes(), np.zeros(1 << BUCKET_BITS, np.int32)
+        hasher, counts = Hasher(), np.zeros(1 << BUCKET_BITS, np.int32)
         for batch in batches:
             for text in batch.column("text"):
-                np.add.at(counts, _bucket(_shingles(text.as_py(), n, cache)), 1)
+                np.add.at(counts, _bucket(_shingles(text.as_py(), n, hasher, distinct=False)), 1)
         used = np.flatnonzero(counts.reshape(SLICES, per).any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([counts[k * per:(k + 1) * per].tobytes() for k in used], pa.binary())], ["k", "counts"])
 
@@ -193,38 +197,13 @@ def _bucket(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def _keys(n: int, percent: int, levels):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, level = WordHashes(), levels.value
-        for batch in batches:
-            keys, classes = [], []
-            for text in batch.column("text"):
-                tokens = _shingles(text.as_py(), n, cache)
-                if not len(tokens):
-                    continue
-                first = len(tokens) - -(-percent * len(tokens) // 100) + 1
-                # the tokens are in order of hash, which a stable sort keeps
-                keys.append(tokens[np.argsort(level[_bucket(tokens)], kind="stable")[:first]].view(np.int64))
-                classes.append(np.full(first, _class_of(tokens)))
-                if len(keys) == 2_000:
-                    yield _two(keys, classes)
-                    keys, classes = [], []
-            if keys:
-                yield _two(keys, classes)
-    return run
-
-
-def _two(keys: list, classes: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(classes))], ["key", "cls"])
-
-
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        hasher = Hasher()
         for batch in batches:
             cls, root, out = [], [], []
             for text, c, r in zip(batch.column("text"), batch.column("cls").to_pylist(), batch.column("root").to_pylist()):
-                tokens = _shingles(text.as_py(), n, cache)
+                tokens = _shingles(text.as_py(), n, hasher)
                 if len(tokens) and _class_of(tokens) == c:  # rows of one id may have other texts
                     cls.append(c)
                     root.append(r)
@@ -267,20 +246,57 @@ def _similar(percent: int):
 
 
 def _cross(percent: int):
-    """Pairs of classes of different clusters that the signature trees leave, in one pair of blocks of a key."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        cls, root, sizes = (rows[c].to_numpy() for c in ("cls", "root", "size"))
-        maps = [np.frombuffer(m, np.uint64) for m in rows["sig"]]
-        side = (rows["own"].to_numpy() != rows["i"].iloc[0]).astype(np.int64) if rows["i"].iloc[0] != rows["j"].iloc[0] else None
-        a, b = [], []
-        for x, y in trees.candidate_pairs(sizes, maps, percent, side):
-            ok = root[x] != root[y]
-            a.append(np.minimum(cls[x[ok]], cls[y[ok]]))
-            b.append(np.maximum(cls[x[ok]], cls[y[ok]]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)} if a else {"a": [], "b": []}, dtype="int64")
+    """Pairs of classes of different clusters that the signature trees leave, for each pair of blocks of a key.
+
+    Rows come in order of their group. Trees of at most ``trees.FAN`` leaves, most
+    of them, are roots only, so their pairs are taken for many groups at once.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _and_last(batches):
+            if batch is not None:
+                held = batch if held is None else pa.concat_batches([held, batch])
+                if held.num_rows < 2 * BLOCK:
+                    continue
+            if held is None or not held.num_rows:
+                continue
+            group = np.stack([held.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
+            start = np.flatnonzero(np.append(True, (group[:, 1:] != group[:, :-1]).any(0)))
+            # the last group may go on in the next batch
+            upto = held.num_rows if batch is None else int(start[-1])
+            if upto:
+                yield _cross_rows(held.slice(0, upto), start[start < upto], percent)
+                held = held.slice(upto)
     return run
 
 
+def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _cross_rows(rows: pa.RecordBatch, start: np.ndarray, percent: int) -> pa.RecordBatch:
+    cls, root, size, own, i, j = (rows.column(c).to_numpy() for c in ("cls", "root", "size", "own", "i", "j"))
+    maps = [np.frombuffer(m.as_buffer(), np.uint64) for m in rows.column("sig")]
+    length = np.diff(np.append(start, rows.num_rows))
+    pairs = []
+    for n in range(2, trees.FAN + 1):
+        first = start[length == n]
+        p, q = np.triu_indices(n, 1)
+        pairs.append(((first[:, None] + p).ravel(), (first[:, None] + q).ravel()))
+    x, y = (np.concatenate(z) for z in zip(*pairs))
+    across = (root[x] != root[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
+    x, y = x[across], y[across]
+    may = trees.possible_leaves(size, maps, x, y, percent)
+    found = [(x[may], y[may])]
+    for s, n in zip(start[length > trees.FAN].tolist(), length[length > trees.FAN].tolist()):
+        side = (own[s:s + n] != i[s]).astype(np.int64) if i[s] != j[s] else None
+        found += [(x + s, y + s) for x, y in trees.candidate_pairs(size[s:s + n], maps[s:s + n], percent, side)]
+    x, y = (np.concatenate(z) for z in zip(*found))
+    x, y = x[root[x] != root[y]], y[root[x] != root[y]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[x], cls[y])), pa.array(np.maximum(cls[x], cls[y]))], ["a", "b"])
+
+
 def _inner(percent: int):
     """Links between two blocks of a cluster that connect what isn't connected yet."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:

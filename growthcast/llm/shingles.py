@@ -1,13 +1,15 @@
-"""64-bit hashes of words and of runs of words, for whole arrays at once.
+"""64-bit hashes of words and of runs of words, for whole texts at once.
 
-The functions run inside tasks on one document at a time. Two different runs
-of words share a hash with probability 2^-64.
+The functions run inside tasks on one document at a time, on arrays only. A
+word's hash is a sum over its bytes, a run's hash a sum over its words, each
+term times a power of an odd number from the start on; differences of running
+sums give any of them. Two different words, or runs, share a hash with
+probability 2^-64.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 #: An odd multiplier and its inverse modulo 2^64.
 _MUL = 0x9E3779B97F4A7C15
@@ -15,38 +17,38 @@ _INV = pow(_MUL, -1, 1 << 64)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
-class WordHashes(dict):
-    """Hash of a word, kept for words that come again (up to ``most``)."""
+class Hasher:
+    """Makes ``Runs`` of texts; keeps the tables that it needs for that."""
 
-    def __init__(self, most: int = 500_000):
-        super().__init__()
-        self.most = most
+    def __init__(self):
+        self.of_byte = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
+        # words are separated by the space and U+0009 to U+000D, which no other UTF-8 sequence contains
+        self.inside = np.ones(256, bool)
+        self.inside[[32, *range(9, 14)]] = False
         self.powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-    def runs(self, words: list[bytes]) -> Runs:
-        n = len(words) + 1
-        if len(self.powers[0]) < n:
-            m = 1 << n.bit_length()
+    def runs(self, text: bytes) -> Runs:
+        data = np.frombuffer(text, np.uint8)
+        n = len(data)
+        if len(self.powers[0]) <= n:
+            m = 2 << n.bit_length()
             self.powers = tuple(np.concatenate((np.ones(1, np.uint64), np.full(m - 1, x, np.uint64))).cumprod(dtype=np.uint64) for x in (_MUL, _INV))
-        return Runs(self.of(words), *(p[:n] for p in self.powers))
+        edge = np.zeros(n + 2, np.int8)
+        edge[1:-1] = self.inside[data]
+        edge = np.flatnonzero(edge[1:] != edge[:-1])
+        start, end = edge[::2], edge[1::2]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.of_byte[data] * self.powers[1][:n], out=sums[1:])
+        return Runs(mixed((sums[end] - sums[start]) * self.powers[0][start]), *self.powers)
 
 
 class Runs:
-    """Hashes of runs of one document's words: sums of word hashes times powers of ``_INV``, from the run's start."""
+    """Hashes of the runs of one document's words."""
 
-    def __init__(self, hashes: np.ndarray, powers: np.ndarray, inverse: np.ndarray):
-        self.n, self.powers = len(hashes), powers
+    def __init__(self, words: np.ndarray, powers: np.ndarray, inverse: np.ndarray):
+        self.n, self.powers = len(words), powers
         self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(hashes * inverse[:-1], out=self.sums[1:])
+        np.cumsum(words * inverse[:self.n], out=self.sums[1:])
 
     def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of words start to end - 1, for arrays of places."""

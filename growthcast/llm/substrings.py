@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from growthcast.llm.common import words_of
-from growthcast.llm.shingles import Runs, WordHashes, mixed
+from growthcast.llm.shingles import Hasher, Runs, mixed
 from growthcast.session import materialise
 
 WINDOW, SEED, HOT = 20, 6, 5_000
@@ -130,12 +130,12 @@ def _in_batches(rows: Iterator[tuple], names: list[str], types: list) -> Iterato
 
 def _anchor_rows(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        hasher = Hasher()
 
         def rows():
             for batch in batches:
                 for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text")):
-                    runs = cache.runs(words_of(text.as_py()))
+                    runs = hasher.runs((text.as_py() or "").encode("utf-8", "replace"))
                     at = _places(runs, window, seed)
                     if len(at):
                         at = at[np.append(True, at[1:] != at[:-1])]
@@ -153,12 +153,12 @@ def _salt(doc: int, salts: np.ndarray) -> np.ndarray:
 def _stretch_rows(window: int, seed: int):
     """For each joined anchor of a document, the stretch of windows that picked it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        hasher = Hasher()
 
         def rows():
             for batch in batches:
                 for doc, text, anchor, salts in zip(*(batch.column(c) for c in ("doc", "text", "anchor", "salts"))):
-                    doc, runs = doc.as_py(), cache.runs(words_of(text.as_py()))
+                    doc, runs = doc.as_py(), hasher.runs((text.as_py() or "").encode("utf-8", "replace"))
                     at = _places(runs, window, seed)
                     if not len(at):  # a row of the same id may be shorter
                         continue
@@ -184,12 +184,12 @@ def _stretch_rows(window: int, seed: int):
 def _window_rows(window: int):
     """Every window of the given stretches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        hasher = Hasher()
 
         def rows():
             for batch in batches:
                 for doc, text, *lists in zip(*(batch.column(c) for c in ("doc", "text", "pos", "len", "salts", "anchor"))):
-                    doc, runs = doc.as_py(), cache.runs(words_of(text.as_py()))
+                    doc, runs = doc.as_py(), hasher.runs((text.as_py() or "").encode("utf-8", "replace"))
                     pos, length, salts, anchor = (x.values.to_numpy() for x in lists)
                     row = np.repeat(np.arange(len(pos)), length)
                     start = pos[row] + np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)

@@ -71,6 +71,28 @@ def possible(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray, percent: int) ->
     return ~apart & (most * (100 + percent) >= percent * (x[1][i] + y[1][j]))
 
 
+def possible_leaves(sizes: np.ndarray, maps: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """``possible`` for pairs of sets with bitmaps of any width."""
+    out = np.zeros(len(i), bool)
+    words = np.array([len(m) for m in maps], np.int64)
+    swap = words[i] > words[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    for w in np.unique(words[i]).tolist():
+        for v in (w, 2 * w):
+            at = np.flatnonzero((words[i] == w) & (words[j] == v))
+            if not len(at):
+                continue
+            sides = []
+            for k in (i[at], j[at]):
+                rows, place = np.unique(k, return_inverse=True)
+                m = fold(np.stack([maps[r] for r in rows.tolist()]), w)
+                n = sizes[rows]
+                sides.append(((m, n, n, n - np.bitwise_count(m).sum(1)), place))
+            (x, px), (y, py) = sides
+            out[at] = possible(x, px, y, py, percent)
+    return out
+
+
 def meet(x: Tree, y: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Dual traversal: blocks of pairs (ids of x, ids of y) that the bitmaps allow; of a tree with itself each pair once."""
     same = x is y
