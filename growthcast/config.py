@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 
@@ -47,7 +48,7 @@ class TimeAxis:
 
     def run_id(self, roles: Roles, filter_id: str) -> str:
         years = f"{self.start}-{self.source}-{self.target}-{self.window}"
-        return f"{roles.entity}-{roles.measure}-{filter_id}-{years}"
+        return re.sub(r"[^A-Za-z0-9._-]+", "_", f"{roles.entity}-{roles.measure}-{filter_id}-{years}")
 
 
 YEARS = TimeAxis(1975, 2005, 2015)

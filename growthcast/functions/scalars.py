@@ -83,9 +83,9 @@ def cumulative_to_increments(history) -> Column:
 
 def shifted_running_sum(increments, prior: float = 10.0) -> Column:
     """C_t = prior + sum of the increments before t, as an array."""
-    h = _c(increments)
-    return F.transform(
-        h, lambda x, i: F.aggregate(F.slice(h, F.lit(1), i), F.lit(float(prior)), lambda s, v: s + v))
+    # one fold: the sums so far, the last of them being the next to shift
+    sums = F.aggregate(_c(increments), F.array(F.lit(float(prior))), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+    return F.slice(sums, F.lit(1), F.size(_c(increments)))
 
 
 def history_span(increments) -> tuple[Column, Column]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-BUCKETS = 128
-ONE_TASK_ROWS = 100_000  # up to this many values are ranked by a single task
+BUCKET_ROWS = 50_000  # values that one task ranks, about
+PARTS = 256           # parts that a value range is cut into by one pass of ``values_at``
 
 
 def top_n(df: DataFrame, n: int, by: Column, cells: Sequence[str] = (), tie: str = "row_id") -> DataFrame:
@@ -35,57 +36,78 @@ def argmax_row(df: DataFrame, value: str, cells: Sequence[str], key: str = "row_
         F.max_by(key, F.struct(F.col(value), -F.col(key))).alias(key), F.max(value).alias(value))
 
 
-def _edges(df: DataFrame, value: str, buckets: int) -> list[float]:
-    """Bucket boundaries near the quantiles; at most ``buckets`` numbers, none for few values."""
+def _edges(df: DataFrame, value: str, rows: int) -> list[float]:
+    """Bucket boundaries near the quantiles, one for about every ``rows`` values."""
+    n = df.agg(F.count(value)).first()[0]
+    buckets = math.ceil(n / rows)
+    if buckets < 2:
+        return []
     steps = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.count(value).alias("n"),
-                 F.percentile_approx(F.col(value), steps, 10 * buckets).alias("q")).first()
-    return [] if row.n <= ONE_TASK_ROWS else sorted(set(row.q))
+    return sorted(set(df.agg(F.percentile_approx(F.col(value), steps, max(10_000, 10 * buckets))).first()[0]))
 
 
-def _bucket(value: str, edges: list) -> Column:
-    """Number of edges <= value, by halving the edge list in nested CASEs of depth log2."""
-    def descend(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(value) < F.lit(edges[mid]), descend(lo, mid)).otherwise(descend(mid + 1, hi))
-
-    return descend(0, len(edges))
-
-
-def _with_offsets(hist: DataFrame, value: str, buckets: int) -> DataFrame:
-    """(value, n) histogram -> plus ``_before`` rows below the value and ``_total``."""
-    edges = _edges(hist, value, buckets)
-    placed = hist.withColumn("_b", _bucket(value, edges))
-    per_bucket = placed.groupBy("_b").agg(F.sum("n").alias("_m"))
-    # at most ``buckets`` rows from here to the join
+def _with_offsets(hist: DataFrame, value: str, rows: int) -> DataFrame:
+    """(value, n) histogram -> plus ``_before`` rows below the value and ``_total``; a NULL value counts as the lowest."""
+    edges = F.lit(_edges(hist, value, rows)).cast("array<double>")
+    # number of edges <= value; NULL is alone in bucket -1
+    below = F.size(F.filter(edges, lambda e: e <= F.col(value).cast("double")))
+    placed = hist.withColumn("_b", F.when(F.col(value).isNull(), -1).otherwise(below))
+    # one row per bucket from here to the join
+    heads = placed.groupBy("_b").agg(F.sum("n").alias("_m"))
     whole = W.orderBy("_b")
-    heads = per_bucket.select(
-        "_b",
-        F.coalesce(F.sum("_m").over(whole.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_head"),
+    heads = heads.select(
+        "_b", F.coalesce(F.sum("_m").over(whole.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_head"),
         F.sum("_m").over(whole.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_total"))
     inside = W.partitionBy("_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return (placed.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-            .join(F.broadcast(heads), "_b")
+    return (placed.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(heads, "_b")
             .select(value, "n", (F.col("_head") + F.col("_in")).alias("_before"), "_total"))
 
 
-def global_row_number(df: DataFrame, key: str, out: str, total: str | None = None,
-                      buckets: int = BUCKETS) -> DataFrame:
+def values_at(df: DataFrame, key: str, ranks: Sequence[int]) -> list[int]:
+    """The whole numbers at 0-based ranks of a unique key, found by counting.
+
+    Each pass cuts every bracket into ``PARTS`` equal parts and counts the rows
+    in them, so nothing is sorted or joined: passes grow with the logarithm of
+    the key's range (below 2^63), and the driver gets ``PARTS`` counts for each rank.
+    """
+    if not ranks:
+        return []
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    brackets = [(low, high, r) for r in ranks]  # first and last value, rank inside
+    while any(a < b for a, b, _ in brackets):
+        widths = [-(-(b - a + 1) // PARTS) for a, b, _ in brackets]
+        spans = {(a, b): w for (a, b, _), w in zip(brackets, widths)}
+        part = F.array(*[F.when(F.col(key).between(a, b), F.struct(F.lit(i).alias("i"), F.expr(f"({key} - {a}L) div {w}L").alias("p")))
+                         for i, ((a, b), w) in enumerate(spans.items())])
+        counted = (df.select(F.explode(F.filter(part, lambda x: x.isNotNull())).alias("x")).groupBy("x.i", "x.p").count().collect())
+        counts: dict[int, dict[int, int]] = {}
+        for row in counted:
+            counts.setdefault(row["i"], {})[row["p"]] = row["count"]
+        number, narrowed = {ab: i for i, ab in enumerate(spans)}, []
+        for (a, b, r), w in zip(brackets, widths):
+            for p, n in sorted(counts[number[a, b]].items()):
+                if r < n:
+                    narrowed.append((a + p * w, min(b, a + (p + 1) * w - 1), r))
+                    break
+                r -= n
+        brackets = narrowed
+    return [a for a, _, _ in brackets]
+
+
+def global_row_number(df: DataFrame, key: str, out: str, total: str | None = None, rows: int = BUCKET_ROWS) -> DataFrame:
     """Dense 1-based position by a unique key, sorted bucket by bucket."""
-    hist = df.select(key).withColumn("n", F.lit(1))
-    pos = _with_offsets(hist, key, buckets)
+    pos = _with_offsets(df.select(key).withColumn("n", F.lit(1)), key, rows)
     cols = [key, (F.col("_before") + 1).alias(out)] + ([F.col("_total").alias(total)] if total else [])
     return df.join(pos.select(*cols), key)
 
 
-def percent_rank(df: DataFrame, value: str, out: str, buckets: int = BUCKETS) -> DataFrame:
-    """(rank - 1) / (n - 1) over all rows, from the histogram of distinct values."""
+def percent_rank(df: DataFrame, value: str, out: str, rows: int = BUCKET_ROWS) -> DataFrame:
+    """(rank - 1) / (n - 1) over all rows, from the histogram of distinct values; NULL values rank first, as one value."""
     hist = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    pos = _with_offsets(hist, value, buckets)
+    pos = _with_offsets(hist, value, rows)
     rank = F.when(F.col("_total") > 1, F.col("_before") / (F.col("_total") - 1)).otherwise(F.lit(0.0))
-    return df.join(pos.select(value, rank.alias(out)), value)
+    ranks = pos.select(F.col(value).alias("_v"), rank.alias(out))
+    return df.join(ranks, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
 
 
 def exact_median(df: DataFrame, value: str, cells: Sequence[str], accuracy: int = 10_000) -> DataFrame:
@@ -99,7 +121,8 @@ def exact_median(df: DataFrame, value: str, cells: Sequence[str], accuracy: int
         F.percentile_approx(value, [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)], accuracy).alias("_q"),
         F.count(value).alias("_n"))
     v = F.col(value)
-    near = df.join(sketch, list(cells))
+    # one row per cell
+    near = df.join(F.broadcast(sketch), list(cells))
     below = near.groupBy(*cells).agg(F.count_if(v < F.col("_q")[0]).alias("_low"))
     hist = (near.where(v.between(F.col("_q")[0], F.col("_q")[1]))
             .groupBy(*cells, "_n", value).agg(F.count(F.lit(1)).alias("_c"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from growthcast.operators.ranking import global_row_number
+from growthcast.operators.ranking import values_at
+from growthcast.session import materialise
 
 HEX_DIGITS = 12
 CANDIDATE_FACTOR = 8  # candidates per wanted row before the final sort
@@ -46,19 +47,30 @@ def holdout_rows(entities: DataFrame, seed: int = 12, cap: int = 10_000, key: st
 
 def holdout_split(entities: DataFrame, seed: int = 12, cap: int = 10_000, key: str = "row_id") -> DataFrame:
     """(key, split) for every entity; what is not held out trains."""
-    held = holdout_rows(entities, seed, cap, key)
+    return with_split(entities.select(key), seed, cap, key)
+
+
+def with_split(wide: DataFrame, seed: int = 12, cap: int = 10_000, key: str = "row_id") -> DataFrame:
+    """Plus ``split``. The hold-out list is written once, so that no fit or prediction looks for it again."""
+    held = materialise(holdout_rows(wide, seed, cap, key), "holdout")
     # bounded by 2 * cap rows, whatever the input
-    return (entities.select(key).join(F.broadcast(held), key, "left")
-            .withColumn("split", F.coalesce("split", F.lit("train"))))
+    return wide.join(F.broadcast(held), key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
 def contiguous_folds(df: DataFrame, k: int, key: str = "row_id") -> DataFrame:
-    """``fold`` 0..k-1: contiguous unshuffled blocks, the first n mod k one longer."""
-    ranked = global_row_number(df, key, "_i", total="_n")
-    i, q, r = F.col("_i") - 1, F.expr(f"_n div {k}"), F.col("_n") % k
-    head = r * (q + 1)
-    fold = F.when(i < head, F.floor(i / (q + 1))).otherwise(r + F.floor((i - head) / F.greatest(q, F.lit(1))))
-    return ranked.withColumn("fold", fold.cast("int")).drop("_i", "_n")
+    """``fold`` 0..k-1: contiguous unshuffled blocks of a whole-number key, the first n mod k one longer.
+
+    Only the first keys of the folds are looked up, so the rows are neither
+    sorted nor joined.
+    """
+    n = df.count()
+    q, r = divmod(n, k)
+    sizes = [q + (i < r) for i in range(k)]
+    starts = [sum(sizes[:i]) for i in range(1, k) if sizes[i]]
+    fold = F.lit(0)
+    for first in values_at(df.select(key), key, starts):
+        fold = fold + F.when(F.col(key) >= F.lit(first), 1).otherwise(0)
+    return df.withColumn("fold", fold.cast("int"))
 
 
 def sorted_members(split: DataFrame, name: str, key: str = "row_id") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from growthcast.models.baselines import Constant, SimpleLinear, VariableK, predict_all
 from growthcast.operators.filters import range_predicate, parse_filters
 from growthcast.operators.reshape import stack_horizons
-from growthcast.operators.split import holdout_rows
+from growthcast.operators.split import with_split
 from growthcast.plans import fixture
 from growthcast.session import materialise
 
@@ -21,10 +21,7 @@ def entities(spark: SparkSession, sf_dir: str, filters: str = MIN_CITATIONS) ->
 
 
 def split_wide(spark: SparkSession, sf_dir: str, filters: str = MIN_CITATIONS) -> DataFrame:
-    wide = entities(spark, sf_dir, filters)
-    # the hold-out has at most 20,000 rows
-    return (wide.join(F.broadcast(holdout_rows(wide)), "row_id", "left")
-            .withColumn("split", F.coalesce("split", F.lit("train"))))
+    return with_split(entities(spark, sf_dir, filters))
 
 
 def long_frame(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -390,7 +390,8 @@ def f02(spark, sf):
 
 @query("w01_running_sum_before", "SELECT row_id, t, 10 + CAST(cum - inc AS DOUBLE) AS before FROM series_all")
 def w01(spark, sf):
-    return R.running_sum_before(R.series_long(paper_inc(spark, sf), "inc")).select("row_id", "t", "before")
+    before = paper_inc(spark, sf).select("row_id", S.shifted_running_sum("inc").alias("before"))
+    return R.series_long(before, "before", "before")
 
 
 cte("key_series", """

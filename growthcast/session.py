@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    A local session without that setting uses one beside its warehouse.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None and sc.getCheckpointDir() is None:
         if not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="growthcast-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_growthcast"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return (named or sc.getCheckpointDir()).rstrip("/")

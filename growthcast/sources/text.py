@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-
-BROADCAST_ROWS = 100_000
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 
 def read_table(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -37,25 +35,24 @@ def matrix_columns(columns: Sequence[str], line: str | Column = "value") -> list
 
 
 def numbered_lines(spark: SparkSession, path: str, out: str = "row_id") -> DataFrame:
-    """Lines with their 0-based position over the files in name order.
+    """Lines with their 0-based position over the files in order of their numbers.
 
     A file split is read by one task from top to bottom, so a line's place in
-    its split is the distance of its increasing id from the split's first.
-    One light pass counts lines per split; prefix sums over the splits (one
-    row each) turn places into positions. Nothing is sorted.
+    its split is the distance of its increasing id from the split's first. One
+    light pass counts lines per split; running sums over the splits of a file
+    and over the files (one row each) turn places into positions. Part files
+    are ordered by their number, as names stop being padded at 100,000.
     """
     tagged = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
         F.monotonically_increasing_id().alias("_id"))
     splits = tagged.groupBy("_f", "_b").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    counted = splits.orderBy("_f", "_b").collect()  # one row per file split, not per line
-    rows, offset = [], 0
-    for s in counted:
-        rows.append((s["_f"], s["_b"], s["_first"], offset))
-        offset += s["_n"]
-    heads = spark.createDataFrame(rows, "_f string, _b bigint, _first bigint, _offset bigint")
-    if len(rows) <= BROADCAST_ROWS:
-        heads = F.broadcast(heads)
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    number = F.regexp_extract("_f", r"part-(\d+)", 1).cast("bigint")
+    files = splits.groupBy("_f").agg(F.sum("_n").alias("_n")).select(
+        F.col("_f"), earlier(W.orderBy(number.asc_nulls_first(), "_f")).alias("_head"))
+    heads = (splits.withColumn("_inside", earlier(W.partitionBy("_f").orderBy("_b"))).join(files, "_f")
+             .select("_f", "_b", "_first", (F.col("_head") + F.col("_inside")).alias("_offset")))
     return tagged.join(heads, ["_f", "_b"]).select(
         (F.col("_offset") + F.col("_id") - F.col("_first")).alias(out), "value")
 

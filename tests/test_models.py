@@ -120,7 +120,7 @@ def test_boosting_takes_median_steps(spark, wide):
     rows = _train(wide)
     from growthcast.models.trees import assembled
     boost = MedianBoost(["base", "delta"], stages=2, depth=2).fit(assembled(rows, ["base", "delta"]), "y_1")
-    pdf = rows.select("y_1", boost.prediction().alias("f"), *[F.expr(leaf).alias(f"l{i}") for i, (leaf, _) in enumerate(boost.trees)]).toPandas()
+    pdf = rows.select("y_1", boost.prediction().alias("f"), *[F.expr(tree.leaf(["base", "delta"])).alias(f"l{i}") for i, tree in enumerate(boost.trees)]).toPandas()
     f = np.full(len(pdf), np.sort(pdf.y_1)[(len(pdf) - 1) // 2])
     for i in range(2):
         r = pdf.y_1 - f

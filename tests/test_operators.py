@@ -1,5 +1,6 @@
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -36,17 +37,27 @@ def test_ties_go_to_the_lowest_id(spark):
     assert K.argmax_row(df, "v", ["g"]).first().row_id == 1
 
 
-def test_bucketed_ranks_match_plain_windows(spark, monkeypatch):
-    monkeypatch.setattr(K, "ONE_TASK_ROWS", 10)
+@pytest.mark.parametrize("rows", [100, 50_000])
+def test_bucketed_ranks_match_plain_windows(spark, rows):
     rng = random.Random(5)
     # a third of the rows share one value
     vals = [0.25 if rng.random() < 0.34 else round(rng.gauss(0, 1), 3) for _ in range(3000)]
     df = spark.createDataFrame(list(enumerate(vals)), "row_id bigint, v double")
-    got = {r.row_id: r.pr for r in K.percent_rank(df, "v", "pr").collect()}
+    got = {r.row_id: r.pr for r in K.percent_rank(df, "v", "pr", rows).collect()}
     below = {v: sum(x < v for x in vals) for v in set(vals)}
     assert all(got[i] == below[v] / (len(vals) - 1) for i, v in enumerate(vals))
-    pos = {r.row_id: r.i for r in K.global_row_number(df, "row_id", "i").collect()}
+    pos = {r.row_id: r.i for r in K.global_row_number(df, "row_id", "i", rows=rows).collect()}
     assert pos == {i: i + 1 for i in range(3000)}
+    odd = spark.createDataFrame([(1, None), (2, 1.0), (3, None), (4, 2.0), (5, 1.0)], "row_id bigint, v double")
+    assert {r.row_id: r.pr for r in K.percent_rank(odd, "v", "pr", rows).collect()} == {1: 0, 3: 0, 2: .5, 5: .5, 4: 1}
+
+
+def test_values_at_ranks(spark):
+    rng = random.Random(3)
+    keys = sorted(rng.sample(range(-10**12, 10**12), 2000) + [2**61, -2**61])
+    df = spark.createDataFrame([(k,) for k in keys], "row_id bigint")
+    ranks = [0, 1, 7, 1000, 2000, 2001]
+    assert K.values_at(df, "row_id", ranks) == [keys[i] for i in ranks]
 
 
 @pytest.mark.parametrize("accuracy", [10, 10_000])
@@ -181,6 +192,16 @@ def test_sources_round_trip(spark):
         assert got == dict(enumerate(lines))
 
 
+def test_part_files_go_by_number(spark):
+    path = new_table_path(spark, "parts")
+    spark.createDataFrame([("b",)], "value string").coalesce(1).write.text(path)
+    part, = Path(path.removeprefix("file:")).glob("part-*.txt")
+    for n, text in (("99999", "x\ny\n"), ("100000", "z\n")):
+        part.with_name(f"part-{n}-{part.name.split('-', 2)[2]}").write_text(text)
+    got = {r.row_id: r.value for r in TX.numbered_lines(spark, path).collect()}
+    assert got == dict(enumerate("bxyz"))
+
+
 def test_read_or_build_builds_once(spark):
     path, calls = new_table_path(spark, "snap"), []
 
