@@ -25,6 +25,7 @@ chunk of its own; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from growthcast.llm.tokens import Splitter, byte_letters, tokenizer_path
 
-CHUNK = 32_000_000
+CHUNK = 16_000_000
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -41,10 +42,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = path or tokenizer_path()
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    words = (texts.mapInArrow(_words(path, chunk), "chunk long, k int, word string")
-             .repartition("word").sortWithinPartitions("word").mapInArrow(_merge(path), "chunk long, k int, ids binary"))
     # both maps read the same columns, so they see the same partitions and make the same chunks
-    coded = texts.mapInArrow(_codes(path, chunk), f"chunk long, doc_id {kind}, codes binary")
+    words = (texts.mapInArrow(_words(path, chunk), "chunk long, k int, word string")
+             .repartition("word").sortWithinPartitions("word").mapInArrow(_merge(path), "chunk long, packed binary"))
+    coded = texts.mapInArrow(_codes(path, chunk), f"chunk long, doc_ids array<{kind}>, packed binary")
     pieces = texts.sparkSession.sparkContext.broadcast(piece_bytes(path))
     return (words.groupBy("chunk").cogroup(coded.groupBy("chunk"))
             .applyInArrow(_lay_out(pieces), f"doc_id {kind}, ids array<int>, decoded string"))
@@ -82,33 +83,59 @@ def decode(ids: DataFrame, keys: list[str], ids_col: str = "ids", path: str | No
     return joined.groupBy(*keys).agg(parts.alias("_parts")).select(*keys, text.alias("text"))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], split: Splitter, chunk: int):
-    """(number of the chunk, numbers of its words, its (row of the batch, codes)) chunk by chunk."""
+class Numbers(dict):
+    """Numbers words in the order in which they come first."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Whole numbers below 2^32, compressed for the shuffle: lengths, then byte by byte, as high bytes are mostly zero."""
+    import zstandard
+
+    body = b"".join(a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(arrays), *map(len, arrays)], "<u4").tobytes() + body)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    lengths = np.frombuffer(raw, "<u4", np.frombuffer(raw, "<u4", 1)[0], 4).tolist()
+    out, at = [], 4 + 4 * len(lengths)
+    for n in lengths:
+        out.append(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T.copy().view("<u4").ravel())
+        at += 4 * n
+    return out
+
+
+def _texts(batches: Iterator[pa.RecordBatch], chunk: int):
+    """(chunk's number, id, text) in order; the number changes before a chunk would exceed its size."""
     from pyspark import TaskContext
 
-    base, n = TaskContext.get().partitionId() << 24, 0
-    number: dict[str, int] = {}
-    coded, length = [], 0
+    at, length = TaskContext.get().partitionId() << 24, 0
     for batch in batches:
-        texts = batch.column("text")
-        for row in range(len(texts)):
-            text = texts[row].as_py() or ""
-            if coded and length + len(text) > chunk:
-                yield base + n, number, coded
-                n, number, coded, length = n + 1, {}, [], 0
+        for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+            text = text.as_py() or ""
+            if length and length + len(text) > chunk:
+                at, length = at + 1, 0
             length += len(text)
-            words = split(text)
-            codes = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
-            coded.append((batch, row, codes))
-    if coded:
-        yield base + n, number, coded
+            yield at, doc_id, text
 
 
 def _words(path: str, chunk: int):
+    """The distinct words of every chunk with their numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, number, _ in _chunks(batches, Splitter(path), chunk):
+        split = Splitter(path)
+        for at, rows in groupby(_texts(batches, chunk), lambda r: r[0]):
+            number = Numbers()
+            for _, _, text in rows:
+                for word in dict.fromkeys(split(text)):
+                    number[word]
             words = list(number)
-            for i in range(0, max(len(words), 1), 50_000):
+            for i in range(0, len(words), 50_000):
                 part = words[i:i + 50_000]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(part), at)), pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part, pa.string())],
@@ -116,47 +143,67 @@ def _words(path: str, chunk: int):
     return run
 
 
-def _codes(path: str, chunk: int):
+def _codes(path: str, chunk: int, together: int = 500):
+    """Documents as numbers of their words, some of them in each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, _, coded in _chunks(batches, Splitter(path), chunk):
-            for i in range(0, len(coded), 1_000):
-                part = coded[i:i + 1_000]
-                ids = pa.concat_arrays([b.column("doc_id").slice(r, 1) for b, r, _ in part])
-                # low bytes of all codes first: the high ones are mostly zero and shrink in the shuffle
-                packed = [c.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for _, _, c in part]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), at)), ids, pa.array(packed, pa.binary())], ["chunk", "doc_id", "codes"])
+        split = Splitter(path)
+        for at, rows in groupby(_texts(batches, chunk), lambda r: r[0]):
+            number = Numbers()
+            while part := list(islice(rows, together)):
+                codes = []
+                for _, _, text in part:
+                    words = split(text)
+                    codes.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+                ids = pa.array([r[1].as_py() for r in part], part[0][1].type)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([at]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                     pa.array([pack(np.array(list(map(len, codes))), np.concatenate(codes))], pa.binary())], ["chunk", "doc_ids", "packed"])
     return run
 
 
 def _merge(path: str):
-    """Ids of sorted words: each run of one word is merged once."""
+    """Ids of sorted words: each run of one word is merged once. A batch gives one row to each chunk: numbers, lengths, ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, last, ids = Splitter(path), None, b""
+        split, last, ids = Splitter(path), None, []
         for batch in batches:
-            out = []
+            found, length = [], []
             for word in batch.column("word").to_pylist():
                 if word != last:
-                    last, ids = word, np.array(split.merge(word), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("k"), pa.array(out, pa.binary())], ["chunk", "k", "ids"])
+                    last, ids = word, split.merge(word)
+                found.append(ids)
+                length.append(len(ids))
+            chunk, k, length = batch.column("chunk").to_numpy(), batch.column("k").to_numpy(), np.array(length, np.int64)
+            order = np.argsort(chunk, kind="stable")
+            names, start = np.unique(chunk[order], return_index=True)
+            packed = []
+            for rows in np.split(order, start[1:]):
+                packed.append(pack(k[rows], length[rows], np.array([i for r in rows.tolist() for i in found[r]], np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(packed, pa.binary())], ["chunk", "packed"])
     return run
 
 
 def _lay_out(pieces):
     def run(words: pa.Table, coded: pa.Table) -> pa.Table:
-        k = words.column("k").to_numpy()
-        of_word: list[bytes] = [b""] * len(k)
-        for i, ids in zip(k.tolist(), words.column("ids")):
-            of_word[i] = ids.as_py()
+        parts = [unpack(x.as_py()) for x in words.column("packed")]
+        k, count, ids = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.uint32) for i in range(3))
+        first = np.cumsum(count, dtype=np.int64) - count
+        # by number of the word: where its ids are, and its text
+        place = np.argsort(k)
+        first, count = first[place], count[place].astype(np.int64)
         piece = pieces.value
-        count = np.array([len(x) // 4 for x in of_word], np.int64)
-        text_of = [b"".join([piece[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in of_word]
-        values, ends, texts = [], [0], []
-        for packed in coded.column("codes"):
-            codes = np.frombuffer(packed.as_buffer(), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
-            values.append(b"".join([of_word[c] for c in codes.tolist()]))
-            ends.append(ends[-1] + int(count[codes].sum()))
-            texts.append(b"".join([text_of[c] for c in codes.tolist()]).decode("utf-8", "replace"))
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(values), "<i4")))
-        return pa.table({"doc_id": coded.column("doc_id"), "ids": ids, "decoded": pa.array(texts, pa.string())})
+        flat = [piece[i] for i in ids.tolist()]
+        text_of = [b"".join(flat[s:s + n]) for s, n in zip(first.tolist(), count.tolist())]
+        values, ends, texts = [], [np.zeros(1, np.int64)], []
+        for packed in coded.column("packed"):
+            lengths, codes = unpack(packed.as_py())
+            n = count[codes]
+            upto = np.cumsum(n)
+            values.append(ids[np.repeat(first[codes] - (upto - n), n) + np.arange(n.sum())].astype(np.int32))
+            edges = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths, dtype=np.int64)))
+            ends.append(ends[-1][-1] + np.concatenate((np.zeros(1, np.int64), upto))[edges[1:]])
+            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                texts.append(b"".join([text_of[c] for c in codes[s:e].tolist()]).decode("utf-8", "replace"))
+        ids_of = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int32), *values])))
+        doc_ids = pa.chunked_array([c.flatten() for c in coded.column("doc_ids").chunks], coded.schema.field("doc_ids").type.value_type).combine_chunks()
+        return pa.table({"doc_id": doc_ids, "ids": ids_of, "decoded": pa.array(texts, pa.string())})
     return run
