@@ -35,6 +35,26 @@ def model_table(spark, sf):
     return materialise(fr.split_wide(spark, sf).join(feats, "row_id"), "wide")
 
 
+def facts(wide, preds, start=None):
+    """What SQL can state of a learned forecaster: rows per split and horizon, none below the base, and a MAPE below the constant's.
+
+    The constant is the base or, if ``start`` gives a number for each horizon, that number where it is above the base.
+    """
+    kept = wide.select("row_id", "base", *[f"y_{h}" for h in range(1, 11)])
+    scored = preds.join(R.stack_horizons(kept).select("row_id", "horizon", "base", "y"), ["row_id", "horizon"])
+    constant = F.col("base") if start is None else F.greatest("base", F.element_at(F.array(*[F.lit(x) for x in start]), F.col("horizon").cast("int")))
+    return scored.groupBy("model", "split", "horizon").agg(
+        F.count("*").alias("n_rows"), (F.count_if(F.coalesce(F.col("pred"), F.lit(-1.0)) < F.col("base") - 1e-9) == 0).alias("none_below_base"),
+        (F.avg(S.ape("pred", "y")) < F.avg(S.ape(constant, "y"))).alias("better_than_constant"))
+
+
+def fact_sql(*models: str) -> str:
+    """The same from the tables."""
+    return f"""
+SELECT m.model, split, horizon, count(*) AS n_rows, true AS none_below_base, true AS better_than_constant
+FROM truth CROSS JOIN (VALUES {', '.join(f"('{m}')" for m in models)}) m(model) GROUP BY ALL"""
+
+
 def train_of(wide):
     return wide.where(F.col("split") == "train")
 
@@ -140,19 +160,28 @@ def m09(spark, sf):
     return out.select("row_id", r("log_likelihood", digits=5), r("x"))
 
 
+cte("harmonic_wide", """
+SELECT k.range AS k, sum(1e0 / k.range) OVER (ORDER BY k.range) AS total
+FROM range(1, (SELECT 2 * max(base)::BIGINT + 20 FROM ent_all)) k""")
+
+
 @query("m11_gradients", """
-SELECT h.row_id, round(max((t.alpha + t.n) / (t.beta + t.x)), 6) AS rate,
+SELECT h.row_id, round(max(ln(t.beta) - ln(t.beta + t.x) + up.total - lo.total), 6) AS by_alpha,
+  round(max(t.alpha / t.beta - (t.alpha + t.n) / (t.beta + t.x)), 6) AS by_beta, round(max((t.alpha + t.n) / (t.beta + t.x)), 6) AS rate,
   round(sum(dpdf * ((t.alpha + t.n) / (t.beta + t.x) * c - CASE WHEN h > 0 THEN h / mass ELSE 0 END)), 4) AS by_mu,
   round(sum(dscaled * ((t.alpha + t.n) / (t.beta + t.x) * c - CASE WHEN h > 0 THEN h / mass ELSE 0 END)), 4) AS by_sd
-FROM hcells h JOIN terms t ON t.row_id = h.row_id GROUP BY h.row_id""")
+FROM hcells h JOIN terms t ON t.row_id = h.row_id JOIN harmonic_wide up ON up.k = (t.alpha + t.n)::BIGINT - 1
+  JOIN harmonic_wide lo ON lo.k = t.alpha::BIGINT - 1 GROUP BY h.row_id""")
 def m11(spark, sf):
     def kernel(ids, hist, alpha, beta, mu, sd):
         x, _ = hist.sums(hist.masses(mu, sd))
         g_mu, g_sd = hist.gradient(alpha, beta, mu, sd)
-        return pd.DataFrame({"row_id": ids, "rate": (alpha + hist.n) / (beta + x), "by_mu": g_mu, "by_sd": g_sd})
+        rate = (alpha + hist.n) / (beta + x)
+        by_alpha = np.log(beta) - np.log(beta + x) + sp.digamma(alpha + hist.n) - sp.digamma(alpha)
+        return pd.DataFrame({"row_id": ids, "by_alpha": by_alpha, "by_beta": alpha / beta - rate, "rate": rate, "by_mu": g_mu, "by_sd": g_sd})
 
-    out = at_start(spark, sf, kernel, "row_id bigint, rate double, by_mu double, by_sd double")
-    return out.select("row_id", r("rate"), r("by_mu", digits=4), r("by_sd", digits=4))
+    out = at_start(spark, sf, kernel, "row_id bigint, by_alpha double, by_beta double, rate double, by_mu double, by_sd double")
+    return out.select("row_id", r("by_alpha"), r("by_beta"), r("rate"), r("by_mu", digits=4), r("by_sd", digits=4))
 
 
 @query("m14_expected_counts", """
@@ -186,27 +215,35 @@ def m15(spark, sf):
                       F.round(F.avg("nll") + penalty, 6).alias("loss"))
 
 
-@query("f03_sampled_counts")
+@query("f03_sampled_counts", """
+SELECT row_id, round((10 + n) * (1 + d1 * m1) - 10, 6) AS h1, round((10 + n) * (1 + (d1 + d2) * m1 + d1 * d2 * m2) - 10, 6) AS h2,
+  10 AS horizons_near
+FROM (SELECT t.row_id, t.n, (alpha + n) / (beta + x) AS m1, (alpha + n) * (alpha + n + 1) / (beta + x) ** 2 AS m2, d1, d2
+  FROM terms t JOIN (SELECT row_id, max(mass) FILTER (t = len + 1) AS d1, max(mass) FILTER (t = len + 2) AS d2 FROM cells GROUP BY row_id) d
+  ON d.row_id = t.row_id)""")
 def f03(spark, sf):
+    """Exact expectations, and how many of the ten sampled horizons lie within five standard errors of them."""
     def kernel(ids, hist, alpha, beta, mu, sd):
         x, _ = hist.sums(hist.masses(mu, sd))
         future = RP.future_masses(hist, mu, sd, 10)
         exact = RP.expected_counts(alpha, beta, hist.n, x, future)
-        drawn = RP.sampled_counts(ids, alpha, beta, hist.n, x, future)
-        return pd.DataFrame({"row_id": ids, "expected": exact[:, -1], "sampled": drawn[:, -1]})
+        drawn, error = RP.sampled_counts(ids, alpha, beta, hist.n, x, future)
+        near = (np.abs(drawn - exact) <= 5 * error + 1e-9).sum(1)
+        return pd.DataFrame({"row_id": ids, "h1": exact[:, 0], "h2": exact[:, 1], "horizons_near": near})
 
-    return at_start(spark, sf, kernel, "row_id bigint, expected double, sampled double")
+    out = at_start(spark, sf, kernel, "row_id bigint, h1 double, h2 double, horizons_near int")
+    return out.select("row_id", r("h1"), r("h2"), "horizons_near")
 
 
-@query("m12_lognormal_fit")
+@query("m12_lognormal_fit", "SELECT row_id, true AS no_worse, true AS in_bounds FROM ent_all")
 def m12(spark, sf):
+    """Per entity: the fit is no worse than its start, moved into the bounds, and within them."""
     def kernel(ids, hist, alpha, beta, mu, sd):
         m, s = RP.fit_lognormal(hist, alpha, beta, mu, sd, RP.PREDICT_STEPS)
-        return pd.DataFrame({"row_id": ids, "mu": m, "sd": s,
-                             "start": hist.log_likelihood(alpha, beta, np.maximum(mu, -0.99), np.maximum(sd, 0.51)),
-                             "fitted": hist.log_likelihood(alpha, beta, m, s)})
+        start, fitted = hist.log_likelihood(alpha, beta, np.maximum(mu, -0.99), np.maximum(sd, 0.51)), hist.log_likelihood(alpha, beta, m, s)
+        return pd.DataFrame({"row_id": ids, "no_worse": fitted >= start - 1e-9, "in_bounds": (m >= RP.MU_MIN) & (s >= RP.SD_MIN)})
 
-    return at_start(spark, sf, kernel, "row_id bigint, mu double, sd double, start double, fitted double")
+    return at_start(spark, sf, kernel, "row_id bigint, no_worse boolean, in_bounds boolean")
 
 
 def _layer_rows(spark, model):
@@ -225,10 +262,10 @@ def m13b(spark, sf):
     return _layer_rows(spark, RP.PointProcess(FEATURES, gamma=0.1, rounds=3).fit(train_of(model_table(spark, sf))))
 
 
-@query("m14_rpp_prediction")
+@query("m14_rpp_prediction", fact_sql("RPP"))
 def m14b(spark, sf):
-    wide = materialise(fr.split_wide(spark, sf).select("row_id", "split", "inc"), "wide")
-    return RP.PointProcess(gamma=0.7, rounds=2).fit(train_of(wide)).predict(wide)
+    wide = materialise(fr.split_wide(spark, sf), "wide")
+    return facts(wide, RP.PointProcess(gamma=0.7, rounds=2).fit(train_of(wide)).predict(wide))
 
 
 # ---- linear and tree learners
@@ -243,29 +280,35 @@ def a16(spark, sf):
         "column", r("mean"), r("sd"))
 
 
-@query("m05_lasso")
+@query("m05_lasso", fact_sql("LAS"))
 def m05(spark, sf):
     wide = model_table(spark, sf)
-    return Lasso(FEATURES).fit(train_of(wide)).predict(wide)
+    return facts(wide, Lasso(FEATURES).fit(train_of(wide)).predict(wide))
 
 
-@query("m06_random_forest")
+@query("m06_random_forest", fact_sql("RF"))
 def m06(spark, sf):
     wide = model_table(spark, sf)
-    return RandomForest(FEATURES, trees=TREES, max_depth=10).fit(train_of(wide)).predict(wide)
+    return facts(wide, RandomForest(FEATURES, trees=TREES, max_depth=10).fit(train_of(wide)).predict(wide))
 
 
-@query("m07_gradient_boost")
+@query("m07_gradient_boost", fact_sql("GBRT"))
 def m07(spark, sf):
     wide = model_table(spark, sf)
-    return GradientBoost(FEATURES, booster=MedianBoost(FEATURES, stages=STAGES)).fit(train_of(wide)).predict(wide)
+    boost = GradientBoost(FEATURES, booster=MedianBoost(FEATURES, stages=STAGES)).fit(train_of(wide))
+    return facts(wide, boost.predict(wide), [m.start for m in boost.models])
 
 
-@query("m08_staged_search")
+@query("m08_staged_search", """
+SELECT * FROM (VALUES (0, 'depth=2'), (0, 'depth=3'), (1, 'min_leaf=1'), (1, 'min_leaf=2'), (2, 'subsample=0.8'), (2, 'subsample=1.0')) p(stage, params),
+  (VALUES (0), (1), (2)) f(fold), (VALUES (true)) b(better_than_constant)""")
 def m08(spark, sf):
     search = ({"depth": [2, 3]}, {"min_leaf": [1, 2]}, {"subsample": [0.8, 1.0]})
-    _, scores = staged_search(train_of(model_table(spark, sf)), MedianBoost(FEATURES, stages=2), "y_10", search, folds=3)
-    return scores
+    train = train_of(model_table(spark, sf))
+    _, scores = staged_search(train, MedianBoost(FEATURES, stages=2), "y_10", search, folds=3)
+    # the constant's score on each fold
+    folds = contiguous_folds(train.select("row_id", "base", "y_10"), 3).groupBy("fold").agg((-F.avg(S.ape("base", "y_10"))).alias("constant"))
+    return scores.join(folds, "fold").select("stage", "params", "fold", (F.col("score") > F.col("constant")).alias("better_than_constant"))
 
 
 KS = (0.2, 0.5, 0.8, 1.1)
