@@ -31,11 +31,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from growthcast.llm.components import connected
 from growthcast.session import materialise
@@ -43,6 +45,8 @@ from growthcast.session import materialise
 COSINE = 0.93
 MEET, PASS = 0.985, 0.995
 CELL, LINES, WINDOW, BLOCK, STRANGERS, SEED = 2.0, 32, 1.5, 1_000, 8, 7
+#: Groups of so many rows are handled many at a time.
+SMALL = 40
 #: Steps of a projection's value that one unit is told apart by.
 FINE = 32
 
@@ -112,14 +116,24 @@ def _links(classes: DataFrame, cosine: float) -> DataFrame:
              .withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     tasks = dealt.select("label", "n", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "lines")
-    pairs = tasks.groupBy("label", "n", "cell", "i", "j").applyInPandas(_count(least_count(cosine), WINDOW * spread(cosine)), "a long, b long").distinct()
+    group = ["cell", "label", "n", "i", "j"]
+    pairs = (tasks.repartition(*group).sortWithinPartitions(*group)
+             .mapInArrow(_count(least_count(cosine), WINDOW * spread(cosine)), "a long, b long").distinct())
     a, b = (classes.select(F.col("cls").alias(c), F.col("v").alias(f"v{c}")) for c in "ab")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    # lengths are taken out first, so that products neither overflow nor vanish
-    top = lambda v: F.transform(v, lambda c: c / F.array_max(F.transform(v, lambda d: F.abs(d))))
-    joined = pairs.join(a, "a").join(b, "b").withColumns({"va": top(F.col("va")), "vb": top(F.col("vb"))})
-    angle = dot(F.col("va"), F.col("vb")) / F.sqrt(dot(F.col("va"), F.col("va")) * dot(F.col("vb"), F.col("vb")))
-    return joined.where(angle >= cosine).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(_cosine("va", "vb") >= cosine).select("a", "b")
+
+
+@F.pandas_udf(T.DoubleType())
+def _cosine(x: pd.Series, y: pd.Series) -> pd.Series:
+    """Cosine in double precision. Greatest components are taken out first, so that products neither overflow nor vanish."""
+    out = np.empty(len(x))
+    lengths = x.map(len).to_numpy()
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        a, b = (np.stack(v.iloc[at].to_list()).astype(float) for v in (x, y))
+        a, b = (v / np.abs(v).max(1, keepdims=True) for v in (a, b))
+        out[at] = (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
+    return pd.Series(out)
 
 
 def _cells(g: int, tables: int):
@@ -168,18 +182,59 @@ def collisions(left: np.ndarray, right: np.ndarray, window: int) -> np.ndarray:
 
 
 def _count(least: int, window: float):
+    """Pairs of each group (rows come sorted by it) with enough collisions."""
     wide = math.ceil(window * FINE) + 1  # rounding moves a difference by one step at most
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        cls, own, i, j = rows["cls"].to_numpy(), rows["own"].to_numpy(), rows["i"].iloc[0], rows["j"].iloc[0]
-        lines = np.stack([np.frombuffer(x, np.int16) for x in rows["lines"]])
-        mine, theirs = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held = batch if held is None else pa.concat_batches([held, batch])
+                if held.num_rows < 10 * BLOCK:
+                    continue
+            if held is None or not held.num_rows:
+                continue
+            start = _starts(held)
+            # the last group may go on in the next batch
+            upto = held.num_rows if batch is None else int(start[-1])
+            if upto:
+                yield _pairs(held.slice(0, upto), start[start < upto], least, wide)
+                held = held.slice(upto)
+    return run
+
+
+def _starts(rows: pa.RecordBatch) -> np.ndarray:
+    new = np.zeros(rows.num_rows, bool)
+    new[0] = True
+    for c in ("cell", "n", "i", "j"):
+        v = rows.column(c).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    label = rows.column("label")
+    new[1:] |= pc.not_equal(label.slice(1), label.slice(0, len(label) - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _pairs(rows: pa.RecordBatch, start: np.ndarray, least: int, wide: int) -> pa.RecordBatch:
+    cls, own, i, j = (rows.column(c).to_numpy() for c in ("cls", "own", "i", "j"))
+    lines = np.stack([np.frombuffer(x.as_buffer(), np.int16) for x in rows.column("lines")])
+    length = np.diff(np.append(start, rows.num_rows))
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    # in small groups every pair is looked at, many groups at a time
+    for n in range(2, SMALL + 1):
+        first = start[length == n]
+        p, q = np.triu_indices(n, 1)
+        for k in range(0, len(first), max(1, 100_000 // len(p))):
+            at = first[k:k + max(1, 100_000 // len(p)), None]
+            x, y = (at + p).ravel(), (at + q).ravel()
+            near = (np.abs(lines[x].astype(np.int32) - lines[y]) <= wide).sum(1) >= least
+            found.append((x[near], y[near]))
+    for s, n in zip(start[length > SMALL].tolist(), length[length > SMALL].tolist()):
+        mine, theirs = (s + np.flatnonzero(own[s:s + n] == side[s]) for side in (i, j))
         for k in range(0, len(mine), 256):
             x, y = np.nonzero(collisions(lines[mine[k:k + 256]], lines[theirs], wide) >= least)
-            x, y = cls[mine[x + k]], cls[theirs[y]]
-            keep = x < y if i == j else x != y
-            a.append(np.minimum(x, y)[keep])
-            b.append(np.maximum(x, y)[keep])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    return run
+            found.append((mine[x + k], theirs[y]))
+    x, y = (np.concatenate(z) for z in zip(*found))
+    # within one block a pair is seen from both sides; across two, only rows of different blocks pair
+    keep = (cls[x] != cls[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
+    a, b = np.minimum(cls[x], cls[y])[keep], np.maximum(cls[x], cls[y])[keep]
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
