@@ -42,12 +42,18 @@ VENUE_COLUMNS = {
     "venue_rank": "rank", "venue_max_single_paper_citations": "max_single_paper_citations"}
 
 
+def author_venues(links: DataFrame, venue_of: DataFrame) -> DataFrame:
+    """Distinct (sid, venue)."""
+    return links.select("pid", "sid").join(venue_of.select("pid", "venue"), "pid").select("sid", "venue").distinct()
+
+
+def author_venue_counts(links: DataFrame, venue_of: DataFrame) -> DataFrame:
+    return author_venues(links, venue_of).groupBy("sid").agg(F.count(F.lit(1)).alias("total_num_venues"))
+
+
 def author_venue_features(links: DataFrame, venue_of: DataFrame, venues: DataFrame) -> DataFrame:
     """Summaries over the distinct venues of each author."""
-    seen = links.select("pid", "sid").join(venue_of.select("pid", "venue"), "pid").select("sid", "venue").distinct()
-    rows = seen.join(venues, "venue")
-    counts = seen.groupBy("sid").agg(F.count(F.lit(1)).alias("total_num_venues"))
-    return summaries(rows, "sid", VENUE_COLUMNS).join(counts, "sid")
+    return summaries(author_venues(links, venue_of).join(venues, "venue"), "sid", VENUE_COLUMNS)
 
 
 def author_network_features(links: DataFrame, axis: TimeAxis, iterations: int = 20) -> DataFrame:
@@ -78,7 +84,8 @@ def author_table(links: DataFrame, papers: DataFrame, venue_of: DataFrame, axis:
     own = ranked(measures, "mean_citations_per_year", "author_mean_citation_rank").select(
         "sid", "author_mean_citation_rank",
         *[F.col(c).alias(a) for a, c in AUTHOR_COLUMNS.items()])
-    at_venues = author_venue_features(links, venue_of, venue_measures(venue_of, papers, axis))
+    at_venues = (author_venue_features(links, venue_of, venue_measures(venue_of, papers, axis))
+                 .join(author_venue_counts(links, venue_of), "sid"))
     return own.join(author_network_features(links, axis, iterations), "sid").join(at_venues, "sid")
 
 
@@ -102,7 +109,8 @@ PAPER_VENUE_COLUMNS = {
 
 def paper_own_features(papers: DataFrame, survey_of: DataFrame, axis: TimeAxis) -> DataFrame:
     age = (F.lit(axis.source) - F.col("p0") + 1).cast("int")
-    return paper_facts(papers, axis).join(survey_of.select("pid", "is_survey"), "pid").select(
+    # papers without a survey flag stay, with a NULL flag
+    return paper_facts(papers, axis).join(survey_of.select("pid", "is_survey"), "pid", "left").select(
         "pid", age.alias("paper_age"), F.col("cites").alias("paper_citations"), F.col("keys").alias("paper_key_citations"),
         (F.col("cites") / age).alias("paper_mean_citations_per_year"), F.col("is_survey").cast("int").alias("is_survey"),
         F.col("cites_0").alias("paper_citations_delta_0"), F.col("cites_1").alias("paper_citations_delta_1"),

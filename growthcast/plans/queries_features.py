@@ -11,7 +11,7 @@ from growthcast.plans.queries_relational import joined, _HIST
 from growthcast.plans.registry import cte, query
 
 Q = fx.QUARTERS
-STEPS = 10
+STEPS = 20
 
 _MEASURES = """
   sum(base)::BIGINT AS citations, (sum(base) - sum(base_w))::BIGINT AS citations_delta,
@@ -148,8 +148,7 @@ venue_query("d20_venue_max_citations", ["venue_max_single_paper_citations"])
 
 @query("d21_author_venues", "SELECT sid, CAST(count(*) AS BIGINT) AS total_num_venues FROM av GROUP BY sid")
 def d21(spark, sf):
-    return FT.author_venue_features(fx.authorship(spark, sf), fx.venues(spark, sf), venues(spark, sf)).select(
-        "sid", "total_num_venues")
+    return FT.author_venue_counts(fx.authorship(spark, sf), fx.venues(spark, sf))
 
 
 def paper_author_query(name, names):
