@@ -35,6 +35,7 @@ looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,9 +81,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _links(texts: DataFrame, profile: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b): links that connect the classes; copies of links that others imply may be left out."""
-    keys = profile.select("cls", F.explode("keys").alias("key"))
+    keys = profile.select("cls", F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least != most")
-    keyed = materialise(keys.join(shared.select("key", "least"), "key").select("key", "cls", "least").distinct(), "keys")
+    keyed = materialise(keys.join(shared.select("key", "least"), "key").select("key", "cls", "size", "least").distinct(), "keys")
     sigs = classes.select("cls", "size", "sig")
     # 3. clusters
     target = sigs.select(F.col("cls").alias("least"), F.col("size").alias("size2"), F.col("sig").alias("sig2"))
@@ -91,11 +92,15 @@ def _links(texts: DataFrame, profile: DataFrame, classes: DataFrame, n: int, per
     follow = allowed.groupBy("cls").agg(F.max_by("least", F.struct("votes", -F.col("least"))).alias("least"))
     cluster = materialise(connected(follow, "cls", "least").select(F.col("node").alias("cls"), F.col("component").alias("root")), "clusters")
     # 4. pairs of different clusters
-    placed = (keyed.select("key", "cls").join(sigs, "cls").join(cluster, "cls", "left")
-              .select("key", "cls", "size", "sig", F.coalesce("root", "cls").alias("root")))
-    mixed = keyed.select("key", "cls").join(cluster, "cls", "left").groupBy("key").agg(
-        F.min(F.coalesce("root", "cls")).alias("r1"), F.max(F.coalesce("root", "cls")).alias("r2"),
-        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("r1 != r2").select("key", "blocks")
+    step = F.floor(F.log("size") / math.log(100 / percent * 1.0001)).cast("int")  # similar sets are one step apart at most
+    placed = keyed.select("key", "cls", step.alias("step")).join(cluster, "cls", "left").select("key", "cls", "step", F.coalesce("root", "cls").alias("root"))
+    # a class goes on only if its key has another cluster's class within a step
+    around = (placed.groupBy("key", "step").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
+              .select("key", F.explode(F.array(*[F.struct((F.col("step") + d).alias("step"), "r1", "r2") for d in (-1, 0, 1)])).alias("x"))
+              .groupBy("key", "x.step").agg(F.min("x.r1").alias("r1"), F.max("x.r2").alias("r2")).where("r1 != r2").select("key", "step"))
+    near = materialise(placed.join(around, ["key", "step"]).select("key", "cls", "root"), "near")
+    mixed = near.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = near.join(sigs, "cls")
     group = placed.join(mixed, "key")
     block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     dealt = group.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
