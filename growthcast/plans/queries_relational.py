@@ -89,16 +89,20 @@ def s06(spark, sf):
         "model", "split", "row_id", "horizon", "pred")
 
 
-@query("s07_metric_sink", "SELECT model, " + ", ".join(f"round(max(mape) FILTER (horizon = {h}), 6) AS \"{2005 + h}\"" for h in range(1, 11)) + " FROM mape_tab WHERE split = 'test' GROUP BY model")
+@query("s07_metric_sink", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS metric, model, " + ", ".join(f"round(max({c}) FILTER (horizon = {h}), 6) AS \"{2005 + h}\"" for h in range(1, 11))
+    + " FROM mape_tab WHERE split = 'test' GROUP BY model" for c in ("mape", "se")))
 def s07(spark, sf):
+    """The MAPE table and its table of errors, written and read back."""
     path = new_table_path(spark, "mape")
-    table = M.mape_with_error(fr.scored_frame(spark, sf).where("split = 'test'"))
-    table = materialise(table, "metrics")
-    ST.write_metric_table(table, path, 10, 2006, "mape")
-    ST.write_metric_table(table, path + "-errors", 10, 2006, "se")
+    table = materialise(M.mape_with_error(fr.scored_frame(spark, sf).where("split = 'test'")), "metrics")
     years = [str(2005 + h) for h in range(1, 11)]
-    back = TX.read_table(spark, path, "model string, " + ", ".join(f"`{y}` double" for y in years))
-    return back.select("model", *[r(y) for y in years])
+    schema = "model string, " + ", ".join(f"`{y}` double" for y in years)
+    back = []
+    for column, place in (("mape", path), ("se", path + "-errors")):
+        ST.write_metric_table(table, place, 10, 2006, column)
+        back.append(TX.read_table(spark, place, schema).select(F.lit(column).alias("metric"), "model", *[r(y) for y in years]))
+    return back[0].unionByName(back[1])
 
 
 @query("s08_compressed_text", "SELECT 'bzip2' AS codec, row_id, hist FROM hist UNION ALL SELECT 'gzip', row_id, hist FROM hist")
@@ -288,8 +292,8 @@ def r02(spark, sf):
 def r03(spark, sf):
     frame = fr.long_frame(spark, sf)
     train = fr.train_rows(frame)
-    one = lambda m: m.fit(train).predict(frame).withColumn("model", F.lit(m.name))
-    return R.union_predictions([one(B.Constant()), one(B.SimpleLinear()), one(B.VariableK())]).withColumn("pred", F.round("pred", 6))
+    models = [B.Constant(), B.SimpleLinear().fit(train), B.VariableK().fit(train)]
+    return B.predict_all(frame, models).select("model", "split", "row_id", "horizon", F.round("pred", 6).alias("pred"))
 
 
 @query("r04_metric_by_year", "SELECT model, " + ", ".join(
