@@ -37,6 +37,8 @@ from urllib.parse import parse_qsl, quote, unquote_to_bytes, urlencode, urlsplit
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from growthcast.session import materialise
+
 BUCKET = 10_000
 #: Fields of a 304 that never replace stored ones: they are about the connection or the body that isn't sent.
 KEPT_STORED = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate",
@@ -155,7 +157,8 @@ def resolve(captures: DataFrame, bucket: int = BUCKET) -> DataFrame:
     Resolved revisits have status, merged headers and payload of their source;
     the others keep their own.
     """
-    known = captures.select(*[c.split()[0] for c in META.split(", ")])
+    # read several times below, and dear to make
+    known = materialise(captures.select(*[c.split()[0] for c in META.split(", ")]), "captures")
     joinable = F.col("canonical").isNotNull() & F.col("at").isNotNull()
     full = joinable & (F.col("kind") == "response") & (F.col("status") == 200)
     stored = F.struct("at", "record_id", "status", "headers", "etag", "modified", "digest", "payload_sha256", "payload_bytes")
