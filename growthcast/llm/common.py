@@ -1,10 +1,8 @@
-"""Small helpers shared by the operators: tables, column checks and words."""
+"""Small helpers shared by the operators: tables and words."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: A word is a run of characters other than the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -14,19 +12,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def only(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns alone: extra ones can't clash with those an operator makes."""
-    return df.select(*columns)
-
-
 def words_of(text: str | None) -> list[bytes]:
     """UTF-8 words of a text; bytes.split() separates at exactly the space and U+0009 to U+000D."""
     return text.encode("utf-8", "replace").split() if text else []
-
-
-def null_safe(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
-
-
-def with_columns_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*columns)

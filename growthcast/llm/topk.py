@@ -25,8 +25,6 @@ an empty table gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
