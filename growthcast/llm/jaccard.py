@@ -53,7 +53,7 @@ WORDS, PERCENT = 5, 80
 BUCKET_BITS, SLICES = 20, 64
 BLOCK = 1_000
 #: Bits of a bitmap for each token: in the join of keys, and where whole sets are at hand.
-THIN, WIDE = 2, 16
+THIN, WIDE = 1, 16
 LAST = (1 << 63) - 1
 
 
@@ -86,9 +86,12 @@ def _links(texts: DataFrame, profile: DataFrame, classes: DataFrame, n: int, per
     keyed = materialise(keys.join(shared.select("key", "least"), "key").select("key", "cls", "size", "least").distinct(), "keys")
     sigs = classes.select("cls", "size", "sig")
     # 3. clusters
-    target = sigs.select(F.col("cls").alias("least"), F.col("size").alias("size2"), F.col("sig").alias("sig2"))
-    votes = keyed.where("cls != least").groupBy("cls", "least").agg(F.count("*").alias("votes"))
-    allowed = votes.join(sigs, "cls").join(target, "least").where(_may(percent)("size", "sig", "size2", "sig2"))
+    sizes = classes.select(F.col("cls").alias("least"), F.col("size").alias("size2"))
+    # sizes are compared before any bitmap is sent
+    votes = (keyed.where("cls != least").groupBy("cls", "size", "least").agg(F.count("*").alias("votes")).join(sizes, "least")
+             .where(100 * F.least("size", "size2") >= percent * F.greatest("size", "size2")))
+    allowed = (votes.join(classes.select("cls", "sig"), "cls").join(classes.select(F.col("cls").alias("least"), F.col("sig").alias("sig2")), "least")
+               .where(_may(percent)("size", "sig", "size2", "sig2")))
     follow = allowed.groupBy("cls").agg(F.max_by("least", F.struct("votes", -F.col("least"))).alias("least"))
     cluster = materialise(connected(follow, "cls", "least").select(F.col("node").alias("cls"), F.col("component").alias("root")), "clusters")
     # 4. pairs of different clusters
@@ -100,12 +103,12 @@ def _links(texts: DataFrame, profile: DataFrame, classes: DataFrame, n: int, per
               .groupBy("key", "x.step").agg(F.min("x.r1").alias("r1"), F.max("x.r2").alias("r2")).where("r1 != r2").select("key", "step"))
     near = materialise(placed.join(around, ["key", "step"]).select("key", "cls", "root"), "near")
     mixed = near.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = near.join(sigs, "cls")
-    group = placed.join(mixed, "key")
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    dealt = group.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cross = materialise(dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "size", "sig", "root")
-                        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross(percent), "a long, b long").distinct(), "cross")
+    group = near.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = group.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "root")
+    # bitmaps come last, so that they are shuffled once
+    cross = materialise(dealt.join(sigs, "cls").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+                        .mapInArrow(_cross(percent), "a long, b long").distinct(), "cross")
     # the sets of all classes that are compared as wholes
     needed = cluster.select("cls").union(cross.select("a")).union(cross.select("b")).distinct()
     wanted = classes.select("cls", "doc").join(needed, "cls").join(cluster, "cls", "left")
