@@ -2,20 +2,23 @@
 
 Examples are a bounded sample of the labelled rows (``EXAMPLES`` of each label,
 those with the least hashes of their ids); rows held out for testing are never
-among them. Terms are words and the beginnings of words; those that go with
-the label in the examples (``TERMS`` at most, by log-likelihood ratio) make up the
-vectors, with document frequencies counted over all documents.
-
-The examples lie in an inverted index whose postings are cut into blocks, each
-with its greatest weight. A query sums these maxima to a bound for every
-block, reads blocks in order of their bounds, and stops when no bound reaches
-its k-th best cosine; so the k nearest are exact, ties to the smaller id. The
-votes are weighted by cosine; a logistic curve fitted to leave-one-out votes of
+among them. Terms are words and the beginnings of words. All terms of the
+examples make up the vectors, with document frequencies counted over all
+documents; a term that goes with the label in the examples (``SUPPORT``,
+``RATIO``) weighs more by its log-likelihood ratio.
+
+The examples lie in an inverted index whose postings are cut into blocks.
+Terms of many examples have each block's greatest weight beside it; the rest
+are summed first. A query sums both to a bound for every block, reads the block
+of the greatest bound, and then those whose bound reaches its k-th best cosine
+there; so the k nearest are exact, ties to the smaller id. The votes are weighted by cosine; a logistic curve fitted to leave-one-out votes of
 the examples, weighted to the labels' shares, turns them into scores. The
 nearest examples are returned as evidence.
 
-Nulls and edge cases: a null or empty text, or one without any term, has no
-neighbours and gets the curve's value for no votes; null labels and ids are no
+The index grows with the text of the examples, not with the documents.
+
+Nulls and edge cases: a null or empty text, or one without any term of the
+examples, has no neighbours and gets the curve's value for no votes; null labels and ids are no
 examples; an id labelled twice takes the greater label; without examples of
 both labels the score is the share of label 1 (0 without any); texts are taken
 whole; an empty table gives no rows; other columns are not looked at.
@@ -25,16 +28,21 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Bounds: examples of each label, terms, examples in a block of the index, neighbours, evidence rows.
-EXAMPLES, TERMS, BLOCK, NEAREST, SHOWN = 2_000, 400, 64, 15, 3
-#: A term must be in so many examples and have such a log-likelihood ratio (chi-squared with one degree of freedom).
+#: Bounds: examples of each label, examples in a block of the index, neighbours, evidence rows.
+EXAMPLES, BLOCK, NEAREST, SHOWN = 2_000, 64, 15, 3
+#: A term weighs more from so many examples and such a log-likelihood ratio on (chi-squared with one degree of freedom).
 SUPPORT, RATIO = 5, 20.0
+#: Terms in one of so many examples, or more, are kept by blocks; so many queries are answered together.
+COMMON, TOGETHER = 8, 128
 BEGINNINGS = (4, 5, 6)
 WORD = re.compile(r"\w+")
 
@@ -68,7 +76,7 @@ def terms_of(word: str) -> list[str]:
 
 
 def fit(texts: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
-    """The index over the examples. The driver gets at most 2 * ``examples`` vectors and ``TERMS`` counts."""
+    """The index over the examples. The driver gets at most 2 * ``examples`` vectors and the counts of their terms."""
     known = (labels.where("doc_id IS NOT NULL AND label IN (0, 1)").where(~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("label").cast("int").alias("label")))
     shares = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -85,16 +93,19 @@ def fit(texts: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     if not n1 or not n0:
         return Model([], np.empty(0), [], share)
     ratio = _ratio(F.col("a"), F.col("b"), n1, n0)
-    best = counts.where(F.col("a") + F.col("b") >= SUPPORT).withColumn("ratio", ratio).where(F.col("ratio") >= RATIO)
-    terms = sorted(r.term for r in best.orderBy(F.col("ratio").desc(), "term").limit(TERMS).collect())
-    number = {t: i for i, t in enumerate(terms)}
-    df, n = np.zeros(len(terms), np.int64), 0
-    for row in texts.select("text").mapInArrow(_frequencies(number), "df array<long>, n long").collect():
-        df, n = df + np.array(row.df, np.int64), n + row.n
-    idf = np.log((1 + n) / (1 + df)) + 1
-    vectors = sorted((r.doc_id, r.label, r.terms, r.counts) for r in sample.mapInArrow(
-        _term_counts(number), "doc_id long, label int, terms array<int>, counts array<int>").collect())
-    return Model(terms, idf, vectors, share)
+    support = F.col("a") + F.col("b")
+    found = counts.select("term", F.when(support >= SUPPORT, _ratio(F.col("a"), F.col("b"), n1, n0)).otherwise(0.0).alias("ratio")).toArrow().sort_by("term")
+    terms, ratio = found.column("term").to_pylist(), found.column("ratio").to_numpy()
+    number = texts.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    df = np.zeros(len(terms), np.int64)
+    held = texts.select("text").mapInArrow(_frequencies(number), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, times = held.column("term").to_numpy(), held.column("n").to_numpy()
+    df[term[term >= 0]], n = times[term >= 0], int(times[term < 0].sum())
+    weight = (np.log((1 + n) / (1 + df)) + 1) * np.where(ratio >= RATIO, 1 + ratio, 1.0)
+    rows = sample.mapInArrow(_term_counts(number), "doc_id long, label int, terms binary, counts binary").toArrow().to_pylist()
+    vectors = [(r["doc_id"], r["label"], np.frombuffer(r["terms"], np.int32), np.frombuffer(r["counts"], np.int32))
+               for r in sorted(rows, key=lambda r: tuple(r.values()))]
+    return Model(terms, weight, vectors, share)
 
 
 def _ratio(a: Column, b: Column, n1: int, n0: int) -> Column:
@@ -123,12 +134,15 @@ class TermNumbers(dict):
         out = self[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
         return out
 
+    def of(self, text: str | None) -> set[int]:
+        return set(chain.from_iterable(map(self.__getitem__, set(WORD.findall(text.lower()))))) if text else set()
+
     def counts(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
         if text:
-            for found in map(self.__getitem__, WORD.findall(text.lower())):
-                for i in found:
-                    out[i] = out.get(i, 0) + 1
+            for word, n in Counter(WORD.findall(text.lower())).items():
+                for i in self[word]:
+                    out[i] = out.get(i, 0) + n
         return out
 
 
@@ -138,78 +152,114 @@ def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(terms, pa.list_(pa.string()))], ["label", "terms"])
 
 
-def _frequencies(number: dict[str, int]):
-    """One row for each task: documents with each term, and documents."""
+def _frequencies(number):
+    """Documents with each term of a task, and documents under the number -1."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, df, n = TermNumbers(number), np.zeros(len(number), np.int64), 0
+        terms, df, n = TermNumbers(number.value), np.zeros(len(number.value), np.int64), 0
         for batch in batches:
             n += batch.num_rows
             for text in batch.column("text"):
-                df[list(of.counts(text.as_py()))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([df.tolist()], pa.list_(pa.int64())), pa.array([n], pa.int64())], ["df", "n"])
+                df[list(terms.of(text.as_py()))] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], n))], ["term", "n"])
     return run
 
 
-def _term_counts(number: dict[str, int]):
+def _term_counts(number):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = TermNumbers(number)
+        of = TermNumbers(number.value)
         for batch in batches:
             found = [sorted(of.counts(x.as_py()).items()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("label"), pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int32())),
-                 pa.array([[c for _, c in f] for f in found], pa.list_(pa.int32()))], ["doc_id", "label", "terms", "counts"])
+                [batch.column("doc_id").cast(pa.int64()), batch.column("label"), pa.array([np.array([i for i, _ in f], np.int32).tobytes() for f in found], pa.binary()),
+                 pa.array([np.array([c for _, c in f], np.int32).tobytes() for f in found], pa.binary())], ["doc_id", "label", "terms", "counts"])
     return run
 
 
 class Model:
     """Block-max inverted index over the examples in order of their ids, and the curve of the scores."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, vectors: list[tuple], share: float):
+    def __init__(self, terms: list[str], weight: np.ndarray, vectors: list[tuple], share: float):
         self.number = {t: i for i, t in enumerate(terms)}
-        self.idf, self.share = idf, share
+        self.weight, self.share = weight, share
         self.ids = np.array([v[0] for v in vectors], np.int64)
         self.labels = np.array([v[1] for v in vectors], np.int64)
-        blocks = -(-len(vectors) // BLOCK)
-        self.bounds = np.zeros((len(terms), blocks))
-        postings: list[dict[int, list]] = [{} for _ in terms]
+        self.blocks = -(-len(vectors) // BLOCK)
         weights = [self.vector(dict(zip(v[2], v[3]))) for v in vectors]
-        for k, (at, w) in enumerate(weights):
-            for i, x in zip(at.tolist(), w.tolist()):
-                postings[i].setdefault(k // BLOCK, []).append((k % BLOCK, x))
-                self.bounds[i, k // BLOCK] = max(self.bounds[i, k // BLOCK], x)
-        # a block's postings of a term: places in the block and weights
-        self.postings = [{b: (np.array([p for p, _ in rows]), np.array([x for _, x in rows])) for b, rows in p.items()} for p in postings]
+        at = np.concatenate([np.empty(0, np.int64), *(a for a, _ in weights)])
+        w = np.concatenate([np.empty(0), *(x for _, x in weights)])
+        sizes = [len(a) for a, _ in weights]
+        edges = np.cumsum([0, *sizes]).tolist()
+        weights = [(at[a:b], w[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+        example = np.repeat(np.arange(len(weights), dtype=np.int32), sizes)
+        held = np.bincount(at, minlength=len(terms))
+        common = np.flatnonzero(held * COMMON >= max(len(vectors), 1))
+        # terms of many examples: a dense row in each block, and its maximum
+        self.row = np.full(len(terms), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        dense = self.row[at] >= 0
+        self.common = np.zeros((self.blocks, len(common), BLOCK))
+        self.common[example[dense] // BLOCK, self.row[at[dense]], example[dense] % BLOCK] = w[dense]
+        self.most = self.common.max(2).T.copy() if self.blocks else np.zeros((len(common), 0))
+        # the others: runs of postings
+        order = np.argsort(at[~dense], kind="stable")
+        self.place, self.w = example[~dense][order].astype(np.int32), w[~dense][order]
+        self.start = np.concatenate(([0], np.cumsum(np.where(self.row < 0, held, 0)))).astype(np.int64)
         self.curve = self._fit(weights) if vectors else None
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and weights (1 + log tf) * idf, of length 1."""
-        at = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[i] for i in at.tolist()])) * self.idf[at] if len(at) else np.empty(0)
-        return at, w / np.sqrt((w * w).sum()) if len(at) else w
+        """Term numbers and weights (1 + log tf) * idf, times the label's weight, of length 1."""
+        n = len(counts)
+        at, tf = np.fromiter(counts.keys(), np.int64, n), np.fromiter(counts.values(), np.float64, n)
+        order = np.argsort(at)
+        at, w = at[order], (1 + np.log(tf[order])) * self.weight[at[order]]
+        return at, w / np.sqrt((w * w).sum()) if n else w
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEAREST, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with a positive cosine, without example ``but``."""
-        number, cosine = np.empty(0, np.int64), np.empty(0)
-        if not len(at):
-            return number, cosine
-        bound = w @ self.bounds[at]
-        least = 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            # sums of other orders differ in the last bits
-            if bound[b] <= 0 or len(number) == k and bound[b] < least - 1e-9:
-                break
-            sums = np.zeros(BLOCK)
-            for i, x in zip(at.tolist(), w.tolist()):
-                if b in self.postings[i]:
-                    place, weight = self.postings[i][b]
-                    sums[place] += x * weight
-            hit = np.flatnonzero(sums > 0)
-            hit = hit[hit + b * BLOCK != but]
-            number, cosine = np.concatenate((number, hit + b * BLOCK)), np.concatenate((cosine, sums[hit]))
-            best = np.lexsort((number, -np.round(cosine, 12)))[:k]
-            number, cosine = number[best], cosine[best]
-            least = cosine[-1] if len(cosine) else 0.0
-        return number, cosine
+        return self.nearest_of([(at, w)], [but], k)[0]
+
+    def nearest_of(self, vectors: list[tuple], buts: list[int], k: int = NEAREST) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The nearest of several queries, so that a block is read once for all queries whose bound it reaches."""
+        if not self.blocks:
+            return [(np.empty(0, np.int64), np.empty(0)) for _ in vectors]
+        query = np.zeros((len(vectors), self.common.shape[1]))
+        rest = np.zeros((len(vectors), self.blocks, BLOCK))
+        for q, (at, w) in enumerate(vectors):
+            if len(at):
+                row = self.row[at]
+                query[q, row[row >= 0]] = w[row >= 0]
+                first, length = self.start[at], self.start[at + 1] - self.start[at]
+                upto = np.cumsum(length)
+                posting = np.repeat(first - (upto - length), length) + np.arange(upto[-1])
+                rest[q] = np.bincount(self.place[posting], self.w[posting] * np.repeat(w, length), self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        bound = query @ self.most + rest.max(2)
+        cosine = np.zeros_like(rest)
+        best, read = bound.argmax(1), np.zeros(bound.shape, bool)
+        # the best block of each query gives a least cosine for the others
+        self._read(query, rest, cosine, read, np.arange(self.blocks) == best[:, None])
+        for q, but in enumerate(buts):
+            if but >= 0:
+                cosine[q, but // BLOCK, but % BLOCK] = 0
+        least = np.partition(cosine[np.arange(len(vectors)), best], -k, axis=1)[:, -k] if k <= BLOCK else np.zeros(len(vectors))
+        # sums of other orders differ in the last bits
+        self._read(query, rest, cosine, read, (bound > 0) & (bound >= least[:, None] - 1e-9) & ~read)
+        out = []
+        for q, but in enumerate(buts):
+            found = np.round(cosine[q].ravel(), 12)
+            if but >= 0:
+                found[but] = 0
+            last = np.partition(found, -k)[-k] if k < len(found) else 0.0
+            number = np.flatnonzero((found >= last) & (found > 0))
+            number = number[np.lexsort((number, -found[number]))][:k]
+            out.append((number, cosine[q].ravel()[number]))
+        return out
+
+    def _read(self, query: np.ndarray, rest: np.ndarray, cosine: np.ndarray, read: np.ndarray, wanted: np.ndarray) -> None:
+        for b in np.flatnonzero(wanted.any(0)).tolist():
+            q = np.flatnonzero(wanted[:, b])
+            cosine[q, b] = rest[q, b] + query[q] @ self.common[b]
+            read[q, b] = True
 
     def votes(self, number: np.ndarray, cosine: np.ndarray) -> tuple[float, float]:
         """Share of label 1 among the neighbours, weighted by cosine, shrunk to none; and the greatest cosine."""
@@ -218,7 +268,8 @@ class Model:
         return float((cosine * self.labels[number]).sum() / (cosine.sum() + 0.5)), float(cosine[0])
 
     def _fit(self, weights: list) -> tuple[float, float, float]:
-        x = np.array([[1.0, *self.votes(*self.nearest(*v, but=k))] for k, v in enumerate(weights)])
+        found = [f for i in range(0, len(weights), TOGETHER) for f in self.nearest_of(weights[i:i + TOGETHER], list(range(i, min(i + TOGETHER, len(weights)))))]
+        x = np.array([[1.0, *self.votes(*f)] for f in found])
         y = self.labels.astype(float)
         # the sample has other shares of the labels than the labelled rows
         by_label = np.array([(1 - self.share) / max((y == 0).sum(), 1), self.share / max((y == 1).sum(), 1)]) * len(y)
@@ -232,13 +283,16 @@ class Model:
                 break
         return tuple(beta.tolist())
 
-    def score(self, counts: dict[int, int]) -> tuple[float, tuple[np.ndarray, np.ndarray]]:
+    def scores(self, counts: list[dict[int, int]]) -> list[tuple[float, tuple[np.ndarray, np.ndarray]]]:
+        """Score and nearest examples of several documents."""
         if self.curve is None:
-            return self.share, (np.empty(0, np.int64), np.empty(0))
-        found = self.nearest(*self.vector(counts))
-        vote, top = self.votes(*found)
-        z = self.curve[0] + self.curve[1] * vote + self.curve[2] * top
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), found
+            return [(self.share, (np.empty(0, np.int64), np.empty(0))) for _ in counts]
+        out = []
+        for found in self.nearest_of([self.vector(c) for c in counts], [-1] * len(counts)):
+            vote, top = self.votes(*found)
+            z = self.curve[0] + self.curve[1] * vote + self.curve[2] * top
+            out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), found))
+        return out
 
 
 def _scores(sent):
@@ -247,18 +301,18 @@ def _scores(sent):
         of, known = TermNumbers(model.number), {}
         for batch in batches:
             scores, evidence = [], []
-            for text in batch:
-                counts = of.counts(text.as_py())
-                key = tuple(sorted(counts.items()))
-                if key not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    score, (number, cosine) = model.score(counts)
+            for i in range(0, len(batch), TOGETHER):
+                texts = [x.as_py() or "" for x in batch[i:i + TOGETHER]]
+                keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for t in texts]
+                if len(known) > 20_000:
+                    known.clear()
+                new = {k: t for k, t in zip(keys, texts) if k not in known}
+                for key, (score, (number, cosine)) in zip(new, model.scores([of.counts(t) for t in new.values()])):
                     known[key] = score, [{"doc_id": int(model.ids[i]), "cosine": float(c), "label": int(model.labels[i])}
                                          for i, c in zip(number[:SHOWN].tolist(), cosine[:SHOWN].tolist())]
-                score, near = known[key]
-                scores.append(score)
-                evidence.append(near)
+                for key in keys:
+                    scores.append(known[key][0])
+                    evidence.append(known[key][1])
             yield pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(evidence, EVIDENCE)], ["score", "evidence"])
     return run
 

@@ -72,3 +72,18 @@ def test_edges(spark):
     none = T.toxicity(docs, labels.limit(0)).collect()
     assert {(r.score, r.predicted) for r in none} == {(0.0, 0)}
     assert T.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_texts_without_toxic_terms_have_neighbours(spark):
+    """Copies of examples that hold no term of the label come back as evidence with cosine 1."""
+    rng = random.Random(5)
+    words = [f"plain{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.sample(words, 12)) + (" scum" if i % 4 == 0 and i % 8 else ""), int(i % 4 == 0)) for i in range(400)]
+    copies = [(1000 + i, text, None) for i, text, _ in rows]
+    df = spark.createDataFrame(rows + copies, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r for r in T.toxicity(df.drop("toxic"), df.select("doc_id", "toxic")).collect()}
+    used = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    assert len(used) > 300
+    for i in used:
+        nearest = got[1000 + i].evidence[0]
+        assert nearest.doc_id == i and nearest.label == int(i % 4 == 0) and abs(nearest.cosine - 1) < 1e-9
