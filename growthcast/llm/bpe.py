@@ -43,7 +43,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # both maps read the same columns, so they see the same partitions and make the same chunks
-    words = (texts.mapInArrow(_words(path, chunk), "place long, word string")
+    words = (texts.mapInArrow(_words(path, chunk), "chunk long, place long, word string")
              .repartition("word").sortWithinPartitions("word").mapInArrow(_merge(path), "chunk long, packed binary"))
     coded = texts.mapInArrow(_codes(path, chunk), f"chunk long, doc_ids array<{kind}>, packed binary")
     pieces = texts.sparkSession.sparkContext.broadcast(piece_bytes(path))
@@ -115,12 +115,15 @@ def _texts(batches: Iterator[pa.RecordBatch], chunk: int):
     """(chunk's number, id, text) in order; the number changes before a chunk would exceed its size."""
     from pyspark import TaskContext
 
-    # 256 chunks a task and 2^32 words a chunk, in one number
-    at, length = TaskContext.get().partitionId() << 8, 0
+    # 2^32 chunks a task, each of one text at least
+    at, length = TaskContext.get().partitionId() << 32, 0
+    last = at + (1 << 32) - 1
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
             text = text.as_py() or ""
             if length and length + len(text) > chunk:
+                if at == last:
+                    raise OverflowError("a task has more than 2^32 chunks")
                 at, length = at + 1, 0
             length += len(text)
             yield at, doc_id, text
@@ -138,8 +141,8 @@ def _words(path: str, chunk: int):
             words = list(number)
             for i in range(0, len(words), 50_000):
                 part = words[i:i + 50_000]
-                place = (at << 32) + np.arange(i, i + len(part), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(part, pa.string())], ["place", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), at)), pa.array(np.arange(i, i + len(part))), pa.array(part, pa.string())],
+                                                 ["chunk", "place", "word"])
     return run
 
 
@@ -172,8 +175,7 @@ def _merge(path: str):
                     last, ids = word, split.merge(word)
                 found.append(ids)
                 length.append(len(ids))
-            place, length = batch.column("place").to_numpy(), np.array(length, np.int64)
-            chunk, k = place >> 32, place & 0xFFFFFFFF
+            chunk, k, length = batch.column("chunk").to_numpy(), batch.column("place").to_numpy(), np.array(length, np.int64)
             order = np.argsort(chunk, kind="stable")
             names, start = np.unique(chunk[order], return_index=True)
             packed = []

@@ -30,6 +30,14 @@ def test_edges(spark, lib, chunk):
     assert B.encode(df.limit(0)).count() == 0
 
 
+def test_tasks_of_many_chunks_keep_their_words_apart(spark, lib):
+    """Every text is a chunk of its own, 300 and more in each of two tasks."""
+    rows = [(i, f"word{i} and {i * 7919}") for i in range(640)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    got = sorted((r.doc_id, list(r.ids), r.decoded) for r in B.encode(df, chunk=1).collect())
+    assert got == [want(lib, *r) for r in rows]
+
+
 def test_query(spark, sf, lib):
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
     expected = set()
