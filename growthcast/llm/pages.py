@@ -3,25 +3,24 @@
 1. *Lines.* A page becomes text lines, one for each block. Markup tells some of
    them apart: those inside an article or main element belong to the text;
    those inside menus, headers, footers, sidebars, notices, adverts, forms and
-   reader comments, told by element, role, class or id, don't. The rest is open.
+   reader comments, told by element, role, class or id, don't. The rest is open,
+   whatever its class says.
 2. *Pairs.* Pages are sorted by host and path. A page is paired with its
    neighbour of the same host that shares more leading path segments, the one
    before it if both share as many. The sort runs over ranges of (host, path,
    id); neighbours across two ranges are found from the ranges' edge rows, so
    pairs don't depend on how the rows are dealt.
-3. *Differencing.* The lines of a pair are aligned by their longest common
+3. *Differencing.* The open lines of a pair are aligned by their longest common
    subsequence (a line that repeats is aligned by its number among its equals),
-   and shared open lines are deleted: a template writes them, not the page.
-   Only hashes of the neighbour's lines travel.
-4. Where a page marks its article, its text is those lines; elsewhere it is the
-   open lines that are left.
+   and shared lines are deleted: a template writes them, not the page. Only
+   hashes of the neighbour's lines travel.
+4. The text is the lines of articles and the open lines that are left.
 
 Character references are decoded; white space in a block becomes one space;
 lines are joined by one line feed in page order.
 
 Nulls and edge cases: a null or empty html has no text (the empty string); a
-page whose url is null or has no host, and one with a null id, has no
-neighbour and is judged by its markup; of rows that repeat an id one serves as
+page whose url is null or has no host, and one with a null id, has no neighbour and is judged by its markup; of rows that repeat an id one serves as
 a neighbour; texts are taken whole; an empty table gives no rows; other columns
 are not looked at.
 """
@@ -40,7 +39,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from growthcast.session import materialise
 
-BOILERPLATE, MAIN, OPEN = 0, 1, 2
+#: Named lines are open lines inside an element whose class or id tells an article.
+BOILERPLATE, MAIN, OPEN, NAMED = 0, 1, 2, 3
 
 #: Elements that end a line before and after them.
 BLOCKS = frozenset(
@@ -132,7 +132,8 @@ class Lines(HTMLParser):
     def kind_of(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
         if self.kind == BOILERPLATE:
             # a heading in an article's own header is its title
-            return MAIN if tag in ("h1", "h2") and self.open[-1][0] == "header" and self.open[-1][1] == MAIN else BOILERPLATE
+            titled = tag in ("h1", "h2") and self.open[-1][0] == "header" and self.open[-1][1] in (MAIN, NAMED)
+            return self.open[-1][1] if titled else BOILERPLATE
         if tag in DROPPED or tag == "header":
             return BOILERPLATE
         if tag in ("html", "body") or not attrs and tag not in ("article", "main"):
@@ -146,9 +147,9 @@ class Lines(HTMLParser):
         names = [[w.lower() for w in NAMES.findall(n)] for a in ("class", "id") for n in (values.get(a) or "").split()]
         words = {w for n in names if not {"has", "no", "with", "without"} & set(n) for w in n}
         article = tag in ("article", "main") or role in ("main", "article")
-        if words & (DROPPED_MAIN if article or self.kind == MAIN and tag in ("section",) else DROPPED_NAMES):
+        if words & (DROPPED_MAIN if article or self.kind in (MAIN, NAMED) and tag in ("section",) else DROPPED_NAMES):
             return BOILERPLATE
-        return MAIN if article or words & MAIN_NAMES else self.kind
+        return MAIN if article else NAMED if self.kind == OPEN and words & MAIN_NAMES else self.kind
 
 
 def shared(own: list[int], other: list[int]) -> np.ndarray:
@@ -180,10 +181,14 @@ def shared(own: list[int], other: list[int]) -> np.ndarray:
     return out
 
 
+def is_open(kind: int) -> bool:
+    return kind in (OPEN, NAMED)
+
+
 def main_text(lines: list[tuple[str, int]], both: np.ndarray) -> str:
-    if any(kind == MAIN for _, kind in lines):
-        return "\n".join(t for t, kind in lines if kind == MAIN)
-    return "\n".join(t for (t, kind), common in zip(lines, both.tolist()) if kind == OPEN and not common)
+    """Lines of articles and open lines; ``both`` tells of each open line whether it is shared."""
+    common = iter(both.tolist())
+    return "\n".join(t for t, kind in lines if kind == MAIN or is_open(kind) and not next(common))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -261,7 +266,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hash(lines: list[tuple[str, int]]) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in lines]
+    """Numbers of the open lines."""
+    return [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, kind in lines if is_open(kind)]
 
 
 def _hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

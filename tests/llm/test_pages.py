@@ -44,6 +44,13 @@ def test_shared_article_lines_stay(spark):
     assert got == {i: (f"Licence line\n{i}", 14) for i in range(3)}
 
 
+def test_open_lines_beside_article_lines_are_differenced(spark):
+    page = ('<body><h1 class="entry-title">Title {0}</h1><div>Site line</div><div>Body {0}</div><p>More {0}</p>'
+            '<article><p>Card</p></article><div class="post"><p>Licence</p><p>Post {0}</p></div></body>')
+    got = texts(spark, [(i, f"http://a.example/{i}", page.format(i)) for i in range(3)])
+    assert {i: t for i, (t, _) in got.items()} == {i: f"Title {i}\nBody {i}\nMore {i}\nCard\nPost {i}" for i in range(3)}
+
+
 def test_edges(spark):
     rows = [(1, None, None), (2, "no url", ""), (3, "http://h/", "<p>plain"), (None, "http://h/a", "<p>no id"), (4, "http://h/b", "text only &lt;p&gt; &#x1F600;"),
             (5, "http://h/c", "<article>" + "<p>w w</p>" * 20_000), (6, "http://k/", "<script>never closed"), (7, "http://k2/", "<article><!-- open"), (9, "http://same/1", "<p>s"), (9, "http://same/1", "<p>s")]
