@@ -5,11 +5,12 @@
    those inside menus, headers, footers, sidebars, notices, adverts, forms and
    reader comments, told by element, role, class or id, don't. The rest is open,
    whatever its class says.
-2. *Pairs.* Pages are sorted by host and path. A page is paired with its
-   neighbour of the same host that shares more leading path segments, the one
-   before it if both share as many. The sort runs over ranges of (host, path,
-   id); neighbours across two ranges are found from the ranges' edge rows, so
-   pairs don't depend on how the rows are dealt.
+2. *Pairs.* Pages with open lines are sorted by host and path. Neighbours that
+   share nearly all their open text (``COPY``) are copies and make a run. A page
+   is paired with the page before or after its run, on the same host, that
+   shares more leading path segments, the one before if both share as many. The
+   sort runs over ranges of (host, path, id); runs across ranges are found from
+   one row for each range, so pairs don't depend on how the rows are dealt.
 3. *Differencing.* The open lines of a pair are aligned by their longest common
    subsequence (a line that repeats is aligned by its number among its equals),
    and shared lines are deleted: a template writes them, not the page. Only
@@ -20,7 +21,8 @@ Character references are decoded; white space in a block becomes one space;
 lines are joined by one line feed in page order.
 
 Nulls and edge cases: a null or empty html has no text (the empty string); a
-page whose url is null or has no host, and one with a null id, has no neighbour and is judged by its markup; of rows that repeat an id one serves as
+page whose url is null or has no host, one with a null id, and one whose host
+has only copies of it, has no neighbour and is judged by its markup; of rows that repeat an id one serves as
 a neighbour; texts are taken whole; an empty table gives no rows; other columns
 are not looked at.
 """
@@ -35,12 +37,14 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from growthcast.session import materialise
 
 #: Named lines are open lines inside an element whose class or id tells an article.
 BOILERPLATE, MAIN, OPEN, NAMED = 0, 1, 2, 3
+#: Two pages are copies if they share this part of the characters of their open lines.
+COPY = 0.9
 
 #: Elements that end a line before and after them.
 BLOCKS = frozenset(
@@ -194,9 +198,11 @@ def main_text(lines: list[tuple[str, int]], both: np.ndarray) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every row."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    near = _nearest(rows.select("page_id", "url"))
-    hashed = rows.where("page_id IS NOT NULL").select("page_id", F.arrow_udf(_hashes, "array<long>")("html").alias("other")).dropDuplicates(["page_id"])
-    others = near.join(hashed.withColumnRenamed("page_id", "near"), "near").select("page_id", "other")
+    hosted = rows.where(F.col("page_id").isNotNull() & host_and_path(F.col("url"))[0].isNotNull())
+    # html is parsed once for all that pairs need
+    codes = materialise(hosted.select("page_id", "url", F.arrow_udf(_hashes, "array<long>")("html").alias("lines")).where("size(lines) > 0")
+                        .groupBy("page_id").agg(F.min(F.struct("url", "lines")).alias("_r")).select("page_id", "_r.url", "_r.lines"), "codes")
+    others = _nearest(codes).join(codes.select(F.col("page_id").alias("near"), F.col("lines").alias("other")), "near").select("page_id", "other")
     text = F.arrow_udf(_texts, "string")("html", "other")
     # a left join keeps pages without neighbour
     return (rows.join(others, "page_id", "left").select("page_id", "url", text.alias("text"))
@@ -209,22 +215,24 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def _nearest(urls: DataFrame) -> DataFrame:
-    """(page_id, near) for the pages that have a neighbour."""
+    """(page_id, near) for the pages that have a neighbour; pages with equal or nearly equal ``lines``, if given, are none."""
     host, path = host_and_path(F.col("url"))
-    keys = (urls.where("page_id IS NOT NULL").groupBy("page_id").agg(F.min("url").alias("url"))
-            .select("page_id", host.alias("host"), path.alias("path")).where("host IS NOT NULL"))
+    lines = F.col("lines") if "lines" in urls.columns else F.lit(None).cast("array<long>")
+    keys = (urls.where("page_id IS NOT NULL").groupBy("page_id").agg(F.min(F.struct(F.col("url"), lines.alias("lines"))).alias("_r"))
+            .select("page_id", "_r.url", "_r.lines").select("page_id", host.alias("host"), path.alias("path"), "lines").where("host IS NOT NULL"))
     kind = urls.schema["page_id"].dataType.simpleString()
     order = ["host", "path", "page_id"]
     side = f"struct<page_id:{kind},host:string,path:string>"
-    # the ranges are drawn anew whenever this is computed, so it is computed once
-    dealt = materialise(keys.repartitionByRange(*order).sortWithinPartitions(*order)
-                        .mapInArrow(_neighbours, f"page_id {kind}, host string, path string, before {side}, after {side}, first boolean, last boolean"), "neighbours")
-    edges = W.orderBy(*order)  # two rows of each range
-    me = F.struct("page_id", "host", "path")
-    outer = (dealt.where("first OR last").withColumn("_b", F.lag(me).over(edges)).withColumn("_a", F.lead(me).over(edges))
-             .select(*order, F.when(F.col("first"), F.col("_b")).otherwise(F.col("before")).alias("before"),
-                     F.when(F.col("last"), F.col("_a")).otherwise(F.col("after")).alias("after")))
-    found = dealt.where("NOT first AND NOT last").select(*order, "before", "after").unionByName(outer)
+    # the ranges are drawn anew whenever this is computed, so it is computed once; a range's last row has no page_id and tells of the range
+    dealt = materialise(keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+        _runs, f"part int, page_id {kind}, host string, path string, before {side}, after {side}, opens boolean, closes boolean, "
+               f"first {side}, last {side}, first_lines array<long>, last_lines array<long>, whole boolean"), "neighbours")
+    # one row of each range
+    around = (dealt.where("page_id IS NULL").drop("page_id", "host", "path", "opens", "closes").repartition(1).sortWithinPartitions("part")
+              .mapInArrow(_around, f"part int, outer_before {side}, outer_after {side}"))
+    found = (dealt.where("page_id IS NOT NULL").join(F.broadcast(around), "part")
+             .select(*order, F.when(F.col("opens"), F.col("outer_before")).otherwise(F.col("before")).alias("before"),
+                     F.when(F.col("closes"), F.col("outer_after")).otherwise(F.col("after")).alias("after")))
 
     def common(c: str) -> Column:
         """Number of leading path segments in common; null for another host or none."""
@@ -238,36 +246,90 @@ def _nearest(urls: DataFrame) -> DataFrame:
     return found.select("page_id", near.alias("near")).where("near IS NOT NULL")
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a sorted range with the row before and after each; the last row of a batch waits for the next batch."""
-    names = ["page_id", "host", "path"]
-    before, held = None, None
+def are_copies(a: np.ndarray | None, b: np.ndarray | None) -> bool:
+    """Whether two pages share nearly all characters of their distinct open lines."""
+    if a is None or b is None:
+        return False
+    a, b = np.unique(a), np.unique(b)
+    chars = lambda codes: int((codes & LENGTH).sum())
+    return 2 * chars(np.intersect1d(a, b, assume_unique=True)) >= COPY * (chars(a) + chars(b))
+
+
+def _lines_of(x: pa.Scalar) -> np.ndarray | None:
+    return x.values.to_numpy() if x.is_valid else None
+
 
-    def out(rows: list[dict], prior: dict | None, nxt: dict | None, schema: pa.Schema) -> pa.RecordBatch:
-        side = pa.struct([schema.field(n) for n in names])
-        around = [prior, *rows, nxt]
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array([r[n] for r in rows], schema.field(n).type) for n in names), pa.array(around[:-2], side), pa.array(around[2:], side),
-             pa.array([x is None for x in around[:-2]]), pa.array([x is None for x in around[2:]])], [*names, "before", "after", "first", "last"])
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a sorted range with the rows before and after their run of copies; the range's own row comes last.
 
-    schema = None
+    A range's keys are held, and the lines of its first and last row.
+    """
+    from pyspark import TaskContext
+
+    names = ["page_id", "host", "path"]
+    rows, heads, types, first, last = [], [], None, None, None
+    for batch in batches:
+        types = types or {n: batch.schema.field(n).type for n in names}
+        for row, x in zip(batch.select(names).to_pylist(), batch.column("lines")):
+            own = _lines_of(x)
+            if not rows or rows[-1]["host"] != row["host"] or not are_copies(last, own):
+                heads.append(len(rows))
+            first = own if not rows else first
+            last = own
+            rows.append(row)
+    if not rows:
+        return
+    side, part = pa.struct([(n, types[n]) for n in names]), TaskContext.get().partitionId()
+    ends = [*heads[1:], len(rows)]
+    n = len(rows) + 1
+    before, after, opens, closes = [], [], [], []
+    for start, end in zip(heads, ends):
+        before += [rows[start - 1] if start else None] * (end - start)
+        after += [rows[end] if end < len(rows) else None] * (end - start)
+        opens += [start == 0] * (end - start)
+        closes += [end == len(rows)] * (end - start)
+    none = [None] * (n - 1)
+    lines = pa.list_(pa.int64())
+    # of the range: the row before its last run, the row after its first one, and its ends
+    columns = [pa.array([part] * n, pa.int32()), *(pa.array([*(r[c] for r in rows), None], types[c]) for c in names),
+               pa.array([*before, before[-1]], side), pa.array([*after, after[0]], side), pa.array([*opens, None], pa.bool_()), pa.array([*closes, None], pa.bool_()),
+               pa.array([*none, rows[0]], side), pa.array([*none, rows[-1]], side), pa.array([*none, first], lines), pa.array([*none, last], lines),
+               pa.array([*none, len(heads) == 1], pa.bool_())]
+    yield pa.RecordBatch.from_arrays(columns, ["part", *names, "before", "after", "opens", "closes", "first", "last", "first_lines", "last_lines", "whole"])
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every range the row before the run that it begins with and the row after the run that it ends with."""
+    ranges, linked, last, side = [], [], None, None
     for batch in batches:
-        schema, rows = batch.schema, batch.to_pylist()
-        if not rows:
-            continue
-        if held is not None:
-            rows = [held, *rows]
-        held = rows.pop()
-        if rows:
-            yield out(rows, before, held, schema)
-            before = rows[-1]
-    if held is not None:
-        yield out([held], before, None, schema)
+        side = batch.schema.field("before").type
+        for i, row in enumerate(batch.drop_columns(["first_lines", "last_lines"]).to_pylist()):
+            # whether its first run goes on from the range before
+            linked.append(bool(ranges) and ranges[-1]["last"]["host"] == row["first"]["host"] and are_copies(last, _lines_of(batch.column("first_lines")[i])))
+            last = _lines_of(batch.column("last_lines")[i])
+            ranges.append(row)
+    if not ranges:
+        return
+    n = len(ranges)
+    before, after, carried = [None] * n, [None] * n, None
+    for k, r in enumerate(ranges):
+        before[k] = carried if linked[k] else ranges[k - 1]["last"] if k else None
+        carried = before[k] if r["whole"] else r["before"]
+    carried = None
+    for k in range(n - 1, -1, -1):
+        after[k] = None if k == n - 1 else carried if linked[k + 1] else ranges[k + 1]["first"]
+        carried = after[k] if ranges[k]["whole"] else ranges[k]["after"]
+    yield pa.RecordBatch.from_arrays([pa.array([r["part"] for r in ranges], pa.int32()), pa.array(before, side), pa.array(after, side)],
+                                     ["part", "outer_before", "outer_after"])
+
+
+#: The low bits of a line's number hold its length, up to this.
+LENGTH = (1 << 12) - 1
 
 
 def _hash(lines: list[tuple[str, int]]) -> list[int]:
     """Numbers of the open lines."""
-    return [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, kind in lines if is_open(kind)]
+    return [((xxhash.xxh3_64_intdigest(t) & ~LENGTH) | min(len(t), LENGTH)) - (1 << 63) for t, kind in lines if is_open(kind)]
 
 
 def _hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -51,6 +51,26 @@ def test_open_lines_beside_article_lines_are_differenced(spark):
     assert {i: t for i, (t, _) in got.items()} == {i: f"Title {i}\nBody {i}\nMore {i}\nCard\nPost {i}" for i in range(3)}
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_copies_are_not_neighbours(spark, parts):
+    """Equal and nearly equal copies lose the template's lines alone; so do pages beside them; a host of copies loses nothing."""
+    body = "A long paragraph of the page that was captured more than once. " * 5
+    page = "<div>Top line of the site</div><div>{}</div><div>{}</div>"
+    rows = [(i, f"http://a.example/x/p?page={i}", page.format(body, "seen")) for i in range(20)]
+    rows += [(20 + i, "http://a.example/x/q", page.format(body, f"seen {i} times")) for i in range(20)]
+    rows += [(90, "http://a.example/x/a", page.format("First page of its own", "one")), (91, "http://a.example/x/z", page.format("Last page of its own", "two"))]
+    rows += [(100 + i, f"http://b.example/{i}", page.format(body, "only")) for i in range(3)]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {i: t for i, (t, _) in texts(spark, rows).items()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    body = body.strip()
+    assert all(got[i] == f"{body}\nseen" for i in range(20)) and all(got[20 + i] == f"{body}\nseen {i} times" for i in range(20))
+    assert got[90] == "First page of its own\none" and got[91] == "Last page of its own\ntwo"
+    assert {got[100 + i] for i in range(3)} == {f"Top line of the site\n{body}\nonly"}
+
+
 def test_edges(spark):
     rows = [(1, None, None), (2, "no url", ""), (3, "http://h/", "<p>plain"), (None, "http://h/a", "<p>no id"), (4, "http://h/b", "text only &lt;p&gt; &#x1F600;"),
             (5, "http://h/c", "<article>" + "<p>w w</p>" * 20_000), (6, "http://k/", "<script>never closed"), (7, "http://k2/", "<article><!-- open"), (9, "http://same/1", "<p>s"), (9, "http://same/1", "<p>s")]
