@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from growthcast.llm import bpe, collisions, jaccard, mixing, pages, substrings, tokens, topk, toxicity, warc
+from growthcast.llm import alignment, bpe, collisions, jaccard, language, mixing, negatives, pages, substrings, tokens, topk, toxicity, warc
 from growthcast.llm.common import table
 from growthcast.llm.registry import ORACLES, QUERIES, query
 
@@ -114,3 +114,28 @@ def op9(spark, sf_dir):
     """Both captures of every page, written as WARC bytes and read again, with revisits resolved."""
     captures = warc.records(warc.captures_of_pages(table(spark, sf_dir, "pages")))
     return warc.resolve(captures).withColumn("headers", warc.sorted_json(F.col("headers")))
+
+
+@query("op11_hard_negatives", """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(x::DOUBLE * 256) FOR x IN embedding] AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (SELECT q.vec_id AS anchor_id, c.vec_id, c.label = q.label AS alike, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND len(q.e) = len(c.e) WHERE c.label <> q.label OR c.vec_id <> q.vec_id),
+positives AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM scored WHERE alike) WHERE r <= 5),
+ranked AS (SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank
+    FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.alike AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3""")
+def op11(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+@query("op12_language_id")
+def op12(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_alignment")
+def op13(spark, sf_dir):
+    return alignment.alignment(table(spark, sf_dir, "documents"))
