@@ -30,9 +30,11 @@ chunk of its own; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from array import array
+import gc
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ from growthcast.llm.bpe import Numbers, pack, piece_bytes, unpack
 from growthcast.llm.tokens import tokenizer_path
 from growthcast.session import materialise
 
-CHUNK = 16_000_000
+CHUNK = 32_000_000
 SPACE = "▁"
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
@@ -66,6 +68,8 @@ class Aligner:
         self.alone = pieces.index(SPACE)
         over = regex.compile(rf"[^{SPACE}]{SPACE}").search
         self.separable = not any(over(p) for i, p in enumerate(pieces) if not (self.b.is_control(i) or self.b.is_unknown(i)))
+        self.a_width, self.b_width = (np.array(list(map(len, b))) for b in (self.a_bytes, self.b_bytes))
+        self.texts = [f"{i}{c}" for i in range(max(len(self.a_bytes), len(self.b_bytes))) for c in (",", "|", ";", "\n")]
         # white space by either definition, before a space
         self.mixed = regex.compile(r"[\s\p{White_Space}] ").search
         self.glued = regex.compile(r" (?:[^ ]|(?<=[\s\p{White_Space}]) )*").findall
@@ -78,57 +82,109 @@ class Aligner:
             return [u[1:] for u in self.glued(" " + text)]
         return text.split(" ")
 
-    def tokens(self, units: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int]] | None]:
-        """Ids of A and of B and the byte ends of both for each unit; None where the bytes differ."""
+    def align(self, units: list[str]) -> Aligned:
+        """All units at once: their bytes lie one after another, so that one array of ends serves for all."""
+        text = " " + " ".join(units)
+        begins = np.cumsum([0, *(len(u) + 1 for u in units)])
+        place = byte_places(text)
+        unit_end = place[begins[1:]]
         by_a = self.a.encode_batch([" " + u for u in units], add_special_tokens=False)
-        by_b = self.b.encode(units, return_type="proto", num_threads=1)
-        for unit, a, b in zip(units, by_a, by_b):
-            data = (" " + unit).encode()
-            a_ids, spans = a.ids, a.offsets
-            if len(data) > len(unit) + 1:
-                at = byte_places(" " + unit)
-                spans = [(at[s], at[e]) for s, e in spans]
-            b_ids = [p.id for p in b.pieces] if unit else [self.alone]
-            b_spans = [(p.begin + 1, p.end + 1) for p in b.pieces] if unit else [(1, 1)]
-            a_parts, b_parts = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-            if b"".join(a_parts) != data or b"".join(b_parts) != data:
-                yield None
-            else:
-                yield a_ids, b_ids, byte_ends(spans, a_parts), byte_ends(b_spans, b_parts)
-
-
-def byte_places(text: str) -> list[int]:
+        by_b = [b.pieces for b in self.b.encode(units, return_type="proto", num_threads=1)]
+
+        a_ids = _flat(e.ids for e in by_a)
+        n_a = np.array([len(e.ids) for e in by_a])
+        spans = _flat(chain.from_iterable(e.offsets) for e in by_a).reshape(-1, 2) + np.repeat(begins[:-1], n_a)[:, None]
+        a_spans = place[spans]
+        b_ids = _flat([p.id for p in b] if u else [self.alone] for u, b in zip(units, by_b))
+        n_b = np.array([len(b) if u else 1 for u, b in zip(units, by_b)])
+        spans = _flat([x for p in b for x in (p.begin, p.end)] if u else (0, 0) for u, b in zip(units, by_b)).reshape(-1, 2)
+        b_spans = spans + np.repeat(place[begins[:-1]] + 1, n_b)[:, None]
+
+        data = text.encode("utf-8", "replace")
+        bad = self.differs(data, unit_end, a_ids, n_a, self.a_bytes, self.a_width) | self.differs(data, unit_end, b_ids, n_b, self.b_bytes, self.b_width)
+        unit_a, unit_b = np.repeat(np.arange(len(units)), n_a), np.repeat(np.arange(len(units)), n_b)
+        in_a, in_b = ~bad[unit_a], ~bad[unit_b]
+        a_ids, a_spans, unit_a, b_ids, b_spans, unit_b = a_ids[in_a], a_spans[in_a], unit_a[in_a], b_ids[in_b], b_spans[in_b], unit_b[in_b]
+        unit_start = place[begins[:-1]]
+        a_end = byte_ends(a_spans, self.a_width[a_ids], unit_start[unit_a])
+        b_end = byte_ends(b_spans, self.b_width[b_ids], unit_start[unit_b])
+
+        # between two ends next to each other lies one token of each side: a link
+        ends = np.union1d(a_end, b_end)
+        shared = np.intersect1d(a_end, b_end, assume_unique=True)
+        links = a_ids[np.searchsorted(a_end, ends)] << 32 | b_ids[np.searchsorted(b_end, ends)]
+        count = lambda at: np.bincount(np.searchsorted(unit_end, at), minlength=len(units))
+        n_links, n_groups = count(ends), count(shared)
+        return Aligned(bad, np.array([n_a * ~bad, n_b * ~bad, n_groups, n_links]), links, self.written(a_ids, a_end, b_ids, b_end, shared, unit_end, bad))
+
+    @staticmethod
+    def differs(data: bytes, unit_end: np.ndarray, ids: np.ndarray, n: np.ndarray, parts: list[bytes], width: np.ndarray) -> np.ndarray:
+        """Units whose tokens' bytes aren't the unit's."""
+        joined = b"".join([parts[i] for i in ids.tolist()])
+        if joined == data:
+            return np.zeros(len(n), bool)
+        upto = np.concatenate(([0], np.cumsum(width[ids])))[np.cumsum(n)]
+        edges = zip([0, *unit_end.tolist()], unit_end.tolist(), [0, *upto.tolist()], upto.tolist())
+        return np.array([data[s:e] != joined[s_:e_] for s, e, s_, e_ in edges])
+
+    def written(self, a_ids, a_end, b_ids, b_end, shared, unit_end, bad) -> list[bytes]:
+        """Text of every unit's groups."""
+        group = np.concatenate((np.searchsorted(shared, a_end), np.searchsorted(shared, b_end)))
+        side = np.repeat([0, 1], [len(a_ids), len(b_ids)])
+        order = np.lexsort((side, group))  # stable: tokens stay in order
+        group, side, ids = group[order], side[order], np.concatenate((a_ids, b_ids))[order]
+        last = np.append((group[1:] != group[:-1]) | (side[1:] != side[:-1]), True) if len(ids) else np.zeros(0, bool)
+        # what follows a token: another one of its side, the other side, another group, another unit
+        final = np.isin(shared[group], unit_end) if len(ids) else last
+        follows = np.where(last, np.where(side == 0, 1, np.where(final, 3, 2)), 0)
+        found = "".join([self.texts[c] for c in (ids * 4 + follows).tolist()]).split("\n")
+        good = iter(found)
+        return [b"" if b else next(good).encode() for b in bad.tolist()]
+
+
+class Aligned(NamedTuple):
+    """Units whose bytes differ, counts (as ``COUNTS``, by unit), linked ids as a << 32 | b in order, and the groups as text."""
+
+    bad: np.ndarray
+    counts: np.ndarray
+    links: np.ndarray
+    groups: list[bytes]
+
+
+def _flat(parts: Iterable[Iterable]) -> np.ndarray:
+    nested = chain.from_iterable(parts)
+    first = next(nested, None)
+    if first is None:
+        return np.zeros(0, np.int64)
+    if isinstance(first, tuple):
+        nested, first = chain.from_iterable(chain([first], nested)), None
+    return np.fromiter(nested if first is None else chain([first], nested), np.int64)
+
+
+def byte_places(text: str) -> np.ndarray:
     """Byte where each character of a text begins, and the text's end."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
     width = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
-    return [0, *np.cumsum(width).tolist()]
-
-
-def byte_ends(spans: Iterable[tuple[int, int]], parts: list[bytes]) -> list[int]:
-    """Byte ends of tokens: their spans' where those fit the decoded bytes, else by the bytes themselves."""
-    out, at = [], 0
-    for (start, end), part in zip(spans, parts):
-        at = end if start == at and end - start == len(part) else at + len(part)
-        out.append(at)
-    return out
-
-
-def align(a_ids: list[int], b_ids: list[int], a_ends: list[int], b_ends: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """Groups between shared ends, and linked ids in the order of their bytes."""
-    groups, links = [], []
-    i = j = i0 = j0 = 0
-    while i < len(a_ids):
-        links.append((a_ids[i], b_ids[j]))
-        over = a_ends[i] - b_ends[j]
-        i, j = i + (over <= 0), j + (over >= 0)
-        if over == 0:
-            groups.append((a_ids[i0:i], b_ids[j0:j]))
-            i0, j0 = i, j
-    return groups, links
-
-
-def written(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
+    return np.concatenate(([0], np.cumsum(width)))
+
+
+def byte_ends(spans: np.ndarray, width: np.ndarray, unit_start: np.ndarray) -> np.ndarray:
+    """Byte ends of tokens: their spans' where those are as long as the decoded bytes and follow on, else as many bytes after the last such end."""
+    n = len(width)
+    if not n:
+        return np.zeros(0, np.int64)
+    fresh = np.append(True, unit_start[1:] != unit_start[:-1])
+    before = np.where(fresh, unit_start, np.append(0, spans[:-1, 1]))
+    sure = (spans[:, 1] - spans[:, 0] == width) & (spans[:, 0] == before)
+    upto = np.cumsum(width)
+    # the last sure end at or before each token, or its unit's start
+    at = np.arange(n)
+    anchor = np.maximum.accumulate(np.where(sure, at, np.where(fresh, at - 1, -1)))
+    own = np.maximum.accumulate(np.where(fresh, at, 0))
+    inside = anchor >= own
+    known = np.where(inside, spans[anchor, 1], unit_start)
+    done = np.where(inside, upto[anchor], np.append(0, upto)[own])
+    return known + upto - done
 
 
 class Chunk:
@@ -138,32 +194,31 @@ class Chunk:
         self.aligner = aligner
         self.number: dict[str, int] = {}
         self.pairs = Numbers()
-        self.counts = tuple(array("i") for _ in COUNTS)
-        self.links, self.groups = array("i"), []
+        self.counts, self.links = [np.zeros((len(COUNTS), 0), np.int64)], [np.zeros(0, np.int32)]
+        self.groups: list[bytes] = []
         self.bad: set[int] = set()
         self.docs = np.zeros(0, np.int64)
 
-    def learn(self, units: Iterable[str], together: int = 10_000) -> None:
+    def learn(self, units: Iterable[str], together: int = 20_000) -> None:
         new = [u for u in dict.fromkeys(units) if u not in self.number]
         for at in range(0, len(new), together):
             part = new[at:at + together]
-            for unit, found in zip(part, self.aligner.tokens(part)):
-                n = self.number[unit] = len(self.number)
-                groups, links = align(*found) if found else ([], [])
-                if not found:
-                    self.bad.add(n)
-                for counts, x in zip(self.counts, (len(found[0]), len(found[1]), len(groups), len(links)) if found else (0, 0, 0, 0)):
-                    counts.append(x)
-                self.links.extend(self.pairs[a << 32 | b] for a, b in links)
-                self.groups.append(written(groups).encode())
+            found, n = self.aligner.align(part), len(self.number)
+            self.number.update(zip(part, range(n, n + len(part))))
+            self.bad.update((n + np.flatnonzero(found.bad)).tolist())
+            keys, of = np.unique(found.links, return_inverse=True)
+            numbers = np.fromiter(map(self.pairs.__getitem__, keys.tolist()), np.int32, len(keys))
+            self.counts.append(found.counts)
+            self.links.append(numbers[of])
+            self.groups += found.groups
 
     def rows(self, texts: list[str]) -> Iterator[tuple]:
         """n_a, n_b, n_groups, n_links, groups_sha256 and packed (numbers, times) of the linked id pairs."""
         split = [self.aligner.units(t) if t else [] for t in texts]
-        for units in split:
-            self.learn(units)
-        counts, links = [np.array(c) for c in self.counts], np.array(self.links)
-        ends = np.cumsum(counts[3], dtype=np.int64) if len(links) else np.zeros(0, np.int64)
+        self.learn(chain.from_iterable(split))
+        self.counts, self.links = [np.concatenate(self.counts, axis=1)], [np.concatenate(self.links)]
+        counts, links = self.counts[0], self.links[0]
+        ends = np.cumsum(counts[3])
         if len(self.docs) < len(self.pairs):
             self.docs = np.concatenate((self.docs, np.zeros(len(self.pairs), np.int64)))
         for units in split:
@@ -214,6 +269,7 @@ def _align_chunks(paths: tuple[str, str], size: int, together: int = 2_000_000):
 
         at, length, aligner = TaskContext.get().partitionId() << 32, 0, Aligner(*paths)
         chunk = Chunk(aligner)
+        gc.disable()  # tables of a chunk are large and hold no cycles
         for batch in batches:
             texts = batch.column("text")
             for start, end in _parts(texts, together):

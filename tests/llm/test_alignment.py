@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 from functools import cache
 
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
@@ -125,18 +126,28 @@ ALPHABET = st.sampled_from(list("abcXYZ019 '.,-\n\t é漢😀ß▁<|>") + ["  ",
 def test_units_give_what_whole_texts_give(text, libraries):
     aligner = shared_aligner()
     want = brute_groups(text, libraries)
-    parts = list(aligner.tokens(aligner.units(text))) if text else []
+    units = aligner.units(text) if text else []
+    found = aligner.align(units) if units else None
     if want is None:
-        assert not text or None in parts
+        assert not text or found.bad.any()
         return
-    groups, links = [], []
-    for part in parts:
-        g, k = A.align(*part)
-        groups, links = groups + g, links + k
-    assert groups == want[0] and links == want[1]
+    groups, links, a_ids, b_ids = want
+    assert b";".join(found.groups).decode() == text_of(groups)
+    assert found.links.tolist() == [a << 32 | b for a, b in links]
+    assert found.counts.sum(1).tolist() == [len(a_ids), len(b_ids), len(groups), len(links)]
+
+
+def test_units_whose_bytes_differ_leave_the_others_alone():
+    found = shared_aligner().align(["the", "a▁b", "é漢", "▁", "", "of"])
+    assert found.bad.tolist() == [False, True, False, True, False, False]
+    alone = [shared_aligner().align([u]) for u in ("the", "é漢", "", "of")]
+    assert [g for g, b in zip(found.groups, found.bad) if not b] == [x.groups[0] for x in alone]
+    assert found.links.tolist() == [k for x in alone for k in x.links.tolist()]
 
 
 def test_spans_and_bytes():
-    # a whole token, two parts of a character that share its span, a fallback byte without one
-    assert A.byte_ends([(0, 2), (2, 5), (2, 5), (5, 5)], [b"ab", b"\xe6\xbc", b"\xa2", b"\xf0"]) == [2, 4, 5, 6]
-    assert A.align([1, 2], [7, 8, 9], [2, 6], [1, 2, 6]) == ([([1], [7, 8]), ([2], [9])], [(1, 7), (1, 8), (2, 9)])
+    # a whole token, two parts of a character that share its span, a fallback byte without one, and another unit's token
+    spans = np.array([(0, 2), (2, 5), (2, 5), (5, 5), (6, 8), (9, 9)])
+    assert A.byte_ends(spans, np.array([2, 2, 1, 1, 2, 1]), np.array([0, 0, 0, 0, 6, 6])).tolist() == [2, 4, 5, 6, 8, 9]
+    # a unit that begins with a token without a span
+    assert A.byte_ends(np.array([(0, 1), (2, 2), (2, 4)]), np.array([1, 1, 2]), np.array([0, 1, 1])).tolist() == [1, 2, 4]
