@@ -109,8 +109,8 @@ def test_trees_learn(spark, wide):
     base = truth.withColumn("pred", F.col("base")).withColumn("model", F.lit("F"))
     score = lambda p: mape(p.join(truth, ["row_id", "split", "horizon"]).where("split = 'train'"), ["model"]).first().mape
     flat = mape(base.where("split = 'train'"), ["model"]).first().mape
-    rf = RandomForest(feats, 2, trees=5, min_leaf=5, max_depth=6).fit(_train(wide)).predict(wide)
-    gb = GradientBoost(feats, 2, MedianBoost(feats, stages=25, rate=0.3, cut_every=7)).fit(_train(wide)).predict(wide)
+    rf = RandomForest(feats, 2, trees=60, min_leaf=5, max_depth=6).fit(_train(wide)).predict(wide)
+    gb = GradientBoost(feats, 2, MedianBoost(feats, stages=25, rate=0.3)).fit(_train(wide)).predict(wide)
     assert score(rf) < flat and score(gb) < flat
     for p in (rf, gb):
         assert p.join(wide.select("row_id", "base"), "row_id").where(F.col("pred") < F.col("base") - 1e-9).isEmpty()
@@ -118,8 +118,7 @@ def test_trees_learn(spark, wide):
 
 def test_boosting_takes_median_steps(spark, wide):
     rows = _train(wide)
-    from growthcast.models.trees import assembled
-    boost = MedianBoost(["base", "delta"], stages=2, depth=2).fit(assembled(rows, ["base", "delta"]), "y_1")
+    boost = MedianBoost(["base", "delta"], stages=2, depth=2).fit(rows, "y_1")
     pdf = rows.select("y_1", boost.prediction().alias("f"), *[F.expr(tree.leaf(["base", "delta"])).alias(f"l{i}") for i, tree in enumerate(boost.trees)]).toPandas()
     f = np.full(len(pdf), np.sort(pdf.y_1)[(len(pdf) - 1) // 2])
     for i in range(2):
@@ -297,3 +296,146 @@ def test_prepare_aligns_filters_and_splits(spark):
     assert len(rows) == 80 and all(r.paper_citations >= 5 and r.base == r.paper_citations for r in rows)
     assert all(r.y_1 == r.row_id + 30 and r.y_2 == r.row_id + 40 and list(r.inc) == [1, 2, 0] for r in rows)
     assert sorted((s, sum(r.split == s for r in rows)) for s in ("train", "valid", "test")) == [("test", 16), ("train", 56), ("valid", 8)]
+
+
+def _table(spark, n=600, seed=4, horizons=2):
+    """Entities with whole-number labels, ties, a constant, a null and a NaN feature."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        a, b, c = int(rng.integers(0, 40)), int(rng.integers(0, 5)), float(rng.normal())
+        ys = [float(a + h * b + int(rng.integers(0, 4)) + 1) for h in range(1, horizons + 1)]
+        rows.append((i, "train", float(a), float(b), c, 3.0, None if i % 7 == 0 else float(b * i), float("nan") if i % 11 == 0 else c * b, float(a), *ys))
+    cols = "row_id bigint, split string, a double, b double, c double, flat double, gaps double, holes double, base double"
+    return spark.createDataFrame(rows, cols + "".join(f", y_{h} double" for h in range(1, horizons + 1)))
+
+
+FEATS = ["a", "b", "c", "flat", "gaps", "holes"]
+
+
+def _plain_tree(x, target, weight, depth, min_leaf, min_split):
+    """Leaves (as row sets) of a tree by trying every split of codes one after another."""
+    n, s = weight.sum(), (weight * target).sum()
+    best = (1e-9 * max(1.0, abs(s)), None)
+    if depth > 0 and n >= min_split:
+        for f in range(x.shape[1]):
+            for cut in sorted(set(x[:, f]))[:-1]:
+                left = x[:, f] <= cut
+                ln, ls = weight[left].sum(), (weight * target)[left].sum()
+                if ln >= min_leaf and n - ln >= min_leaf:
+                    gain = ls ** 2 / ln + (s - ls) ** 2 / (n - ln) - s ** 2 / n
+                    if gain > best[0] * (1 + 1e-12):
+                        best = (gain, left)
+    if best[1] is None:
+        return [np.arange(len(x))]
+    out = []
+    for side in (best[1], ~best[1]):
+        at = np.flatnonzero(side)
+        out += [at[r] for r in _plain_tree(x[at], target[at], weight[at], depth - 1, min_leaf, min_split)]
+    return out
+
+
+def _codes(spark, df):
+    from growthcast.models import fitting
+    data = fitting.training(df, FEATS, ["y_1", "y_2"], 64)
+    return data, data.arrays()
+
+
+def test_boosting_against_plain_python(spark):
+    """Every stage: the best tree on signs by trying all splits, lower medians, a step of the rate."""
+    df = _table(spark, 300)
+    _, held = _codes(spark, df)
+    boost = MedianBoost(FEATS, stages=6, depth=2, min_leaf=3, min_split=30).fit(df, "y_1")
+    y = held.y[:, 0]
+    f = np.full(len(y), np.sort(y)[(len(y) - 1) // 2])
+    x = held.x.astype(int)
+    for _ in range(6):
+        rest = y - f
+        for leaf in _plain_tree(x, np.sign(rest), np.ones(len(y)), 2, 3, 30):
+            f[leaf] += 0.1 * np.sort(rest[leaf])[(len(leaf) - 1) // 2]
+    got = {r.row_id: r.f for r in df.select("row_id", boost.prediction().alias("f")).collect()}
+    assert np.allclose([got[i] for i in held.ids.tolist()], f)
+
+
+def test_forest_against_plain_python(spark):
+    """With all features tried, each tree's leaf means are those of plain splits on its bootstrap weights."""
+    from growthcast.models import binned, fitting
+    df = _table(spark, 200)
+    data, held = _codes(spark, df)
+    out = fitting.forest(data, 3, binned.Rule(1_000, 10), seed=5).collect()
+    assert len(out) == 6
+    raw = {r.row_id: r for r in df.collect()}
+    x = np.array([[np.nan if raw[i][c] is None else raw[i][c] for c in FEATS] for i in held.ids.tolist()])
+    for r in out:
+        i = r.tree * 2 + r.horizon - 1
+        w, y = binned.bootstrap(held.ids, i, 5), held.y[:, r.horizon - 1]
+        rows = np.flatnonzero(w)
+        pred = binned.FlatTree(*(r[c] for c in binned.FlatTree._fields)).score(x[rows])
+        for leaf in _plain_tree(held.x[rows].astype(int), y[rows], w[rows], 1_000, 10, 2):
+            assert np.allclose(pred[leaf], np.average(y[rows][leaf], weights=w[rows][leaf]))
+
+
+@pytest.mark.parametrize("share,split", [(1.0, 2), (0.7, 25)])
+def test_models_do_not_depend_on_where_rows_lie(spark, monkeypatch, share, split):
+    """A table that isn't broadcast gives the same trees, from sums over tasks."""
+    from growthcast.models import fitting
+    df = _table(spark, 500).withColumn("fold", (F.col("row_id") % 3).cast("int")).repartition(5)
+    boost = MedianBoost(FEATS, stages=4, depth=3, subsample=share, min_split=split)
+    jobs = [boost.job(label, fold) for label in (0, 1) for fold in (None, 1)]
+    near = fitting.training(df, FEATS, ["y_1", "y_2"], 64)
+    monkeypatch.setattr(fitting, "LOCAL_BYTES", 0)
+    far = fitting.training(df, FEATS, ["y_1", "y_2"], 64)
+    assert near.small and not far.small
+    for (s1, t1), (s2, t2) in zip(fitting.boosted(near, jobs), fitting.boosted(far, jobs), strict=True):
+        assert s1 == s2 and len(t1) == len(t2) == 4
+        for one, two in zip(t1, t2):
+            assert one == two
+    assert np.allclose(fitting.held_out_scores(near, [jobs[1], jobs[3]]), fitting.held_out_scores(far, [jobs[1], jobs[3]]))
+
+
+def test_forests_do_not_depend_on_where_rows_lie(spark, monkeypatch):
+    from growthcast.models import fitting
+    df = _table(spark, 400).repartition(3)
+    forest = RandomForest(FEATS, 2, trees=3, min_leaf=8)
+    near = sorted(tuple(r) for r in forest.fit(df).predict(df).collect())
+    monkeypatch.setattr(fitting, "LOCAL_BYTES", 0)
+    monkeypatch.setattr(fitting, "SUBTREE_ROWS", 90)
+    monkeypatch.setattr(fitting, "TREES_A_PASS", 4)
+    far = sorted(tuple(r) for r in forest.fit(df).predict(df).collect())
+    assert [r[:3] for r in near] == [r[:3] for r in far] and len(near) == 800
+    assert np.allclose([r[3] for r in near], [r[3] for r in far])
+
+
+def test_forest_scores_in_several_passes(spark, monkeypatch):
+    from growthcast.models import trees as TR
+    df = _table(spark, 200)
+    model = RandomForest(FEATS, 2, trees=7, min_leaf=8).fit(df)
+    one = sorted(tuple(r) for r in model.predict(df).collect())
+    monkeypatch.setattr(TR, "NODES_A_PASS", 40)
+    several = sorted(tuple(r) for r in model.predict(df).collect())
+    assert [r[:3] for r in one] == [r[:3] for r in several] and np.allclose([r[3] for r in one], [r[3] for r in several])
+
+
+def test_trees_of_empty_and_constant_tables(spark):
+    df = _table(spark, 50)
+    none = MedianBoost(FEATS, stages=3).fit(df.limit(0), "y_1")
+    assert none.start == 0 and none.trees == []
+    flat = df.withColumn("y_1", F.lit(7.0)).withColumn("y_2", F.lit(None).cast("double"))
+    assert {r.pred for r in RandomForest(FEATS, 2, trees=2, min_leaf=5).fit(flat).predict(flat.withColumn("base", F.lit(0.0))).collect()} == {7.0, 0.0}
+    one, two = MedianBoost(FEATS, stages=3).fit_all(flat, ["y_1", "y_2"])
+    assert {r.f for r in flat.select(one.prediction().alias("f")).collect()} == {7.0} and two.trees == []
+
+
+def test_search_takes_the_best_of_each_group(spark):
+    from growthcast.models.trees import SEARCH
+    best, scores = staged_search(_table(spark, 240), MedianBoost(FEATS, stages=3), "y_2")
+    rows = scores.collect()
+    assert len(rows) == (5 + 6 + 5) * 5 and all(r.score < 0 for r in rows)
+    chosen = {"depth": best.depth, "min_split": best.min_split, "min_leaf": best.min_leaf, "subsample": best.subsample}
+    for stage, grid in enumerate(SEARCH):
+        mean = {}
+        for r in rows:
+            if r.stage == stage:
+                mean.setdefault(r.params, []).append(r.score)
+        top = max(mean, key=lambda p: np.mean(mean[p]))
+        assert top == ",".join(f"{k}={chosen[k]}" for k in grid)
