@@ -10,7 +10,7 @@ from growthcast.features import tables as FT
 from growthcast.functions import scalars as S, special as sp
 from growthcast.models import baselines as B, rpp as RP
 from growthcast.models.lasso import Lasso
-from growthcast.models.trees import GradientBoost, MapeEvaluator, MedianBoost, RandomForest, grid_scores, staged_search
+from growthcast.models.trees import SEARCH, GradientBoost, MapeEvaluator, MedianBoost, RandomForest, grid_scores, label_of, options_of, staged_search
 from growthcast.operators import metrics as M, reshape as R
 from growthcast.operators.split import contiguous_folds
 from growthcast.operators.standardise import moments
@@ -19,22 +19,18 @@ from growthcast.plans.queries_metrics import r
 from growthcast.plans.registry import cte, query
 from growthcast.session import materialise
 
-OWN = ["paper_age", "paper_citations", "paper_key_citations", "paper_mean_citations_per_year", "is_survey",
-       "paper_citations_delta_0", "paper_citations_delta_1", "paper_key_citations_delta_0", "paper_key_citations_delta_1"]
-FEATURES = OWN + list(FT.PAPER_VENUE_COLUMNS)
-TREES, STAGES = 20, 10
-
-
 def model_table(spark, sf):
-    """Split entities with their own and their venue's features, written once."""
-    papers = materialise(fx.papers(spark, sf), "papers")
-    venue_of = fx.venues(spark, sf)
-    own = FT.paper_own_features(papers, venue_of, fx.QUARTERS)
-    at_venue = FT.paper_venue_features(venue_of, FT.venue_measures(venue_of, papers, fx.QUARTERS))
-    feats = own.join(at_venue, "pid").withColumnRenamed("pid", "row_id")
+    """Split entities with all features of papers, their authors and venues, written once."""
+    feats = FT.paper_table(fx.authorship(spark, sf), fx.papers(spark, sf), fx.venues(spark, sf), fx.QUARTERS).withColumnRenamed("pid", "row_id")
     return materialise(fr.split_wide(spark, sf).join(feats, "row_id"), "wide")
 
 
+def features_of(wide):
+    """Names of the features in ``model_table``: what isn't a key, role, series or response."""
+    other = {"row_id", "split", "inc", *CM.ROLE_COLUMNS}
+    return [c for c in wide.columns if c not in other and not c.startswith("y_")]
+
+
 def facts(wide, preds, start=None):
     """What SQL can state of a learned forecaster: rows per split and horizon, none below the base, and a MAPE below the constant's.
 
@@ -259,13 +255,14 @@ def m13a(spark, sf):
 
 @query("m13_layer_features")
 def m13b(spark, sf):
-    return _layer_rows(spark, RP.PointProcess(FEATURES, gamma=0.1, rounds=3).fit(train_of(model_table(spark, sf))))
+    wide = model_table(spark, sf)
+    return _layer_rows(spark, RP.PointProcess(features_of(wide), gamma=0.1, rounds=17).fit(train_of(wide)))
 
 
 @query("m14_rpp_prediction", fact_sql("RPP"))
 def m14b(spark, sf):
     wide = materialise(fr.split_wide(spark, sf), "wide")
-    return facts(wide, RP.PointProcess(gamma=0.7, rounds=2).fit(train_of(wide)).predict(wide))
+    return facts(wide, RP.PointProcess(gamma=0.7, rounds=4).fit(train_of(wide)).predict(wide))
 
 
 # ---- linear and tree learners
@@ -283,34 +280,73 @@ def a16(spark, sf):
 @query("m05_lasso", fact_sql("LAS"))
 def m05(spark, sf):
     wide = model_table(spark, sf)
-    return facts(wide, Lasso(FEATURES).fit(train_of(wide)).predict(wide))
+    return facts(wide, Lasso(features_of(wide)).fit(train_of(wide)).predict(wide))
 
 
 @query("m06_random_forest", fact_sql("RF"))
 def m06(spark, sf):
     wide = model_table(spark, sf)
-    return facts(wide, RandomForest(FEATURES, trees=TREES, max_depth=10).fit(train_of(wide)).predict(wide))
+    return facts(wide, RandomForest(features_of(wide)).fit(train_of(wide)).predict(wide))
 
 
 @query("m07_gradient_boost", fact_sql("GBRT"))
 def m07(spark, sf):
     wide = model_table(spark, sf)
-    boost = GradientBoost(FEATURES, booster=MedianBoost(FEATURES, stages=STAGES)).fit(train_of(wide))
+    boost = GradientBoost(features_of(wide)).fit(train_of(wide))
     return facts(wide, boost.predict(wide), [m.start for m in boost.models])
 
 
-@query("m08_staged_search", """
-SELECT * FROM (VALUES (0, 'depth=2'), (0, 'depth=3'), (1, 'min_leaf=1'), (1, 'min_leaf=2'), (2, 'subsample=0.8'), (2, 'subsample=1.0')) p(stage, params),
-  (VALUES (0), (1), (2)) f(fold), (VALUES (true)) b(better_than_constant)""")
+cte("fs_own", """
+SELECT t.row_id, horizon, y::DOUBLE AS y, [p.base::DOUBLE, p.kbase::DOUBLE, p.d0::DOUBLE, (15 - p.p0 + 1)::DOUBLE] AS x
+FROM truth t JOIN paper p ON p.pid = t.row_id WHERE split = 'train'""")
+cte("fs_vals", "SELECT f.range AS f, x[f.range + 1] AS v FROM fs_own, range(4) f WHERE horizon = 1")
+cte("fs_edges", f"""
+SELECT e.f, edge FROM (SELECT DISTINCT f, unnest(quantile_disc(v, [{', '.join(f'{i / 64!r}' for i in range(1, 64))}])) AS edge FROM fs_vals GROUP BY f) e
+JOIN (SELECT f, max(v) AS top FROM fs_vals GROUP BY f) m ON m.f = e.f WHERE edge < top""")
+cte("fs_signs", """
+SELECT fs_own.horizon, start, y, x, sign(y - start)::DOUBLE AS g
+FROM fs_own JOIN (SELECT horizon, quantile_disc(y, 0.5) AS start FROM fs_own GROUP BY horizon) s ON s.horizon = fs_own.horizon""")
+cte("fs_sums", """
+SELECT horizon, any_value(start) AS start, f, edge, count(*)::DOUBLE AS n, sum(g) AS s,
+  count(*) FILTER (x[f + 1] <= edge)::DOUBLE AS ln, coalesce(sum(g) FILTER (x[f + 1] <= edge), 0) AS ls FROM fs_signs, fs_edges GROUP BY horizon, f, edge""")
+cte("fs_best", """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY ls ** 2 / ln + (s - ls) ** 2 / (n - ln) - s ** 2 / n DESC, f, edge) AS r
+  FROM fs_sums WHERE ln >= 2 AND n - ln >= 2) WHERE r = 1""")
+
+
+@query("m07_first_split", """
+SELECT b.horizon::INTEGER AS horizon, any_value(b.start) AS start, any_value(b.f)::INTEGER AS feature, any_value(b.edge) AS threshold,
+  quantile_disc(y - b.start, 0.5) FILTER (x[b.f + 1] <= b.edge) AS left_step, quantile_disc(y - b.start, 0.5) FILTER (x[b.f + 1] > b.edge) AS right_step
+FROM fs_best b JOIN fs_signs g ON g.horizon = b.horizon GROUP BY b.horizon""")
+def m07_first(spark, sf):
+    """Start, best split on signs and median steps of every horizon's first tree, of all splits of four features."""
+    names = ["paper_citations", "paper_key_citations", "paper_citations_delta_0", "paper_age"]
+    own = FT.paper_own_features(fx.papers(spark, sf), fx.venues(spark, sf), fx.QUARTERS).withColumnRenamed("pid", "row_id")
+    train = train_of(fr.split_wide(spark, sf)).join(own.select("row_id", *names), "row_id")
+    models = MedianBoost(names, stages=1, depth=1).fit_all(materialise(train, "train"), [f"y_{h}" for h in range(1, 11)])
+    rows = [(h, m.start, m.trees[0].feature[0], m.trees[0].threshold[0], m.trees[0].value[1], m.trees[0].value[2]) for h, m in enumerate(models, 1)]
+    return spark.createDataFrame(rows, "horizon int, start double, feature int, threshold double, left_step double, right_step double")
+
+
+@query("m08_staged_search", f"""
+SELECT stage, params, fold, true AS better_than_constant FROM (VALUES {', '.join(f"({i}, '{label_of(o)}')" for i, grid in enumerate(SEARCH) for o in options_of(grid))}) p(stage, params),
+  (VALUES (0), (1), (2), (3), (4)) f(fold)""")
 def m08(spark, sf):
-    search = ({"depth": [2, 3]}, {"min_leaf": [1, 2]}, {"subsample": [0.8, 1.0]})
-    train = train_of(model_table(spark, sf))
-    _, scores = staged_search(train, MedianBoost(FEATURES, stages=2), "y_10", search, folds=3)
-    # the constant's score on each fold
-    folds = contiguous_folds(train.select("row_id", "base", "y_10"), 3).groupBy("fold").agg((-F.avg(S.ape("base", "y_10"))).alias("constant"))
+    """All options and folds; each beats the constant on its fold by cross-validated MAPE."""
+    wide = model_table(spark, sf)
+    train = train_of(wide)
+    _, scores = staged_search(train, MedianBoost(features_of(wide)), "y_10")
+    folds = contiguous_folds(train.select("row_id", "base", "y_10"), 5).groupBy("fold").agg((-F.avg(S.ape("base", "y_10"))).alias("constant"))
     return scores.join(folds, "fold").select("stage", "params", "fold", (F.col("score") > F.col("constant")).alias("better_than_constant"))
 
 
+@query("m08_search_scores")
+def m08_scores(spark, sf):
+    """The scores themselves, on the entities' own four features."""
+    names = ["base", "delta", "average", "age"]
+    return staged_search(train_of(fr.split_wide(spark, sf)), MedianBoost(names), "y_10")[1]
+
+
 KS = (0.2, 0.5, 0.8, 1.1)
 
 
@@ -334,9 +370,9 @@ def a17(spark, sf):
 @query("u02_metric_evaluator", """
 SELECT model, round(-avg(abs(pred - y) / y), 6) AS score FROM scored WHERE split = 'test' GROUP BY model""")
 def u02(spark, sf):
-    test = materialise(fr.scored_frame(spark, sf).where("split = 'test'"), "scored")
-    rows = [(m, MapeEvaluator().evaluate(test.where(F.col("model") == m))) for m in ("F", "SM", "Variable k")]
-    return spark.createDataFrame(rows, "model string, score double").select("model", r("score"))
+    """The evaluator's metric as an aggregate: all models in one job."""
+    test = fr.scored_frame(spark, sf).where(F.col("split") == "test")
+    return MapeEvaluator().by(test, "model").select("model", r("score"))
 
 
 @query("u04_entity_kernel", "SELECT row_id, round(sum(t * inc) / sum(inc)::DOUBLE, 6) AS mean_time FROM series_all GROUP BY row_id")
@@ -362,8 +398,4 @@ def m16(spark, sf):
 @query("m16_all_models")
 def m16_all(spark, sf):
     wide = model_table(spark, sf)
-    models = CM.standard_models(FEATURES, train_of(wide), True, trees=10, stages=3, rounds=(1, 1), tune=False)
-    for m in models:
-        if isinstance(m, RandomForest):
-            m.max_depth = 8
-    return CM.compare(wide, models).metrics
+    return CM.compare(wide, CM.standard_models(features_of(wide), train_of(wide), True)).metrics
