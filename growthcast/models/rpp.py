@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ PRIOR = 10.0                   # m
 FLOOR = 0.001                  # added to the softplus
 MU_MIN, SD_MIN = -1.0, 0.5     # bounds of the per-entity fit
 FIT_STEPS, PREDICT_STEPS = 10, 10_000
-REACH = 10.0                   # farthest a layer weight moves in one round (1000 steps of .01)
+RIDGE = 1e-3                   # penalty on squared layer weights, so that a finite best exists
 
 
 class Histories:
@@ -162,6 +163,96 @@ def fit_lognormal(hist: Histories, alpha, beta, mu, sd, steps: int, tol: float =
     return mu, sd
 
 
+class Certificate(NamedTuple):
+    """Bounded optimum of each row's (mu, sigma): the gradient that is left, which bounds hold, and the least curvature of what is free."""
+
+    mu: np.ndarray
+    sd: np.ndarray
+    by_mu: np.ndarray
+    by_sd: np.ndarray
+    at_mu: np.ndarray
+    at_sd: np.ndarray
+    curvature: np.ndarray
+
+    def projected(self) -> np.ndarray:
+        """Norm of the gradient of the log-likelihood without the parts that push against a bound."""
+        g_mu = np.where(self.at_mu & (self.by_mu < 0), 0.0, self.by_mu)
+        g_sd = np.where(self.at_sd & (self.by_sd < 0), 0.0, self.by_sd)
+        return np.hypot(g_mu, g_sd)
+
+    def holds(self, n: np.ndarray, tol: float = 1e-4) -> np.ndarray:
+        """A maximum: no ascent direction is left, by ``tol`` for each count, and the free curvature is not negative by more."""
+        return (self.projected() <= tol * (1 + n)) & (self.curvature >= -tol * (1 + n))
+
+
+def optimal_lognormal(hist: Histories, alpha, beta, mu, sd, steps: int = 60) -> Certificate:
+    """From a start, bounded Newton steps on (mu, sigma) until none helps, and what proves the point.
+
+    Curvature comes from differences of the gradient; it is made positive by its
+    absolute eigenvalues. A row's step is halved until it is no worse.
+    """
+    mu, sd = np.maximum(mu, MU_MIN), np.maximum(sd, SD_MIN)
+
+    def slopes(rows, m, s):
+        with np.errstate(all="ignore"):
+            g = hist.take(rows).gradient(alpha[rows], beta[rows], m, s)
+        return np.nan_to_num(np.array(g), nan=0.0)
+
+    def curved(rows, m, s):
+        """Second derivatives of minus the log-likelihood: (mu mu, mu sd, sd sd)."""
+        h = 1e-5 * (1 + np.abs(m))
+        k = 1e-5 * (1 + s)
+        by_m = (slopes(rows, m + h, s) - slopes(rows, m - h, s)) / (2 * h)
+        by_s = (slopes(rows, m, s + k) - slopes(rows, m, s - k)) / (2 * k)
+        return -by_m[0], -(by_m[1] + by_s[0]) / 2, -by_s[1]
+
+    def cost(rows, m, s):
+        with np.errstate(all="ignore"):
+            v = -hist.take(rows).log_likelihood(alpha[rows], beta[rows], m, s)
+        return np.where(np.isfinite(v), v, np.inf)
+
+    rows = np.arange(len(mu))
+    for _ in range(steps):
+        m, s = mu[rows], sd[rows]
+        g_mu, g_sd = slopes(rows, m, s)
+        fixed_mu, fixed_sd = (m <= MU_MIN) & (g_mu <= 0), (s <= SD_MIN) & (g_sd <= 0)
+        a, b, c = curved(rows, m, s)
+        b = np.where(fixed_mu | fixed_sd, 0.0, b)
+        mid, half = (a + c) / 2, np.hypot((a - c) / 2, b)
+        t = 0.5 * np.arctan2(2 * b, a - c)
+        cos, sin = np.cos(t), np.sin(t)
+        floor = 1e-8 * (1 + hist.n[rows])
+        e1, e2 = np.maximum(np.abs(mid + half), floor), np.maximum(np.abs(mid - half), floor)
+        g1, g2 = np.where(fixed_mu, 0.0, g_mu), np.where(fixed_sd, 0.0, g_sd)
+        p, q = (cos * g1 + sin * g2) / e1, (-sin * g1 + cos * g2) / e2
+        d_mu, d_sd = np.where(fixed_mu, 0.0, cos * p - sin * q), np.where(fixed_sd, 0.0, sin * p + cos * q)
+        reach = np.minimum(1.0, 2.0 / np.maximum(np.hypot(d_mu, d_sd), 1e-300))  # a trust region of radius 2
+        d_mu, d_sd, ref, open_ = d_mu * reach, d_sd * reach, cost(rows, m, s), np.arange(len(rows))
+        gained = np.zeros(len(rows), bool)
+        for _ in range(30):
+            if not len(open_):
+                break
+            m2, s2 = np.maximum(m[open_] + d_mu[open_], MU_MIN), np.maximum(s[open_] + d_sd[open_], SD_MIN)
+            better = cost(rows[open_], m2, s2) < ref[open_]
+            done = open_[better]
+            mu[rows[done]], sd[rows[done]] = m2[better], s2[better]
+            gained[done] = True
+            open_ = open_[~better]
+            d_mu[open_] /= 2
+            d_sd[open_] /= 2
+        rows = rows[gained]
+        if not len(rows):
+            break
+    rows = np.arange(len(mu))
+    by_mu, by_sd = slopes(rows, mu, sd)
+    at_mu, at_sd = mu <= MU_MIN, sd <= SD_MIN
+    a, b, c = curved(rows, mu, sd)
+    held_mu, held_sd = at_mu & (by_mu < 0), at_sd & (by_sd < 0)
+    both = (a + c) / 2 - np.hypot((a - c) / 2, b)
+    curvature = np.where(held_mu & held_sd, 0.0, np.where(held_mu, c, np.where(held_sd, a, both)))
+    return Certificate(mu, sd, by_mu, by_sd, at_mu, at_sd, curvature)
+
+
 def expected_counts(alpha, beta, n, x, future: np.ndarray) -> np.ndarray:
     """E[count] after each future period, lambda integrated out under its posterior.
 
@@ -205,7 +296,7 @@ def map_histories(df: DataFrame, kernel: Callable[[pd.DataFrame, Histories], pd.
 
 
 def _objective(weights: np.ndarray, gamma: float, z, n, x):
-    """Mean-able loss, gradient and a positive semidefinite curvature of the layer weights."""
+    """Mean-able loss, gradient, curvature and a positive semidefinite curvature of the layer weights."""
     u = z @ weights
     sa, sb = sp.sigmoid(u[:, 0]), sp.sigmoid(u[:, 1])
     a, b = sp.softplus(u[:, 0]) + FLOOR, sp.softplus(u[:, 1]) + FLOOR
@@ -219,38 +310,50 @@ def _objective(weights: np.ndarray, gamma: float, z, n, x):
     huu = laa * sa * sa + la * sa * (1 - sa)
     huv = lab * sa * sb
     hvv = lbb * sb * sb + lb * sb * (1 - sb)
-    # per-row eigenvalues below zero are raised to zero
+    # beside the curvature itself, one whose per-row eigenvalues below zero are raised to zero
     mid, half = (huu + hvv) / 2, np.hypot((huu - hvv) / 2, huv)
     e1, e2 = np.maximum(mid + half, 0.0), np.maximum(mid - half, 0.0)
     t = 0.5 * np.arctan2(2 * huv, huu - hvv)
     c, s = np.cos(t), np.sin(t)
-    return loss, gu, gv, e1 * c * c + e2 * s * s, (e1 - e2) * c * s, e1 * s * s + e2 * c * c
+    return loss, gu, gv, (huu, huv, hvv), (e1 * c * c + e2 * s * s, (e1 - e2) * c * s, e1 * s * s + e2 * c * c)
 
 
 def _z(pdf: pd.DataFrame) -> np.ndarray:
     return np.array(pdf["z"].tolist(), dtype=float)
 
 
-def fit_layer(states: DataFrame, weights: np.ndarray, gamma: float, passes: int = 8, tol: float = 1e-7):
-    """Newton steps on the layer weights from distributed sums; returns (weights, loss).
+class LayerFit(NamedTuple):
+    """Weights, the loss there, the norm of the gradient that is left, and whether that is small enough."""
+
+    weights: np.ndarray
+    loss: float
+    gradient: float
+    certified: bool
+
 
-    Every pass over the states yields loss, gradient and curvature; a second
-    pass prices eight step lengths at once. ``passes`` is the budget of one
-    round: entities that grow alike have no finite best (alpha, beta).
+def fit_layer(states: DataFrame, weights: np.ndarray, gamma: float, ridge: float = RIDGE, tol: float = 1e-5, passes: int = 200) -> LayerFit:
+    """Minimum of the layer's mean loss plus ``ridge`` / 2 times the squared weights, from distributed sums.
+
+    Entities that grow alike have no finite best (alpha, beta); the ridge makes
+    one. Every pass sums loss, gradient and curvature; a second one prices
+    steps of several trust regions at once, and the best is taken. It ends when the
+    gradient's norm is at most ``tol`` times 1 + loss: that is the certificate. A fit
+    that finds no better step, or needs more passes, is returned without one.
     """
-    q, lo, hi = weights.shape[0], weights - REACH, weights + REACH
+    q = weights.shape[0]
     few = states.rdd.getNumPartitions() <= TASKS  # states are checkpointed: no job runs
 
     def full(w):
         def part(pdf: pd.DataFrame) -> dict[int, np.ndarray]:
             z = _z(pdf)
-            loss, gu, gv, huu, huv, hvv = _objective(w, gamma, z, pdf["n"].to_numpy(float), pdf["x"].to_numpy(float))
-            return {0: np.concatenate([[len(pdf), loss.sum()], z.T @ gu, z.T @ gv, ((z * huu[:, None]).T @ z).ravel(),
-                                       ((z * huv[:, None]).T @ z).ravel(), ((z * hvv[:, None]).T @ z).ravel()])}
+            loss, gu, gv, *curved = _objective(w, gamma, z, pdf["n"].to_numpy(float), pdf["x"].to_numpy(float))
+            return {0: np.concatenate([[len(pdf), loss.sum()], z.T @ gu, z.T @ gv, *[((z * h[:, None]).T @ z).ravel() for c in curved for h in c]])}
+
         v = array_sums(states.select("z", "n", "x"), part, few)[0]
-        count, g, rest = v[0], v[2:2 + 2 * q], v[2 + 2 * q:].reshape(3, q, q)
-        hess = np.block([[rest[0], rest[1]], [rest[1].T, rest[2]]])
-        return v[1] / count, g / count, hess / count
+        count, g, rest = v[0], v[2:2 + 2 * q], v[2 + 2 * q:].reshape(2, 3, q, q)
+        own, raised = (np.block([[c[0], c[1]], [c[1].T, c[2]]]) / count + ridge * np.eye(2 * q) for c in rest)
+        flat = w.T.ravel()
+        return v[1] / count + ridge / 2 * flat @ flat, g / count + ridge * flat, own, raised
 
     def losses(options):
         def part(pdf: pd.DataFrame) -> dict[int, np.ndarray]:
@@ -260,25 +363,35 @@ def fit_layer(states: DataFrame, weights: np.ndarray, gamma: float, passes: int
                 a, b = layer(z, w)
                 out.append(float((-gamma_terms(a, b, n, x) + gamma * (a / b) ** 2).sum()))
             return {0: np.array(out)}
+
         v = array_sums(states.select("z", "n", "x"), part, few)[0]
-        return v[1:] / v[0]
+        return v[1:] / v[0] + [ridge / 2 * (w ** 2).sum() for w in options]
 
-    loss = None
     for _ in range(passes):
-        loss, grad, hess = full(weights)
-        ridge = 1e-9 * max(1.0, float(np.trace(hess)) / (2 * q))
-        step = np.linalg.solve(hess + ridge * np.eye(2 * q), grad).reshape(2, q).T
-        if float(np.abs(step.T.ravel() @ grad)) <= tol * max(1.0, abs(loss)):
-            break
-        options = [np.clip(weights - step / 2.0 ** i, lo, hi) for i in range(8)]
+        loss, grad, own, raised = full(weights)
+        left = float(np.linalg.norm(grad))
+        if left <= tol * (1 + abs(loss)):
+            return LayerFit(weights, float(loss), left, True)
+        scale = float(np.trace(raised)) / (2 * q)
+        steps = [_step(own, grad, damp * scale) for damp in (0.0, 1e-3, 1e-1, 1e1)]
+        whole = _step(raised, grad, 1e-9 * scale)
+        steps += [whole / 4.0 ** i for i in range(6)]
+        options = [weights - s.reshape(2, q).T for s in steps]
         found = losses(options)
-        best = int(np.nanargmin(found))
+        best = int(np.nanargmin(np.where(np.isfinite(found), found, np.inf)))
         if not found[best] < loss:
             break
-        gain, weights, loss = loss - found[best], options[best], found[best]
-        if gain <= tol * max(1.0, abs(loss)):
-            break
-    return weights, float(loss)
+        weights = options[best]
+    loss, grad, _, _ = full(weights)
+    left = float(np.linalg.norm(grad))
+    return LayerFit(weights, float(loss), left, left <= tol * (1 + abs(loss)))
+
+
+def _step(curvature: np.ndarray, grad: np.ndarray, damping: float) -> np.ndarray:
+    """Newton step with damping beyond the most negative eigenvalue."""
+    values, vectors = np.linalg.eigh(curvature)
+    values = np.maximum(np.abs(values), 1e-12) + damping
+    return vectors @ ((vectors.T @ grad) / values)
 
 
 @dataclass
@@ -292,6 +405,9 @@ class PointProcess:
     scaler: Scaler | None = None
     weights: np.ndarray | None = None
     loss: float | None = None
+    first_loss: float | None = None  # of the weights that the fit began with, on the same entities and (mu, sigma)
+    gradient: float | None = None    # norm of what is left of the layer's gradient after the last round
+    certified: bool | None = None    # whether that is as small as asked for
 
     @property
     def name(self) -> str:
@@ -300,7 +416,7 @@ class PointProcess:
     def save(self, path: str) -> None:
         spark = SparkSession.getActiveSession()
         rows = [(i, float(a), float(b), float(self.loss)) for i, (a, b) in enumerate(self.weights)]
-        spark.createDataFrame(rows, "i int, a double, b double, loss double").write.parquet(f"{path}/layer")
+        spark.createDataFrame(rows, "i int, a double, b double, loss double").write.mode("overwrite").parquet(f"{path}/layer")
         if self.scaler:
             self.scaler.save(spark, f"{path}/scaler")
 
@@ -315,20 +431,26 @@ class PointProcess:
         z = F.concat(self.scaler.array(), bias) if self.features else bias
         return df.select("row_id", *keep, z.alias("z"), F.col("inc").cast("array<double>").alias("inc"))
 
-    def fit(self, train: DataFrame) -> "PointProcess":
-        """train: (row_id, inc, features). Alternates per-entity and shared parameters."""
+    def first_weights(self) -> np.ndarray:
+        return np.full((len(self.features) + 1, 2), 0.1)
+
+    def first_states(self, train: DataFrame) -> tuple["PointProcess", DataFrame]:
+        """With its scaler, and every entity at its starting (mu, sigma)."""
         shared_dir(train.sparkSession)
-        scaler = fit_scaler(train, self.features) if self.features else None
-        model = replace(self, scaler=scaler)
+        model = replace(self, scaler=fit_scaler(train, self.features) if self.features else None)
         lo, hi = S.history_span("inc")
         mu, sd = S.lognormal_start(S.span_mid(lo, hi))
-        states = model.inputs(train).select("row_id", "z", "inc", mu.alias("mu"), sd.alias("sd")).checkpoint()
-        weights = np.full((len(self.features) + 1, 2), 0.1)
-        loss = None
+        return model, model.inputs(train).select("row_id", "z", "inc", mu.alias("mu"), sd.alias("sd")).checkpoint()
+
+    def fit(self, train: DataFrame) -> "PointProcess":
+        """train: (row_id, inc, features). Alternates per-entity and shared parameters."""
+        model, states = self.first_states(train)
+        fit = LayerFit(self.first_weights(), None, None, None)
         for _ in range(self.rounds):
-            states = fitted_states(states, weights, FIT_STEPS).checkpoint()
-            weights, loss = fit_layer(states, weights, self.gamma)
-        return replace(model, weights=weights, loss=loss)
+            states = fitted_states(states, fit.weights, FIT_STEPS).checkpoint()
+            fit = fit_layer(states, fit.weights, self.gamma)
+        first = fit_layer(states, self.first_weights(), self.gamma, passes=0).loss
+        return replace(model, weights=fit.weights, loss=fit.loss, first_loss=first, gradient=fit.gradient, certified=fit.certified)
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """rows: (row_id, split, inc, features) -> long predictions."""

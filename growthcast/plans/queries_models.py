@@ -27,7 +27,7 @@ def model_table(spark, sf):
 
 def features_of(wide):
     """Names of the features in ``model_table``: what isn't a key, role, series or response."""
-    other = {"row_id", "split", "inc", *CM.ROLE_COLUMNS}
+    other = {"row_id", "split", "inc", "delta_1", *CM.ROLE_COLUMNS}
     return [c for c in wide.columns if c not in other and not c.startswith("y_")]
 
 
@@ -231,32 +231,69 @@ def f03(spark, sf):
     return out.select("row_id", r("h1"), r("h2"), "horizons_near")
 
 
-@query("m12_lognormal_fit", "SELECT row_id, true AS no_worse, true AS in_bounds FROM ent_all")
+def _lognormal_optima(spark, sf, kernel, schema):
+    """The reference's descent and, from where it stops, the certified optimum of every entity."""
+    def run(ids, hist, alpha, beta, mu, sd):
+        found = RP.optimal_lognormal(hist, alpha, beta, *RP.fit_lognormal(hist, alpha, beta, mu.copy(), sd.copy(), RP.PREDICT_STEPS))
+        return kernel(ids, hist, alpha, beta, mu, sd, found)
+
+    return at_start(spark, sf, run, schema)
+
+
+@query("m12_lognormal_fit", "SELECT row_id, true AS certified, true AS better_than_start, true AS in_bounds FROM ent_all")
 def m12(spark, sf):
-    """Per entity: the fit is no worse than its start, moved into the bounds, and within them."""
-    def kernel(ids, hist, alpha, beta, mu, sd):
-        m, s = RP.fit_lognormal(hist, alpha, beta, mu, sd, RP.PREDICT_STEPS)
-        start, fitted = hist.log_likelihood(alpha, beta, np.maximum(mu, -0.99), np.maximum(sd, 0.51)), hist.log_likelihood(alpha, beta, m, s)
-        return pd.DataFrame({"row_id": ids, "no_worse": fitted >= start - 1e-9, "in_bounds": (m >= RP.MU_MIN) & (s >= RP.SD_MIN)})
+    """Per entity: no ascent direction is left within the bounds, by gradient and curvature, and the fit beats its start (which fails all that)."""
+    def kernel(ids, hist, alpha, beta, mu, sd, found):
+        start = hist.log_likelihood(alpha, beta, np.maximum(mu, RP.MU_MIN), np.maximum(sd, RP.SD_MIN))
+        return pd.DataFrame({"row_id": ids, "certified": found.holds(hist.n), "better_than_start": hist.log_likelihood(alpha, beta, found.mu, found.sd) > start,
+                             "in_bounds": (found.mu >= RP.MU_MIN) & (found.sd >= RP.SD_MIN)})
 
-    return at_start(spark, sf, kernel, "row_id bigint, no_worse boolean, in_bounds boolean")
+    return _lognormal_optima(spark, sf, kernel, "row_id bigint, certified boolean, better_than_start boolean, in_bounds boolean")
+
+
+@query("m12_parameters")
+def m12_parameters(spark, sf):
+    """The parameters with their certificate."""
+    def kernel(ids, hist, alpha, beta, mu, sd, found):
+        return pd.DataFrame({"row_id": ids, **found._asdict(), "projected_gradient": found.projected(),
+                             "log_likelihood": hist.log_likelihood(alpha, beta, found.mu, found.sd)})
+
+    return _lognormal_optima(spark, sf, kernel, "row_id bigint, mu double, sd double, by_mu double, by_sd double, at_mu boolean, at_sd boolean, "
+                             "curvature double, projected_gradient double, log_likelihood double")
 
 
 def _layer_rows(spark, model):
-    rows = [(model.name, i, float(a), float(b), float(model.loss)) for i, (a, b) in enumerate(model.weights)]
-    return spark.createDataFrame(rows, "model string, input int, alpha_weight double, beta_weight double, loss double")
+    """One row for each input of the layer: its weights, the loss, what is left of the gradient, and whether the first weights were worse."""
+    rows = [(model.name, i, float(a), float(b), float(model.loss), float(model.gradient), bool(model.certified), bool(model.loss < model.first_loss))
+            for i, (a, b) in enumerate(model.weights)]
+    return spark.createDataFrame(rows, "model string, input int, alpha_weight double, beta_weight double, loss double, gradient double, certified boolean, "
+                                 "better_than_start boolean")
 
 
-@query("m13_layer_bias_only")
-def m13a(spark, sf):
+def bias_layer(spark, sf):
     train = materialise(fr.split_wide(spark, sf).where("split = 'train'").select("row_id", "inc"), "train")
     return _layer_rows(spark, RP.PointProcess(gamma=0.7, rounds=4).fit(train))
 
 
-@query("m13_layer_features")
+FACTS = ["model", "input", "certified", "better_than_start"]
+
+
+@query("m13_layer_bias_only", "SELECT 'RPP' AS model, 0 AS input, true AS certified, true AS better_than_start")
+def m13a(spark, sf):
+    return bias_layer(spark, sf).select(FACTS)
+
+
+@query("m13_layer_features", "SELECT 'RPPNet' AS model, range::INTEGER AS input, true AS certified, true AS better_than_start FROM range(64)")
 def m13b(spark, sf):
+    """63 features and the constant, 17 rounds."""
     wide = model_table(spark, sf)
-    return _layer_rows(spark, RP.PointProcess(features_of(wide), gamma=0.1, rounds=17).fit(train_of(wide)))
+    return _layer_rows(spark, RP.PointProcess(features_of(wide), gamma=0.1, rounds=17).fit(train_of(wide))).select(FACTS)
+
+
+@query("m13_layer_weights")
+def m13_weights(spark, sf):
+    """Weights, loss and gradient of the layer without features."""
+    return bias_layer(spark, sf)
 
 
 @query("m14_rpp_prediction", fact_sql("RPP"))

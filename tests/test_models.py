@@ -246,6 +246,51 @@ def test_point_process_fit_and_predict(spark, wide, features):
     assert out.join(few.select("row_id", "base"), "row_id").where(F.col("pred") < F.col("base") - 1e-6).isEmpty()
 
 
+def test_layer_certificate(spark, wide):
+    """The gradient that is said to be left is the loss's, and small; entities that grow alike have a finite best."""
+    alike = spark.createDataFrame([(i, [2, 2, 2, 2]) for i in range(40)], "row_id bigint, inc array<int>")
+    for train, features in ((alike, ()), (_train(wide.where("row_id < 200")), ["delta", "noise"])):
+        model = RP.PointProcess(features, 2, gamma=0.3, rounds=2)
+        fitted, states = model.first_states(train)
+        states = RP.fitted_states(states, model.first_weights(), RP.FIT_STEPS).checkpoint()
+        fit = RP.fit_layer(states, model.first_weights(), 0.3)
+        pdf = states.toPandas()
+        z, n, x = np.array(pdf.z.tolist()), pdf.n.to_numpy(), pdf.x.to_numpy()
+
+        def loss(w):
+            a, b = RP.layer(z, w)
+            return np.mean(-RP.gamma_terms(a, b, n, x) + 0.3 * (a / b) ** 2) + RP.RIDGE / 2 * (w ** 2).sum()
+
+        assert np.isclose(loss(fit.weights), fit.loss) and loss(fit.weights) < loss(model.first_weights())
+        grad = np.zeros_like(fit.weights)
+        for i in np.ndindex(*grad.shape):
+            step = np.zeros_like(grad)
+            step[i] = 1e-5
+            grad[i] = (loss(fit.weights + step) - loss(fit.weights - step)) / 2e-5
+        assert fit.certified and fit.gradient <= 1e-5 * (1 + abs(fit.loss))
+        assert np.linalg.norm(grad) < 1e-4 and np.isfinite(fit.weights).all()
+        assert not RP.fit_layer(states, model.first_weights(), 0.3, passes=0).certified
+
+
+def test_lognormal_certificate():
+    """Optima beat a fine grid around them; a fit that stays at its start has no certificate."""
+    rows = [r for r in _histories(80) if r.sum() >= 4]
+    hist = RP.Histories(rows)
+    mu, sd = hist.start()
+    alpha, beta = 10 + hist.h[:, 0], np.full(len(mu), 12.0)
+    found = RP.optimal_lognormal(hist, alpha, beta, mu.copy(), sd.copy())
+    assert found.holds(hist.n).mean() > 0.95
+    good = np.flatnonzero(found.holds(hist.n))
+    part = hist.take(good)
+    best = part.log_likelihood(alpha[good], beta[good], found.mu[good], found.sd[good])
+    for dm in (-0.02, 0.0, 0.02):
+        for ds in (-0.02, 0.0, 0.02):
+            m, s = np.maximum(found.mu[good] + dm, RP.MU_MIN), np.maximum(found.sd[good] + ds, RP.SD_MIN)
+            assert (part.log_likelihood(alpha[good], beta[good], m, s) <= best + 1e-7).all()
+    idle = RP.optimal_lognormal(hist, alpha, beta, mu.copy(), sd.copy(), steps=0)
+    assert idle.holds(hist.n).mean() < 0.2
+
+
 def test_comparison_of_all_models(spark, wide):
     from growthcast.plans import compare as CM
 
