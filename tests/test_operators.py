@@ -141,6 +141,18 @@ def test_density(spark):
         assert np.allclose([got[i].scaled for i in ids], want / want.max(), rtol=1e-10)
 
 
+def test_density_across_spans(spark, monkeypatch):
+    """Cells far apart, in many spans, and one value that half of a group has."""
+    monkeypatch.setattr(DG, "SPAN", 7)
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(0, 1, 150), rng.normal(300, 1, 20), [4000.0], np.full(180, 0.25)])
+    df = spark.createDataFrame([(i, "g", float(x)) for i, x in enumerate(v)], "row_id int, g string, v double")
+    got = {r.row_id: r.density for r in DG.density_by_group(df, "g", "v").collect()}
+    h = len(v) ** -0.2 * v.std(ddof=1)
+    want = np.exp(-0.5 * ((v[:, None] - v[None, :]) / h) ** 2).sum(1) / (len(v) * h * math.sqrt(2 * math.pi))
+    assert np.allclose([got[i] for i in range(len(v))], want, rtol=1e-10)
+
+
 def _scored(spark, n=200, seed=3):
     rng = random.Random(seed)
     rows = []
