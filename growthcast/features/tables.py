@@ -26,7 +26,7 @@ def author_measures(links: DataFrame, papers: DataFrame, axis: TimeAxis) -> Data
 
 
 def ranked(measures: DataFrame, value: str, out: str) -> DataFrame:
-    """Measures with their 0-1 rank; written first, since ranking reads them more than once."""
+    """Measures with their 0-1 rank; written first, as their rows are counted before they are dealt to ranges."""
     return percent_rank(materialise(measures, "measures"), value, out)
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from growthcast.session import materialise
+
 BUCKET_ROWS = 50_000  # values that one task ranks, about
 PARTS = 256           # parts that a value range is cut into by one pass of ``values_at``
 
@@ -36,31 +38,49 @@ def argmax_row(df: DataFrame, value: str, cells: Sequence[str], key: str = "row_
         F.max_by(key, F.struct(F.col(value), -F.col(key))).alias(key), F.max(value).alias(value))
 
 
-def _edges(df: DataFrame, value: str, rows: int) -> list[float]:
-    """Bucket boundaries near the quantiles, one for about every ``rows`` values."""
-    n = df.agg(F.count(value)).first()[0]
-    buckets = math.ceil(n / rows)
-    if buckets < 2:
-        return []
-    steps = [i / buckets for i in range(1, buckets)]
-    return sorted(set(df.agg(F.percentile_approx(F.col(value), steps, max(10_000, 10 * buckets))).first()[0]))
-
-
-def _with_offsets(hist: DataFrame, value: str, rows: int) -> DataFrame:
-    """(value, n) histogram -> plus ``_before`` rows below the value and ``_total``; a NULL value counts as the lowest."""
-    edges = F.lit(_edges(hist, value, rows)).cast("array<double>")
-    # number of edges <= value; NULL is alone in bucket -1
-    below = F.size(F.filter(edges, lambda e: e <= F.col(value).cast("double")))
-    placed = hist.withColumn("_b", F.when(F.col(value).isNull(), -1).otherwise(below))
-    # one row per bucket from here to the join
-    heads = placed.groupBy("_b").agg(F.sum("n").alias("_m"))
-    whole = W.orderBy("_b")
-    heads = heads.select(
-        "_b", F.coalesce(F.sum("_m").over(whole.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_head"),
-        F.sum("_m").over(whole.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_total"))
-    inside = W.partitionBy("_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return (placed.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(heads, "_b")
-            .select(value, "n", (F.col("_head") + F.col("_in")).alias("_before"), "_total"))
+def _in_ranges(df: DataFrame, order: Sequence[Column], rows: int) -> DataFrame:
+    """Plus ``_p``: rows dealt to ranges of about ``rows`` each, in order of ``order`` and of ``_p``; written once, so that the ranges stay."""
+    parts = max(1, math.ceil(df.count() / rows))
+    return materialise(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+
+
+def global_row_number(df: DataFrame, key: str | Sequence[str], out: str, total: str | None = None, rows: int = BUCKET_ROWS) -> DataFrame:
+    """Dense 1-based position by a unique key: places in a range after the counts of the ranges before it."""
+    keys = [key] if isinstance(key, str) else list(key)
+    placed = _in_ranges(df, [F.col(k) for k in keys], rows)
+    # one row for each range
+    ordered = W.orderBy("_p")
+    heads = placed.groupBy("_p").agg(F.count("*").alias("_n")).select(
+        "_p", F.coalesce(F.sum("_n").over(ordered.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_head"),
+        F.sum("_n").over(ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_total"))
+    inside = F.row_number().over(W.partitionBy("_p").orderBy(*keys))
+    cols = [(F.col("_head") + inside).alias(out)] + ([F.col("_total").alias(total)] if total else [])
+    return placed.join(F.broadcast(heads), "_p").select(*df.columns, *cols)
+
+
+def percent_rank(df: DataFrame, value: str, out: str, rows: int = BUCKET_ROWS) -> DataFrame:
+    """(rank - 1) / (n - 1) over all rows; NULL values rank first, as one value.
+
+    Rows are dealt to ranges of (value, hash of the row), so that a value which
+    very many rows have lies in several ranges. Where a range goes on with the
+    last value before it, its rows rank where that value began, which the ranges'
+    counts tell; no value is joined with anything.
+    """
+    v = F.struct(F.col(value).isNotNull(), F.col(value))
+    placed = _in_ranges(df, [F.col(value).asc_nulls_first(), F.xxhash64(*df.columns)], rows).withColumn("_v", v)
+    placed = placed.withColumn("_less", F.rank().over(W.partitionBy("_p").orderBy("_v")) - 1)
+    # one row for each range from here to the join
+    heads = placed.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_v").alias("_first"), F.max("_v").alias("_last"), F.max("_less").alias("_below"))
+    ordered = W.orderBy("_p")
+    heads = heads.select("*", F.coalesce(F.sum("_n").over(ordered.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_head"),
+                         F.sum("_n").over(ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_total"),
+                         F.coalesce(F.lag("_last").over(ordered) == F.col("_first"), F.lit(False)).alias("_goes_on"))
+    begins = F.when(~(F.col("_goes_on") & (F.col("_first") == F.col("_last"))), F.col("_head") + F.col("_below"))
+    heads = heads.withColumn("_run", F.max(begins).over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    heads = heads.select("_p", "_first", "_head", "_total", F.when(F.col("_goes_on"), F.lag("_run").over(ordered)).otherwise(F.col("_head")).alias("_start"))
+    before = F.when(F.col("_v") == F.col("_first"), F.col("_start")).otherwise(F.col("_head") + F.col("_less"))
+    rank = F.when(F.col("_total") > 1, before / (F.col("_total") - 1)).otherwise(F.lit(0.0))
+    return placed.join(F.broadcast(heads), "_p").select(*df.columns, rank.alias(out))
 
 
 def values_at(df: DataFrame, key: str, ranks: Sequence[int]) -> list[int]:
@@ -94,22 +114,6 @@ def values_at(df: DataFrame, key: str, ranks: Sequence[int]) -> list[int]:
     return [a for a, _, _ in brackets]
 
 
-def global_row_number(df: DataFrame, key: str, out: str, total: str | None = None, rows: int = BUCKET_ROWS) -> DataFrame:
-    """Dense 1-based position by a unique key, sorted bucket by bucket."""
-    pos = _with_offsets(df.select(key).withColumn("n", F.lit(1)), key, rows)
-    cols = [key, (F.col("_before") + 1).alias(out)] + ([F.col("_total").alias(total)] if total else [])
-    return df.join(pos.select(*cols), key)
-
-
-def percent_rank(df: DataFrame, value: str, out: str, rows: int = BUCKET_ROWS) -> DataFrame:
-    """(rank - 1) / (n - 1) over all rows, from the histogram of distinct values; NULL values rank first, as one value."""
-    hist = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    pos = _with_offsets(hist, value, rows)
-    rank = F.when(F.col("_total") > 1, F.col("_before") / (F.col("_total") - 1)).otherwise(F.lit(0.0))
-    ranks = pos.select(F.col(value).alias("_v"), rank.alias(out))
-    return df.join(ranks, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
-
-
 def exact_median(df: DataFrame, value: str, cells: Sequence[str], accuracy: int = 10_000) -> DataFrame:
     """Exact median of each cell; only rows near it are ever sorted.
 

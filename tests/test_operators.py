@@ -141,6 +141,21 @@ def test_density(spark):
         assert np.allclose([got[i].scaled for i in ids], want / want.max(), rtol=1e-10)
 
 
+@pytest.mark.parametrize("rows", [7, 60, 10_000])
+def test_ranks_of_a_hot_value(spark, rows):
+    """Half of all rows share one value, over many ranges; no ranges' borders are part of a row's expression."""
+    values = [0.0] * 300 + [None] * 50 + [float(i % 40) for i in range(250)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "row_id int, v double")
+    out = K.percent_rank(df, "v", "pr", rows)
+    low = lambda v: (v is not None, v or 0.0)
+    ranked = sorted(map(low, values))
+    want = {i: ranked.index(low(v)) / 599 for i, v in enumerate(values)}
+    got = {r.row_id: r.pr for r in out.collect()}
+    assert got == pytest.approx(want) and len(got) == 600
+    assert "filter(array(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert K.percent_rank(df.limit(0), "v", "pr", rows).count() == 0
+
+
 def test_density_across_spans(spark, monkeypatch):
     """Cells far apart, in many spans, and one value that half of a group has."""
     monkeypatch.setattr(DG, "SPAN", 7)
