@@ -9,6 +9,7 @@ from growthcast.functions import special as sp
 from growthcast.models import baselines as B, lasso as LA, rpp as RP
 from growthcast.models.trees import GradientBoost, MedianBoost, RandomForest, staged_search
 from growthcast.operators.metrics import mape
+from growthcast.sources.stored import Run
 
 
 def _wide(spark, n=400, horizons=2, seed=1):
@@ -313,19 +314,79 @@ def test_kept_models_predict_alike(spark, wide):
     from growthcast.plans import compare as CM
     from growthcast.session import new_table_path
 
-    folder = new_table_path(spark, "models")
+    run = Run(spark, new_table_path(spark, "models"), "paper-citation-5")
     feats = ["base", "delta", "noise"]
     few = wide.where("row_id < 150")
     models = [CM.OnHorizons(B.SimpleLinear()), CM.OnHorizons(B.VariableK()), LA.Lasso(feats, 2), RandomForest(feats, 2, trees=2, max_depth=3),
               GradientBoost(feats, 2, MedianBoost(feats, stages=2)), RP.PointProcess(("delta",), 2, rounds=1)]
     for m in models:
-        first = CM.fit_or_load(m, _train(few), folder).predict(few)
-        again = CM.fit_or_load(m, _train(few).limit(0), folder).predict(few)  # would fail if it had to train
+        first = CM.fit_or_load(m, _train(few), run).predict(few)
+        again = CM.fit_or_load(m, _train(few).limit(0), run).predict(few)  # would fail if it had to train
         key = ["split", "row_id", "horizon"]
         both = first.join(again.withColumnRenamed("pred", "p2"), key)
         assert both.count() == first.count() and both.where(F.abs(F.col("pred") - F.col("p2")) > 1e-9).isEmpty(), m.name
 
 
+def test_a_run_that_was_cut_goes_on(spark):
+    """Stopped while a model is written, between model and manifest, and after some of the models."""
+    from growthcast.config import PAPER_CITATION, YEARS
+    from growthcast.session import new_table_path
+
+    folder, fits = new_table_path(spark, "runs"), []
+    identity = YEARS.run_id(PAPER_CITATION, "paper_citations:5")
+    run = Run(spark, folder, identity)
+
+    def save(model, path, stop=None):
+        spark.range(model).write.parquet(f"{path}/part")
+        if stop:
+            raise RuntimeError(stop)
+
+    def train():
+        fits.append(1)
+        return 3
+
+    load = lambda path: spark.read.parquet(f"{path}/part").count()
+    with pytest.raises(RuntimeError):
+        run.model("M 1", load, train, lambda m, p: save(m, p, "cut"))
+    commit, run.commit = run.commit, lambda *a: (_ for _ in ()).throw(RuntimeError("cut"))
+    with pytest.raises(RuntimeError):
+        run.model("M 1", load, train, save)
+    run.commit = commit
+    assert run.manifest("M_1") is None
+    assert run.model("M 1", load, train, save) == 3 and len(fits) == 3
+    assert Run(spark, folder, identity).model("M 1", load, train, save) == 3 and len(fits) == 3
+    # another filter is another run
+    other = Run(spark, folder, YEARS.run_id(PAPER_CITATION, "paper_citations:10"))
+    assert other.folder != run.folder and other.model("M 1", load, train, save) == 3 and len(fits) == 4
+    with pytest.raises(ValueError):
+        Run(spark, folder, "")
+
+
+def test_a_stopped_comparison_goes_on(spark, wide):
+    from growthcast.plans import compare as CM
+    from growthcast.session import new_table_path
+
+    data = wide.withColumn("split", F.when(F.col("row_id") % 10 == 1, "valid").otherwise(F.col("split")))
+    run, fits = Run(spark, new_table_path(spark, "runs"), "author-citation-5"), []
+
+    class Counted(CM.OnHorizons):
+        def fit(self, train):
+            fits.append(self.name)
+            if stop and self.name == stop[0]:
+                raise RuntimeError("cut")
+            return CM.OnHorizons.fit(self, train)
+
+    models, stop = [Counted(B.SimpleLinear()), Counted(B.VariableK())], ["Variable k"]
+    with pytest.raises(RuntimeError):
+        CM.compare(data, models, horizons=2, focus="SM", run=run)
+    stop.clear()
+    done = CM.compare(data, models, horizons=2, focus="SM", run=run)
+    assert fits == ["SM", "Variable k", "Variable k"]
+    plain = CM.compare(data, models, horizons=2, focus="SM")
+    rows = lambda c: sorted((r.metric, r.model, r.split, r.horizon, round(r.value, 9)) for r in c.metrics.collect())
+    assert rows(done) == rows(plain)
+
+
 def test_prepare_aligns_filters_and_splits(spark):
     from growthcast.config import PAPER_CITATION
     from growthcast.plans import compare as CM
