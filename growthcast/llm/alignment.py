@@ -2,7 +2,8 @@
 
 A byte-level BPE file (A) reads space + text; a sentencepiece model (B), which
 adds that space itself, reads the text. Each library's spans are the coarse
-cuts: character offsets of the one, the proto spans of the other. A token whose
+cuts: character offsets of the one, the proto spans of the other (in units of
+ASCII, where a character is a byte, both follow from the pieces). A token whose
 span is as long as its decoded bytes ends where the span ends; the others (parts
 of a character, fallback bytes, the added space) end as many bytes after the
 token before them as they decode to. Ends that both share cut the tokens into
@@ -89,16 +90,17 @@ class Aligner:
         place = byte_places(text)
         unit_end = place[begins[1:]]
         by_a = self.a.encode_batch([" " + u for u in units], add_special_tokens=False)
-        by_b = [b.pieces for b in self.b.encode(units, return_type="proto", num_threads=1)]
-
-        a_ids = _flat(e.ids for e in by_a)
-        n_a = np.array([len(e.ids) for e in by_a])
-        spans = _flat(chain.from_iterable(e.offsets) for e in by_a).reshape(-1, 2) + np.repeat(begins[:-1], n_a)[:, None]
-        a_spans = place[spans]
-        b_ids = _flat([p.id for p in b] if u else [self.alone] for u, b in zip(units, by_b))
-        n_b = np.array([len(b) if u else 1 for u, b in zip(units, by_b)])
-        spans = _flat([x for p in b for x in (p.begin, p.end)] if u else (0, 0) for u, b in zip(units, by_b)).reshape(-1, 2)
-        b_spans = spans + np.repeat(place[begins[:-1]] + 1, n_b)[:, None]
+        a_lists = [found.ids for found in by_a]
+        b_lists = [ids if u else [self.alone] for u, ids in zip(units, self.b.encode(units, num_threads=1))]
+        a_ids, b_ids = (np.array(list(chain.from_iterable(x)), np.int64) for x in (a_lists, b_lists))
+        n_a, n_b = (np.array(list(map(len, x)), np.int64) for x in (a_lists, b_lists))
+        # where every character is a byte, spans follow from the pieces and needn't be read
+        start, wide = place[begins[:-1]], [i for i, u in enumerate(units) if not u.isascii()]
+        a_read = (place[np.array(by_a[i].offsets) + begins[i]] for i in wide)
+        protos = self.b.encode([units[i] for i in wide], return_type="proto", num_threads=1)
+        b_read = (np.array([(p.begin, p.end) for p in found.pieces]) + int(start[i]) + 1 for i, found in zip(wide, protos))
+        a_spans = read_spans(self.a_width[a_ids], n_a, start, wide, a_read)
+        b_spans = read_spans(self.b_width[b_ids], n_b, start, wide, b_read)
 
         data = text.encode("utf-8", "replace")
         bad = self.differs(data, unit_end, a_ids, n_a, self.a_bytes, self.a_width) | self.differs(data, unit_end, b_ids, n_b, self.b_bytes, self.b_width)
@@ -151,16 +153,6 @@ class Aligned(NamedTuple):
     groups: list[bytes]
 
 
-def _flat(parts: Iterable[Iterable]) -> np.ndarray:
-    nested = chain.from_iterable(parts)
-    first = next(nested, None)
-    if first is None:
-        return np.zeros(0, np.int64)
-    if isinstance(first, tuple):
-        nested, first = chain.from_iterable(chain([first], nested)), None
-    return np.fromiter(nested if first is None else chain([first], nested), np.int64)
-
-
 def byte_places(text: str) -> np.ndarray:
     """Byte where each character of a text begins, and the text's end."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
@@ -168,6 +160,16 @@ def byte_places(text: str) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(width)))
 
 
+def read_spans(width: np.ndarray, n: np.ndarray, start: np.ndarray, wide: list[int], read: Iterable[np.ndarray]) -> np.ndarray:
+    """Byte spans of the tokens of units: one piece after another, and as the library gives them for the units of ``wide``."""
+    first, upto = np.cumsum(n) - n, np.concatenate(([0], np.cumsum(width)))
+    end = upto[1:] + np.repeat(start - upto[first], n)
+    spans = np.column_stack((end - width, end))
+    for i, found in zip(wide, read):
+        spans[first[i]:first[i] + n[i]] = found
+    return spans
+
+
 def byte_ends(spans: np.ndarray, width: np.ndarray, unit_start: np.ndarray) -> np.ndarray:
     """Byte ends of tokens: their spans' where those are as long as the decoded bytes and follow on, else as many bytes after the last such end."""
     n = len(width)
