@@ -294,26 +294,59 @@ FROM (SELECT *, row_number() OVER (ORDER BY md5(row_id || '-12'), row_id) AS rn,
 cte("a_long", " UNION ALL ".join(f"SELECT row_id, split, base, delta, {h} AS horizon, y_{h} AS y FROM a_spl" for h in range(1, 11)))
 
 
-@query("m16_author_comparison", """
-SELECT 'mape' AS metric, model, split, horizon, round(avg(abs((pred - y) / y)), 6) AS value FROM (
-  SELECT 'F' AS model, split, horizon, y, base AS pred FROM a_long
-  UNION ALL SELECT 'base + h/8', split, horizon, y, base + 0.125e0 * horizon FROM a_long) GROUP BY model, split, horizon""")
-def m16_authors(spark, sf):
-    """The comparison on author h-index, with responses and histories derived here."""
+cte("a_mom", """
+SELECT horizon, avg(base) m1, avg(delta) m2, avg(y) my, var_pop(base) s11, var_pop(delta) s22,
+  covar_pop(base, delta) s12, covar_pop(base, y) c1, covar_pop(delta, y) c2
+FROM a_long WHERE split = 'train' GROUP BY horizon""")
+cte("a_par", """
+SELECT horizon, b1, b2, my - b1 * m1 - b2 * m2 AS b0 FROM (SELECT *,
+  (s22 * c1 - s12 * c2) / (s11 * s22 - s12 * s12) AS b1, (s11 * c2 - s12 * c1) / (s11 * s22 - s12 * s12) AS b2 FROM a_mom)""")
+
+
+def author_run(spark, sf):
+    """(wide table of author h-indices, feature names, the run that keeps its models): responses and histories are derived here."""
     from growthcast.config import AUTHOR_HINDEX
-    from growthcast.models.baselines import Constant, PlusK
     from growthcast.plans import compare as CM
+    from growthcast.session import new_table_path
+    from growthcast.sources.stored import Run
 
     links, papers = fx.authorship(spark, sf), fx.papers(spark, sf)
     table = FT.author_measures(links, papers, Q).withColumnRenamed("sid", "row_id")
-    feats = table.select("row_id", F.col("hindex").alias("author_hindex"), F.col("hindex_delta").alias("author_hindex_delta"),
-                         F.col("citations").alias("author_citations"), F.col("age").alias("author_age"))
+    renamed = {"hindex": "author_hindex", "hindex_delta": "author_hindex_delta", "citations": "author_citations", "age": "author_age"}
+    feats = table.select("row_id", *[F.col(c).cast("double").alias(renamed.get(c, c)) for c in table.columns if c != "row_id"])
     series = GR.h_index_series(links, papers, "sid", Q).withColumnRenamed("sid", "row_id")
-    wide = CM.prepare(feats, series.drop("hist"), series.select("row_id", "hist"), AUTHOR_HINDEX, "author_hindex:4")
-    done = CM.compare(wide, [CM.OnHorizons(Constant()), CM.OnHorizons(PlusK("base + h/8", 0.125))], focus="F")
+    filters = "author_hindex:4"
+    wide = CM.prepare(feats, series.drop("hist"), series.select("row_id", "hist"), AUTHOR_HINDEX, filters)
+    run = Run(spark, new_table_path(spark, "runs"), Q.run_id(AUTHOR_HINDEX, filters))
+    return wide, [c for c in feats.columns if c != "row_id"], run
+
+
+@query("m16_author_comparison", """
+SELECT 'mape' AS metric, model, split, horizon, round(avg(abs((pred - y) / y)), 6) AS value FROM (
+  SELECT 'F' AS model, split, horizon, y, base AS pred FROM a_long
+  UNION ALL SELECT 'base + h/8', split, horizon, y, base + 0.125e0 * horizon FROM a_long
+  UNION ALL SELECT 'SM', split, a_long.horizon, y, greatest(b0 + b1 * base + b2 * delta, base) FROM a_long JOIN a_par ON a_par.horizon = a_long.horizon)
+GROUP BY model, split, horizon""")
+def m16_authors(spark, sf):
+    """The comparison on author h-index, kept under its run's identity."""
+    from growthcast.models.baselines import Constant, PlusK, SimpleLinear
+    from growthcast.plans import compare as CM
+
+    wide, _, run = author_run(spark, sf)
+    models = [CM.OnHorizons(m) for m in (Constant(), PlusK("base + h/8", 0.125), SimpleLinear())]
+    done = CM.compare(wide, models, focus="F", run=run)
     return done.metrics.where("metric = 'mape'").select("metric", "model", "split", "horizon", r("value"))
 
 
+@query("m16_author_models")
+def m16_author_models(spark, sf):
+    """PK, SM, LAS, RF and GBRT, at their full sizes and with the search, on author h-index."""
+    from growthcast.plans import compare as CM
+
+    wide, features, run = author_run(spark, sf)
+    return CM.compare(wide, CM.standard_models(features, wide.where("split = 'train'"), False), run=run).metrics
+
+
 def _digits(column: str) -> int:
     return 9 if "pagerank" in column else 6
 

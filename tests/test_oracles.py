@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as se
 from check_oracles import compare, duck
 
-SLOW = {"m05_lasso", "m06_random_forest", "m07_gradient_boost", "m08_staged_search", "m08_search_scores", "m13_layer_features", "m16_all_models"}
+SLOW = {"m05_lasso", "m06_random_forest", "m07_gradient_boost", "m08_staged_search", "m08_search_scores", "m13_layer_features", "m16_all_models", "m16_author_models"}
 
 
 @pytest.fixture(scope="module")
