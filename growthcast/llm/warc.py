@@ -17,8 +17,9 @@ disagrees; ``mismatch`` if an entity tag (compared weakly), a date of last
 modification or a payload digest that both have differs; ``unmatched`` if there is
 no earlier response. Full responses are ``stored``.
 
-Nulls and edge cases: null or empty bytes give no record, broken records end
-the reading of their bytes; records without a URL or a date are never joined; a
+Nulls and edge cases: null or empty bytes give no record; a broken or cut record
+or gzip member ends the reading of its bytes, and the whole records before it
+stay; records without a URL or a date are never joined; a
 response of the same second is not earlier; of equal dates the greater record
 id counts as later; repeated records stay repeated; an empty table gives no
 rows; other columns are not read.
@@ -26,7 +27,6 @@ rows; other columns are not read.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
 import zlib
@@ -40,6 +40,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from growthcast.session import materialise
 
 BUCKET = 10_000
+#: Bytes inflated at a time.
+PIECE = 1 << 16
+START, END = re.compile(rb"\s*WARC/\d\.\d\r?\n"), re.compile(rb"\r?\n\r?\n")
 #: Fields of a 304 that never replace stored ones: they are about the connection or the body that isn't sent.
 KEPT_STORED = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate",
                "proxy-authorization", "proxy-connection", "set-cookie", "te", "trailer", "transfer-encoding", "upgrade")
@@ -96,27 +99,52 @@ def _fields(head: bytes) -> dict[str, str]:
     return out
 
 
-def parse_records(data: bytes | None) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each record; stops at bytes that aren't a record."""
-    if data and data[:2] == b"\x1f\x8b":
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """The bytes, inflated member by member up to the first broken one."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    at, member = 0, zlib.decompressobj(31)
+    while at < len(data):
+        piece = data[at:at + PIECE]
         try:
-            data = gzip.decompress(data)
-        except (OSError, EOFError, zlib.error):
+            yield member.decompress(piece)
+        except zlib.error:
             return
-    at = 0
-    while data and (m := re.compile(rb"\s*WARC/\d\.\d\r?\n").match(data, at)):
-        end = re.compile(rb"\r?\n\r?\n").search(data, m.end() - 1)
-        if not end:
+        at += len(piece) - len(member.unused_data)
+        if member.eof:
+            member = zlib.decompressobj(31)
+
+
+def parse_records(data: bytes | None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields, block) of each whole record; stops at bytes that aren't one. Holds one record and a piece."""
+    pieces, held, need = _pieces(data or b""), bytearray(), 1
+    while True:
+        while len(held) < need and (piece := next(pieces, None)) is not None:
+            held += piece
+        if len(held) < need:
             return
-        fields = _fields(data[m.end():end.start()])
+        start = START.match(held)
+        if not start and len(held[:64].lstrip()) >= 16:
+            return
+        end = start and END.search(held, start.end() - 1)
+        if not end:
+            need = len(held) + 1
+            continue
+        fields, first = _fields(bytes(held[start.end():end.start()])), end.end()
         try:
             length = int(fields.get("content-length", ""))
         except ValueError:
             return
-        if length < 0 or end.end() + length > len(data):
+        if length < 0:
+            return
+        while len(held) < first + length and (piece := next(pieces, None)) is not None:
+            held += piece
+        if len(held) < first + length:
             return
-        yield fields, data[end.end():end.end() + length]
-        at = end.end() + length
+        yield fields, bytes(held[first:first + length])
+        del held[:first + length]
+        need = 1
 
 
 def records(files: DataFrame, content: str = "content", bodies: bool = False) -> DataFrame:

@@ -94,3 +94,12 @@ def test_query_has_two_rows_a_page(spark, sf):
             assert json.loads(r.headers)["cache-control"] == "max-age=600" and "x-hop" not in json.loads(r.headers)
     by_page = {int(r.record_id.split(":")[2]): r.outcome for r in rows if r.kind == "revisit"}
     assert {by_page[i] for i in pages if i % 4 == 3} == {"mismatch"} and "resolved" in by_page.values()
+
+
+def test_cut_and_broken_members(spark):
+    whole = [R.record_bytes("response", f"r{i}", "http://h.example/", i, 200, [], random.Random(i).randbytes(200_000)) for i in range(3)]
+    members = [gzip.compress(r) for r in whole]
+    broken = members[1][:40] + b"\xff" * 40 + members[1][80:]
+    contents = [members[0] + members[1][:-50_000], members[0] + broken + members[2], b"".join(members) + b"\0" * 20, gzip.compress(b"".join(whole))[:-1000], whole[0] + whole[1][:-9]]
+    got = [sorted(r.record_id for r in captures(spark, [c]).collect()) for c in contents]
+    assert got == [["r0"], ["r0"], ["r0", "r1", "r2"], ["r0", "r1"], ["r0"]]
