@@ -263,7 +263,8 @@ def _negatives(k: int, low_percent: int, high_percent: int):
 
 def _matrix(x: pa.ChunkedArray, n: int) -> np.ndarray:
     flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in x.chunks]) if x.num_chunks else np.zeros(0)
-    return np.floor(flat).reshape(len(x), n)
+    # scaled components beyond doubles are held at the greatest
+    return np.clip(np.floor(flat), -np.finfo(float).max, np.finfo(float).max).reshape(len(x), n)
 
 
 def _pack_rows(key: tuple, rows: pa.Table) -> pa.Table:

@@ -81,3 +81,18 @@ def test_top_k(spark, monkeypatch, blocks):
     got = sorted(tuple(r) for r in T.top_k(df, F.col("vec_id") % 50 == 0).collect())
     assert got == best(rows)
     assert T.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((120, 5)).round(3)
+    v[[3, 50, 70]] *= 1e6
+    v[[4, 71]] *= 1e30
+    rows = [(i, x) for i, x in enumerate(v.tolist())] + [(200, [5000.0] * 5), (201, [-1e308] * 5), (202, [1e308] * 5), (203, [1.5] * 5)]
+    got = sorted(tuple(r) for r in T.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect())
+    whole = {i: [math.floor(256 * c) if abs(c) < 1e300 else int(c) * 256 for c in x] for i, x in rows}
+    want = []
+    for q in (0, 50, 100, 200):
+        scored = sorted((-max(-2 ** 63, min(sum(a * b for a, b in zip(whole[q], x)), 2 ** 63 - 1)), i) for i, x in whole.items() if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:5])]
+    assert got == want
