@@ -90,6 +90,13 @@ class Lines(HTMLParser):
         self.end_line()
         return self.lines
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """The end of a section; one that is malformed goes up to its first >."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.rawdata.find(">", i) + 1 or -1
+
     def end_line(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())

@@ -129,3 +129,10 @@ def test_query_gives_the_whole_articles(spark, sf):
         inner = re.search(r"<article>(.*)</article>", html, re.S)[1]
         blocks = [" ".join(unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", b))).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
         assert got[i].text == "\n".join(b for b in blocks if b) and got[i].n_chars == len(got[i].text)
+
+
+@pytest.mark.parametrize("bad", ["<![foo[bar]]>", "<![ b", "<![>", "<![1[x]]>", "<![CDATA[x]]>", "<![if !IE]>"])
+def test_malformed_sections(bad):
+    assert P.Lines().of(f"<article><p>one</p>{bad}<p>two</p></article>")[0] == ("one", P.MAIN)
+    if ">" in bad:
+        assert [t for t, _ in P.Lines().of(f"<article><p>one</p>{bad}<p>two</p></article>") if t in ("one", "two")] == ["one", "two"]
