@@ -22,12 +22,14 @@ occurrences deal their rows over several tasks first, and the first rows of
 those meet in a second round. Nothing grows on the driver.
 
 Nulls and edge cases: a null or empty text has no words and comes back as the
-empty string; texts of fewer than ``window`` words are kept whole; a null id
-counts as greater than any other; rows with one id are one document, so of two
+empty string; texts of fewer than ``window`` words are kept whole; rows
+with one id are one document, so of two
 such rows neither is earlier at the same start; texts of any length are taken
 whole; an empty table gives no rows; other columns are not looked at. Ids are
 taken to be unique where texts differ: rows of one id with different texts
-share their removed places.
+share their removed places. Rows of no id are documents of their own, after
+every other and in an order of their own (the written one), so of equal ones all
+but one lose their windows; with them, ids must lie 2^50 below the greatest long.
 """
 
 from __future__ import annotations
@@ -45,15 +47,13 @@ from growthcast.session import materialise
 WINDOW, SEED, HOT = 20, 6, 5_000
 #: Rows of anchors or windows that a task puts into one batch, about.
 BATCH = 200_000
-#: Stands for a null id: after every other.
-LAST = (1 << 63) - 1
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    window: int = WINDOW, seed: int = SEED, hot: int = HOT, carry: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """doc_id, kept (the kept words joined by one space), n_words, n_removed for every row, and the columns to ``carry``."""
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"),
-                        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_{c}") for c in carry if c != text_col))
+    texts = _numbered(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                                  *(F.col(c).alias(f"_{c}") for c in carry if c != text_col)))
     anchors = materialise(texts.select("doc", "text").mapInArrow(_anchor_rows(window, seed), "anchor long, doc long, n int"), "anchors")
     shared = anchors.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1")
     salts = F.when(F.col("total") > hot, F.ceil(F.col("total") / hot)).otherwise(0).cast("int")
@@ -74,6 +74,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .select("doc_id", "_cut.kept", "_cut.n_words", "_cut.n_removed", *(F.col("text" if c == text_col else f"_{c}").alias(c) for c in carry)))
 
 
+def _numbered(texts: DataFrame) -> DataFrame:
+    """Rows of no id get numbers after the greatest id; they are written, so that the numbers stay."""
+    ids = texts.agg(F.count_if(F.col("doc").isNull()).alias("none"), F.coalesce(F.max("doc"), F.lit(0)).alias("last")).first()
+    if not ids.none:
+        return texts
+    rows = texts.where(F.col("doc").isNull()).withColumn("doc", F.lit(max(ids.last, 0)) + 1 + F.monotonically_increasing_id())
+    return texts.where(F.col("doc").isNotNull()).union(materialise(rows, "no-ids"))
+
+
 #: ``len`` windows from ``pos`` on, whose words are told apart by ``key``.
 COLUMNS = ["anchor", "key", "salt", "salts", "doc", "pos", "len"]
 TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from growthcast.llm import substrings as S
 
+#: Rows of no id come after all others.
+LAST = (1 << 63) - 1
+
 
 def brute(rows, window):
-    words = [(i if i is not None else S.LAST, i, (t or "").encode().split()) for i, t in rows]
+    words = [(i if i is not None else LAST, i, (t or "").encode().split()) for i, t in rows]
     first = {}
     for d, _, w in words:
         for s in range(len(w) - window + 1):
@@ -58,3 +61,11 @@ def test_edges(spark):
 def test_other_lengths(spark):
     rows = made(9, 25)
     assert run(spark, rows, window=9, seed=4) == brute(rows, 9)
+
+
+def test_rows_of_no_id(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=40)) for _ in range(3))
+    assert run(spark, [(1, a), (None, a), (None, b)]) == sorted([(1, 40, 0, a), (None, 40, 40, ""), (None, 40, 0, b)], key=str)
+    # of equal rows one stays, whichever it is
+    assert run(spark, [(None, c), (None, c), (None, c), (2, b)]) == sorted([(None, 40, 40, "")] * 2 + [(None, 40, 0, c), (2, 40, 0, b)], key=str)
