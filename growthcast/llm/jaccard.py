@@ -58,12 +58,13 @@ LAST = (1 << 63) - 1
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                       n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
+                       n: int = WORDS, percent: int = PERCENT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row, and the columns to ``carry``."""
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"),
-                        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+                        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_{c}") for c in carry))
+    kept = "".join(f"_{c} {docs.schema[c].dataType.simpleString()}, " for c in carry)
     levels = texts.sparkSession.sparkContext.broadcast(_levels(texts, n))
-    profile = materialise(texts.mapInArrow(_profiles(n, percent, levels), f"doc long, doc_id {docs.schema[id_col].dataType.simpleString()}, "
+    profile = materialise(texts.mapInArrow(_profiles(n, percent, levels), f"doc long, doc_id {docs.schema[id_col].dataType.simpleString()}, {kept}"
                                            "n_shingles long, cls long, sig binary, keys array<long>"), "profiles")
     classes = (profile.where(F.col("cls").isNotNull()).groupBy("cls")
                .agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig")))
@@ -74,9 +75,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
              .select("cls", "doc", F.coalesce("component", "cls").alias("component")))
     least = named.groupBy("component").agg(F.min("doc").alias("least"))
     of_class = named.join(least, "component").select("cls", "least")
-    out = profile.select("doc", "doc_id", "n_shingles", "cls").join(of_class, "cls", "left")
+    out = profile.select("doc", "doc_id", "n_shingles", "cls", *(f"_{c}" for c in carry)).join(of_class, "cls", "left")
     component = F.coalesce("least", "doc")
-    return out.select("doc_id", "n_shingles", F.when(component != LAST, component).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(component != LAST, component).alias("component_id"), *(F.col(f"_{c}").alias(c) for c in carry))
 
 
 def _links(texts: DataFrame, profile: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -156,7 +157,7 @@ def _profiles(n: int, percent: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, level = Hasher(), levels.value
         for batch in batches:
-            size, cls, sig, keys = [], [], [], []
+            size, cls, sig, keys, before = [], [], [], [], [c for c in batch.schema.names if c != "text"]
             for text in batch.column("text"):
                 tokens = _shingles(text.as_py(), n, hasher)
                 size.append(len(tokens))
@@ -167,9 +168,9 @@ def _profiles(n: int, percent: int, levels):
                 keys.append(tokens[np.argsort(level[_bucket(tokens)], kind="stable")[:first]].view(np.int64))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary()),
+                [*(batch.column(c) for c in before), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))],
-                ["doc", "doc_id", "n_shingles", "cls", "sig", "keys"])
+                [*before, "n_shingles", "cls", "sig", "keys"])
     return run
 
 

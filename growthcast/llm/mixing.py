@@ -62,11 +62,11 @@ def source_targets(sizes: DataFrame, passes: int = PASSES, weights: tuple[int, .
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        passes: int = PASSES, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row."""
+        passes: int = PASSES, weights: tuple[int, ...] = WEIGHTS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for every row, and the columns to ``carry``, which also order rows of one id."""
     sized = materialise(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col)).alias("size")), "mix-sizes")
+        word_count(F.col(text_col)).alias("size"), *carry), "mix-sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     targets = source_targets(sources.select("source", "source_size"), passes, weights)
     plan = (targets.join(sources.select(F.col("source").alias("_s"), "_n"), F.col("source").eqNullSafe(F.col("_s")))
@@ -80,20 +80,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     earlier = W.partitionBy("source").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     before = sums.select(F.col("source").alias("_s"), F.col("_b").alias("_b2"),
                          F.coalesce(F.sum("_bsum").over(earlier), F.lit(0)).alias("_before"))
-    within = W.partitionBy("source", "_b").orderBy("_key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("source", "_b").orderBy("_key", F.col("doc_id").asc_nulls_last(), "size", *carry).rowsBetween(W.unboundedPreceding, 0)
     queued = (placed.withColumn("_in", F.sum("size").over(within))
               .join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_b2"))))
     # an item of no size never enters; one of a source with tokens always has a target
     finish = [(F.col("_before") + F.col("_in") + F.col("source_size") * p) / F.col("target") for p in range(passes)]
-    times = materialise(queued.select("doc_id", "source", "size", "source_size", "target", "_key",
+    times = materialise(queued.select("doc_id", "source", "size", "source_size", "target", "_key", *carry,
                                       F.when(F.col("size") > 0, F.array(*finish)).alias("_times")), "mix-times")
     last = _last_taken(times)
     if last is None:
-        return times.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return times.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), *carry)
     t, key = last
     entered = F.filter("_times", lambda x: (x < t) | ((x == t) & (F.col("_key") <= key)))
     return times.select("doc_id", "source", "size", "source_size", "target",
-                        (F.col("size") * F.coalesce(F.size(entered), F.lit(0))).cast("long").alias("taken"))
+                        (F.col("size") * F.coalesce(F.size(entered), F.lit(0))).cast("long").alias("taken"), *carry)
 
 
 def _last_taken(times: DataFrame) -> tuple[float, str] | None:

@@ -80,3 +80,15 @@ def test_empty(spark, sf):
 def test_columns(spark, sf, k):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 20").withColumn("extra", F.lit(1))
     assert P.STAGES[k][1](spark, docs, sf).dtypes == spark.createDataFrame([], SCHEMA).dtypes
+
+
+def test_rows_of_one_id_and_of_none(spark, sf):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in ((1, a), (5, a), (5, b), (None, b))], SCHEMA)
+    assert rows_of(P.drop_near_duplicates(spark, docs, sf)) == sorted(((i, t, "en", "s", len(t)) for i, t in ((1, a), (5, b), (None, b))), key=str)
+    # several rows of no id: each is taken as often as the mix takes it
+    rows = [(None, " ".join(f"w{i}_{j}" for j in range(i + 3)), "en", f"s{i % 3}", 1) for i in range(30)] + [(None, "same row here", "en", "s1", 1)] * 7
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    taken = P.mixing.mix(docs).agg(F.sum("taken")).first()[0]
+    out = [len(r.text.split()) for r in P.mix_sources(spark, docs, sf).collect()]
+    assert sum(out) == taken > 0
