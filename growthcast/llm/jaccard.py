@@ -17,10 +17,13 @@ collisions of 64-bit hashes.
 4. *Trees.* In a cluster, all sets are first compared with the root. Those that
    don't link to it, and those that do, are dealt into blocks; a task gets two
    blocks, builds signature trees over them (see ``trees``) and verifies what
-   the dual traversal leaves, skipping pairs that are connected already. Pairs
-   of different clusters meet under their keys, again in trees over blocks;
-   those that remain are verified by a join.
-5. *Components* of the links, then of the documents by their class.
+   the dual traversal leaves, skipping pairs that are connected already. Classes
+   of different clusters meet under their keys, again in trees over blocks. Of
+   the pairs that are left there, each task first gives a forest only, of the
+   most similar ones, which a join verifies.
+5. *Rest.* The links so far are connected. The keys meet once more, now for all
+   pairs that are left and whose classes are not connected yet.
+6. *Components* of the links, then of the documents by their class.
 
 Hot groups: copies collapse; a key of many classes is combined before the
 shuffle and dealt into blocks of ``BLOCK`` rows; members of a cluster that link
@@ -53,7 +56,7 @@ WORDS, PERCENT = 5, 80
 BUCKET_BITS, SLICES = 20, 64
 BLOCK = 1_000
 #: Bits of a bitmap for each token: in the join of keys, and where whole sets are at hand.
-THIN, WIDE = 1, 16
+THIN, WIDE = 8, 16
 LAST = (1 << 63) - 1
 
 
@@ -85,7 +88,6 @@ def _links(texts: DataFrame, profile: DataFrame, classes: DataFrame, n: int, per
     keys = profile.select("cls", F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least != most")
     keyed = materialise(keys.join(shared.select("key", "least"), "key").select("key", "cls", "size", "least").distinct(), "keys")
-    sigs = classes.select("cls", "size", "sig")
     # 3. clusters
     sizes = classes.select(F.col("cls").alias("least"), F.col("size").alias("size2"))
     # sizes are compared before any bitmap is sent
@@ -103,21 +105,38 @@ def _links(texts: DataFrame, profile: DataFrame, classes: DataFrame, n: int, per
               .select("key", F.explode(F.array(*[F.struct((F.col("step") + d).alias("step"), "r1", "r2") for d in (-1, 0, 1)])).alias("x"))
               .groupBy("key", "x.step").agg(F.min("x.r1").alias("r1"), F.max("x.r2").alias("r2")).where("r1 != r2").select("key", "step"))
     near = materialise(placed.join(around, ["key", "step"]).select("key", "cls", "root"), "near")
+    sigs = classes.select("cls", "size", "sig")
+    first = materialise(_met(near.withColumn("part", F.col("root")), sigs, percent, forest=True), "forest")
+    # the sets of all classes that are compared as wholes, now or in 5.
+    open_ = first.select(F.col("a").alias("cls")).union(first.select("b")).distinct()
+    wanted = classes.select("cls", "doc").join(cluster.select("cls").union(open_).distinct(), "cls").join(cluster, "cls", "left")
+    sets = materialise(texts.select("doc", "text").join(wanted, "doc").mapInArrow(_sets(n), "cls long, root long, tokens binary").dropDuplicates(["cls"]), "sets")
+    tried = first.where("a != b")
+    found = _verified(tried, sets, percent).union(_within(sets.where(F.col("root").isNotNull()), percent))
+    # 5. what is not connected yet
+    parts = materialise(connected(found), "parts")
+    left = near.join(open_, "cls").join(parts, F.col("cls") == F.col("node"), "left").select("key", "cls", "root", F.coalesce("component", "cls").alias("part"))
+    still = (left.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min("part").alias("p1"), F.max("part").alias("p2"))
+             .where("r1 != r2 AND p1 != p2").select("key"))
+    rest = materialise(_met(left.join(still, "key"), sigs, percent, forest=False).join(tried, ["a", "b"], "left_anti"), "rest")
+    return parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_verified(rest, sets, percent))
+
+
+def _met(near: DataFrame, sigs: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(a, b): pairs that the trees over the blocks of each key leave."""
     mixed = near.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     group = near.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = group.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "root")
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "root", "part")
     # bitmaps come last, so that they are shuffled once
-    cross = materialise(dealt.join(sigs, "cls").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-                        .mapInArrow(_cross(percent), "a long, b long").distinct(), "cross")
-    # the sets of all classes that are compared as wholes
-    needed = cluster.select("cls").union(cross.select("a")).union(cross.select("b")).distinct()
-    wanted = classes.select("cls", "doc").join(needed, "cls").join(cluster, "cls", "left")
-    sets = materialise(texts.select("doc", "text").join(wanted, "doc").mapInArrow(_sets(n), "cls long, root long, tokens binary").dropDuplicates(["cls"]), "sets")
+    return (dealt.join(sigs, "cls").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+            .mapInArrow(_cross(percent, forest), "a long, b long").distinct())
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
     b = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
-    verified = cross.join(a, "a").join(b, "b").where(_similar(percent)("x", "y")).select("a", "b")
-    return verified.union(_within(sets.where(F.col("root").isNotNull()), percent))
+    return pairs.join(a, "a").join(b, "b").where(_similar(percent)("x", "y")).select("a", "b")
 
 
 def _within(sets: DataFrame, percent: int) -> DataFrame:
@@ -254,8 +273,10 @@ def _similar(percent: int):
     return similar
 
 
-def _cross(percent: int):
-    """Pairs of classes of different clusters that the signature trees leave, for each pair of blocks of a key.
+def _cross(percent: int, forest: bool):
+    """Pairs of classes of different clusters and parts that the signature trees leave, for each pair of blocks of a key.
+
+    With ``forest``, only the most similar ones that connect the parts, and each class that is in a pair with itself.
 
     Rows come in order of their group. Trees of at most ``trees.FAN`` leaves, most
     of them, are roots only, so their pairs are taken for many groups at once.
@@ -274,7 +295,7 @@ def _cross(percent: int):
             # the last group may go on in the next batch
             upto = held.num_rows if batch is None else int(start[-1])
             if upto:
-                yield _cross_rows(held.slice(0, upto), start[start < upto], percent)
+                yield _cross_rows(held.slice(0, upto), start[start < upto], percent, forest)
                 held = held.slice(upto)
     return run
 
@@ -284,8 +305,8 @@ def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _cross_rows(rows: pa.RecordBatch, start: np.ndarray, percent: int) -> pa.RecordBatch:
-    cls, root, size, own, i, j = (rows.column(c).to_numpy() for c in ("cls", "root", "size", "own", "i", "j"))
+def _cross_rows(rows: pa.RecordBatch, start: np.ndarray, percent: int, forest: bool) -> pa.RecordBatch:
+    cls, root, part, size, own, i, j = (rows.column(c).to_numpy() for c in ("cls", "root", "part", "size", "own", "i", "j"))
     maps = [np.frombuffer(m.as_buffer(), np.uint64) for m in rows.column("sig")]
     length = np.diff(np.append(start, rows.num_rows))
     pairs = []
@@ -294,7 +315,7 @@ def _cross_rows(rows: pa.RecordBatch, start: np.ndarray, percent: int) -> pa.Rec
         p, q = np.triu_indices(n, 1)
         pairs.append(((first[:, None] + p).ravel(), (first[:, None] + q).ravel()))
     x, y = (np.concatenate(z) for z in zip(*pairs))
-    across = (root[x] != root[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
+    across = (root[x] != root[y]) & (part[x] != part[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
     x, y = x[across], y[across]
     may = trees.possible_leaves(size, maps, x, y, percent)
     found = [(x[may], y[may])]
@@ -302,10 +323,47 @@ def _cross_rows(rows: pa.RecordBatch, start: np.ndarray, percent: int) -> pa.Rec
         side = (own[s:s + n] != i[s]).astype(np.int64) if i[s] != j[s] else None
         found += [(x + s, y + s) for x, y in trees.candidate_pairs(size[s:s + n], maps[s:s + n], percent, side)]
     x, y = (np.concatenate(z) for z in zip(*found))
-    x, y = x[root[x] != root[y]], y[root[x] != root[y]]
+    apart = (root[x] != root[y]) & (part[x] != part[y])
+    x, y = x[apart], y[apart]
+    if forest:
+        both = trees.shared_leaves(size, maps, x, y)
+        keep = _forest(part, x, y, both / (size[x] + size[y] - both))
+        used = np.unique(np.concatenate((x, y)))
+        x, y = np.concatenate((x[keep], used)), np.concatenate((y[keep], used))
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[x], cls[y])), pa.array(np.maximum(cls[x], cls[y]))], ["a", "b"])
 
 
+def _forest(part: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the pairs of a heaviest spanning forest of the parts: each part takes its heaviest pair, round by round."""
+    if not len(x):
+        return np.empty(0, np.int64)
+    names, label = np.unique(part, return_inverse=True)
+    edge = np.argsort(-weight, kind="stable")
+    taken = []
+    while True:
+        p, q = label[x[edge]], label[y[edge]]
+        edge, p, q = edge[p != q], p[p != q], q[p != q]
+        if not len(edge):
+            return np.array(taken, np.int64)
+        best = np.full(len(names), len(edge))
+        for side in (p, q):
+            np.minimum.at(best, side, np.arange(len(edge)))
+        up = np.arange(len(names))
+
+        def top(k: int) -> int:
+            while up[k] != k:  # noqa: B023
+                up[k] = up[up[k]]  # noqa: B023
+                k = up[k]  # noqa: B023
+            return k
+
+        for k in np.unique(best[best < len(edge)]).tolist():
+            a, b = top(p[k]), top(q[k])
+            if a != b:
+                up[a] = b
+                taken.append(edge[k])
+        label = np.array([top(k) for k in range(len(names))])[label]
+
+
 def _inner(percent: int):
     """Links between two blocks of a cluster that connect what isn't connected yet."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:

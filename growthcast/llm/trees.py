@@ -73,29 +73,42 @@ def possible(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray, percent: int) ->
 
 def possible_leaves(sizes: np.ndarray, maps: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """``possible`` for pairs of sets with bitmaps of any width."""
+    near = (100 * sizes[i] >= percent * sizes[j]) & (100 * sizes[j] >= percent * sizes[i])
     out = np.zeros(len(i), bool)
+    out[near] = shared_leaves(sizes, maps, i[near], j[near]) * (100 + percent) >= percent * (sizes[i[near]] + sizes[j[near]])
+    return out
+
+
+def shared_leaves(sizes: np.ndarray, maps: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The most tokens that pairs of sets can have in common; 0 if their widths are two steps apart."""
+    out = np.zeros(len(i), np.int64)
     words = np.array([len(m) for m in maps], np.int64)
     swap = words[i] > words[j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
     for w in np.unique(words[i]).tolist():
         for v in (w, 2 * w):
-            at = np.flatnonzero((words[i] == w) & (words[j] == v))
-            if not len(at):
-                continue
-            sides = []
-            for k in (i[at], j[at]):
-                rows, place = np.unique(k, return_inverse=True)
-                m = fold(np.stack([maps[r] for r in rows.tolist()]), w)
-                n = sizes[rows]
-                sides.append(((m, n, n, n - np.bitwise_count(m).sum(1)), place))
-            (x, px), (y, py) = sides
-            out[at] = possible(x, px, y, py, percent)
+            every = np.flatnonzero((words[i] == w) & (words[j] == v))
+            step = pairs_at_once(w)
+            for at in (every[k:k + step] for k in range(0, len(every), step)):
+                sides = []
+                for k in (i[at], j[at]):
+                    rows, place = np.unique(k, return_inverse=True)
+                    m = fold(np.stack([maps[r] for r in rows.tolist()]), w)
+                    sides.append((m, sizes[rows], sizes[rows] - np.bitwise_count(m).sum(1), place))
+                (x, nx, ex, p), (y, ny, ey, q) = sides
+                most = np.bitwise_count(x[p] & y[q]).sum(1) + np.minimum(ex[p], ey[q])
+                out[at] = np.minimum(most, np.minimum(nx[p], ny[q]))
     return out
 
 
+def pairs_at_once(words: int) -> int:
+    """So many pairs of bitmaps take some ten MB."""
+    return max(16, min(STEP, (1 << 20) // words))
+
+
 def meet(x: Tree, y: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Dual traversal: blocks of pairs (ids of x, ids of y) that the bitmaps allow; of a tree with itself each pair once."""
-    same = x is y
+    same, step = x is y, pairs_at_once(x.levels[0][0].shape[1])
     top = max(len(x.levels), len(y.levels)) - 1
     roots_x, roots_y = (len(t.levels[min(top, len(t.levels) - 1)][1]) for t in (x, y))
     i, j = (a.ravel() for a in np.meshgrid(np.arange(roots_x), np.arange(roots_y), indexing="ij"))
@@ -104,8 +117,8 @@ def meet(x: Tree, y: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarra
     todo = [(top, i, j)]
     while todo:
         level, i, j = todo.pop()
-        if len(i) > STEP:
-            todo += [(level, i[k:k + STEP], j[k:k + STEP]) for k in range(0, len(i), STEP)][::-1]
+        if len(i) > step:
+            todo += [(level, i[k:k + step], j[k:k + step]) for k in range(0, len(i), step)][::-1]
             continue
         a, b = min(level, len(x.levels) - 1), min(level, len(y.levels) - 1)
         ok = possible(x.levels[a], i, y.levels[b], j, percent)

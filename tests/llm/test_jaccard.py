@@ -80,3 +80,37 @@ def test_trees_lose_no_pair():
         maps = [trees.bitmap(s, trees.width(len(s), bits)) for s in sets]
         got = [(max(p), min(p)) for x, y in trees.candidate_pairs(sizes, maps, 80) for p in zip(x.tolist(), y.tolist())]
         assert len(got) == len(set(got)) and true <= set(got)
+
+
+def test_forest_connects_the_parts():
+    rng = random.Random(6)
+    for _ in range(100):
+        part = np.array([rng.randrange(12) for _ in range(20)])
+        pairs = [(x, y) for x in range(20) for y in range(x) if part[x] != part[y] and rng.random() < .1]
+        x, y = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        weight = np.array([rng.randrange(5) for _ in pairs], float)
+        taken = J._forest(part, x, y, weight).tolist()
+
+        def joined(which):
+            label = {p: p for p in part.tolist()}
+            for k in which:
+                a, b = label[part[x[k]]], label[part[y[k]]]
+                label = {p: b if v == a else v for p, v in label.items()}
+            return label
+
+        every = joined(range(len(pairs)))
+        mine = joined(taken)
+        assert {(a, b) for a in mine for b in mine if mine[a] == mine[b]} == {(a, b) for a in every for b in every if every[a] == every[b]}
+        assert len(taken) == len(every) - len(set(every.values()))
+
+
+def test_pairs_of_a_large_group_stay_in_their_tasks(spark):
+    rng = random.Random(7)
+    base = rng.choices([f"w{i}" for i in range(400)], k=60)
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for k in rng.sample(range(60), rng.randrange(3)):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    assert run(spark, rows) == brute(rows)
