@@ -56,7 +56,7 @@ WORDS, PERCENT = 5, 80
 BUCKET_BITS, SLICES = 20, 64
 BLOCK = 1_000
 #: Bits of a bitmap for each token: in the join of keys, and where whole sets are at hand.
-THIN, WIDE = 8, 16
+THIN, WIDE = 4, 16
 LAST = (1 << 63) - 1
 
 
@@ -123,7 +123,10 @@ def _links(texts: DataFrame, profile: DataFrame, classes: DataFrame, n: int, per
 
 
 def _met(near: DataFrame, sigs: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """(a, b): pairs that the trees over the blocks of each key leave."""
+    """(a, b): pairs that the trees over the blocks of each key leave; of keys with the same classes one is enough."""
+    same = (near.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("h1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("h2"))
+            .groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key"))
+    near = near.join(same, "key")
     mixed = near.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     group = near.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = group.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
