@@ -15,7 +15,11 @@ there; so the k nearest are exact, ties to the smaller id. The votes are weighte
 the examples, weighted to the labels' shares, turns them into scores. The
 nearest examples are returned as evidence.
 
-The index grows with the text of the examples, not with the documents.
+Texts are taken apart once: each becomes the numbers of its words' longest
+known terms, written to the shared folder, and frequencies and scores are read
+from there. Every worker builds the index from the examples' numbers, which are
+broadcast; the driver holds those, the terms and their weights. They grow with
+the text of the examples, not with the documents.
 
 Nulls and edge cases: a null or empty text, or one without any term of the
 examples, has no neighbours and gets the curve's value for no votes; null labels and ids are no
@@ -29,13 +33,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from growthcast.session import materialise
 
 #: Bounds: examples of each label, examples in a block of the index, neighbours, evidence rows.
 EXAMPLES, BLOCK, NEAREST, SHOWN = 2_000, 64, 15, 3
@@ -55,19 +62,37 @@ def held_out(doc_id: Column) -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              label_col: str = "toxic", examples: int = EXAMPLES) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (doc_id, cosine, label of the nearest) for every row."""
-    out = classify(docs.select(id_col, text_col), labels, id_col, text_col, label_col, examples)
+    out = classify(docs.select(id_col, text_col), labels, id_col, text_col, label_col, examples, [id_col])
     return out.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), "score", "predicted", "evidence")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             label_col: str = "toxic", examples: int = EXAMPLES) -> DataFrame:
-    """The rows with ``score``, ``predicted`` and ``evidence`` in addition; the frame must not have these columns."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model = fit(texts, labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")), examples)
-    scored = F.arrow_udf(_scores(docs.sparkSession.sparkContext.broadcast(model)),
-                         "score double, evidence array<struct<doc_id:long,cosine:double,label:int>>")
-    return (docs.withColumn("_scored", scored(F.col(text_col)))
-            .select(*docs.columns, "_scored.score", F.when(F.col("_scored.score") >= 0.5, 1).otherwise(0).alias("predicted"), "_scored.evidence"))
+             label_col: str = "toxic", examples: int = EXAMPLES, keep: list[str] | None = None) -> DataFrame:
+    """The rows, with the columns of ``keep`` (all if None), and ``score``, ``predicted`` and ``evidence`` in addition.
+
+    These columns, and ``_terms``, must not be among those kept.
+    """
+    keep = docs.columns if keep is None else keep
+    known = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
+             .where("doc_id IS NOT NULL AND label IN (0, 1)").where(~held_out(F.col("doc_id")))
+             .groupBy("doc_id").agg(F.max("label").cast("int").alias("label")))
+    shares = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    share = shares.get(1, 0) / max(sum(shares.values()), 1)
+    sample = materialise(sampled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), known, examples), "toxicity-examples")
+    found = vocabulary(sample)
+    if found is None:
+        scored = docs.select(*keep, F.lit(share).alias("score"), F.array().cast(EVIDENCE_TYPE).alias("evidence"))
+        return scored.select(*keep, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
+    sc = docs.sparkSession.sparkContext
+    words = sc.broadcast(found.words)
+    # the texts are taken apart once; frequencies and scores come from the numbers written here
+    held = materialise(docs.select(*keep, F.arrow_udf(_numbered(words), "binary")(F.col(text_col)).alias("_terms")), "toxicity-terms")
+    vectors = sample.select("doc_id", "label", F.arrow_udf(_numbered(words), "binary")(F.col("text")).alias("terms")).toArrow()
+    words.destroy()
+    index = sc.broadcast(index_of(held.select("_terms"), found, vectors, share))
+    scored = F.arrow_udf(_scores(index, fit(docs.sparkSession, index)), f"score double, evidence {EVIDENCE_TYPE}")
+    return (held.withColumn("_scored", scored(F.col("_terms")))
+            .select(*keep, "_scored.score", F.when(F.col("_scored.score") >= 0.5, 1).otherwise(0).alias("predicted"), "_scored.evidence"))
 
 
 def terms_of(word: str) -> list[str]:
@@ -75,37 +100,78 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
 
 
-def fit(texts: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
-    """The index over the examples. The driver gets at most 2 * ``examples`` vectors and the counts of their terms."""
-    known = (labels.where("doc_id IS NOT NULL AND label IN (0, 1)").where(~held_out(F.col("doc_id")))
-             .groupBy("doc_id").agg(F.max("label").cast("int").alias("label")))
-    shares = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+class Vocabulary(NamedTuple):
+    """Terms of the examples in order, and for each the number of its longest beginning, or -1, and its weight by label."""
+    words: dict
+    parent: np.ndarray
+    ratio: np.ndarray
+
+
+def sampled(texts: DataFrame, known: DataFrame, examples: int) -> DataFrame:
+    """doc_id, text, label of the examples: ids with the least hashes, so many of each label."""
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = [known.where(F.col("label") == y).orderBy(*order).limit(examples) for y in (0, 1)]
     # at most 2 * examples rows
-    sample = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
-    counts = (sample.mapInArrow(_distinct_terms, "label int, terms array<string>")
-              .select("label", F.explode("terms").alias("term")).groupBy("term")
-              .agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b")))
+    return texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("doc_id", "text", "label")
+
+
+def vocabulary(sample: DataFrame) -> Vocabulary | None:
+    """All terms of the examples; None without examples of both labels. The driver gets the terms, in Arrow."""
     sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    share = shares.get(1, 0) / max(sum(shares.values()), 1)
     if not n1 or not n0:
-        return Model([], np.empty(0), [], share)
-    ratio = _ratio(F.col("a"), F.col("b"), n1, n0)
-    support = F.col("a") + F.col("b")
-    found = counts.select("term", F.when(support >= SUPPORT, _ratio(F.col("a"), F.col("b"), n1, n0)).otherwise(0.0).alias("ratio")).toArrow().sort_by("term")
-    terms, ratio = found.column("term").to_pylist(), found.column("ratio").to_numpy()
-    number = texts.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
-    df = np.zeros(len(terms), np.int64)
-    held = texts.select("text").mapInArrow(_frequencies(number), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    term, times = held.column("term").to_numpy(), held.column("n").to_numpy()
-    df[term[term >= 0]], n = times[term >= 0], int(times[term < 0].sum())
-    weight = (np.log((1 + n) / (1 + df)) + 1) * np.where(ratio >= RATIO, 1 + ratio, 1.0)
-    rows = sample.mapInArrow(_term_counts(number), "doc_id long, label int, terms binary, counts binary").toArrow().to_pylist()
-    vectors = [(r["doc_id"], r["label"], np.frombuffer(r["terms"], np.int32), np.frombuffer(r["counts"], np.int32))
-               for r in sorted(rows, key=lambda r: tuple(r.values()))]
-    return Model(terms, weight, vectors, share)
+        return None
+    a, b = F.col("a"), F.col("b")
+    counts = (sample.select("label", "text").mapInArrow(_distinct_terms, "label int, terms array<string>")
+              .select("label", F.explode("terms").alias("term")).groupBy("term")
+              .agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b")))
+    ratio = F.when(a + b >= SUPPORT, _ratio(a, b, n1, n0)).otherwise(0.0)
+    body = F.regexp_replace("term", r"\*$", "")
+    cut = F.least(F.char_length(body) - 1, F.lit(BEGINNINGS[-1]))
+    parent = F.when(cut >= BEGINNINGS[0], F.concat(F.substring(body, F.lit(1), cut), F.lit("*")))
+    found = counts.select("term", ratio.alias("ratio"), parent.alias("parent")).toArrow().combine_chunks().sort_by("term")
+    term = found.column("term").combine_chunks()
+    upper = pc.fill_null(pc.index_in(found.column("parent").combine_chunks(), value_set=term), -1).to_numpy()
+    return Vocabulary({"terms": term}, upper, found.column("ratio").to_numpy())
+
+
+def index_of(held: DataFrame, found: Vocabulary, vectors: pa.Table, share: float) -> dict:
+    """What the tasks build the index from: weights of the terms by all documents, and the examples."""
+    spark, size = held.sparkSession, len(found.parent)
+    parent = spark.sparkContext.broadcast(found.parent)
+    got = held.mapInArrow(_frequencies(parent), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    parent.destroy()
+    term, times = got.column("term").to_numpy(), got.column("n").to_numpy()
+    df, n = np.zeros(size, np.int64), int(times[term < 0].sum())
+    df[term[term >= 0]] = times[term >= 0]
+    weight = (np.log((1 + n) / (1 + df)) + 1) * np.where(found.ratio >= RATIO, 1 + found.ratio, 1.0)
+    examples = vectors.combine_chunks().sort_by([(c, "ascending") for c in vectors.column_names])
+    return {"parent": found.parent, "weight": weight, "examples": examples, "share": share}
+
+
+def fit(spark: SparkSession, index) -> tuple[float, float, float]:
+    """The curve of the scores by leave-one-out votes of the examples; the driver gets three numbers of each."""
+    size = index.value["examples"].num_rows
+    got = spark.range(0, size, 1, max(1, -(-size // (2 * TOGETHER)))).mapInArrow(_votes(index), "label int, share double, top double").toArrow()
+    return curve_of(*(got.column(c).to_numpy() for c in ("label", "share", "top")), index.value["share"])
+
+
+def curve_of(label: np.ndarray, vote: np.ndarray, top: np.ndarray, share: float) -> tuple[float, float, float]:
+    """Logistic curve over votes and greatest cosines, weighted to the share of label 1 among the labelled rows."""
+    x, y = np.column_stack([np.ones(len(vote)), vote, top]), label.astype(float)
+    # rows come in any order, sums do not depend on it
+    order = np.lexsort((top, vote, y))
+    x, y = x[order], y[order]
+    by_label = np.array([(1 - share) / max((y == 0).sum(), 1), share / max((y == 1).sum(), 1)]) * len(y)
+    row, beta = by_label[y.astype(int)], np.zeros(3)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        slope = x.T @ (row * (p - y)) + 1e-2 * beta
+        step = np.linalg.solve((x * (row * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), slope)
+        beta = beta - step
+        if np.abs(step).max() < 1e-10:
+            break
+    return tuple(beta.tolist())
 
 
 def _ratio(a: Column, b: Column, n1: int, n0: int) -> Column:
@@ -121,29 +187,65 @@ def _ratio(a: Column, b: Column, n1: int, n0: int) -> Column:
     return F.when(a * n0 > b * n1, 2 * (fits(a / n1, b / n0) - fits(both, both))).otherwise(0.0)
 
 
-class TermNumbers(dict):
-    """Numbers of the terms of a word, kept for words that come again."""
+class WordNumbers(dict):
+    """The number of a word's longest known term, or -1, kept for words that come again.
+
+    A known term's beginnings are known too, so this number stands for all known terms of the word.
+    """
 
     def __init__(self, number: dict[str, int], most: int = 500_000):
         super().__init__()
         self.number, self.most = number, most
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        out = self[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
+        term, *beginnings = terms_of(word)
+        out = self[word] = next((self.number[t] for t in (term, *reversed(beginnings)) if t in self.number), -1)
         return out
 
-    def of(self, text: str | None) -> set[int]:
-        return set(chain.from_iterable(map(self.__getitem__, set(WORD.findall(text.lower()))))) if text else set()
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        if text:
-            for word, n in Counter(WORD.findall(text.lower())).items():
-                for i in self[word]:
-                    out[i] = out.get(i, 0) + n
-        return out
+    def packed(self, text: str | None) -> bytes:
+        """Numbers of the words of a text in order, and then how often each occurs, as 32-bit integers."""
+        found = Counter(map(self.__getitem__, WORD.findall(text.lower()))) if text else {}
+        found.pop(-1, None)
+        pairs = np.array([*found.keys(), *found.values()], np.int32).reshape(2, -1)
+        return pairs[:, np.argsort(pairs[0])].tobytes()
+
+
+def expanded(packed: list[bytes], parent: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Term numbers, in order, and counts of several texts, with the beginnings of their words."""
+    sizes = [len(x) // 8 for x in packed]
+    pairs = [np.frombuffer(x, np.int32).reshape(2, -1) for x in packed]
+    at, n = np.concatenate(pairs, axis=1).astype(np.int64) if pairs else np.empty((2, 0), np.int64)
+    text = np.repeat(np.arange(len(sizes)), sizes) * len(parent)
+    keys, counts = [], []
+    while len(at):
+        keys.append(text + at)
+        counts.append(n)
+        at = parent[at].astype(np.int64)
+        at, n, text = at[at >= 0], n[at >= 0], text[at >= 0]
+    if not keys:
+        return [(np.empty(0, np.int64), np.empty(0)) for _ in packed]
+    key, place = np.unique(np.concatenate(keys), return_inverse=True)
+    count = np.bincount(place, np.concatenate(counts))
+    edges = np.searchsorted(key, np.arange(len(sizes) + 1) * len(parent)).tolist()
+    return [(key[i:j] - k * len(parent), count[i:j]) for k, (i, j) in enumerate(zip(edges[:-1], edges[1:]))]
+
+
+def _made(shared, make):
+    """What a worker makes of a broadcast dict, kept in it for the worker's next tasks."""
+    held = shared.value
+    if "made" not in held:
+        held["made"] = make(held)
+    return held["made"]
+
+
+def _numbered(words):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        numbers = _made(words, lambda held: WordNumbers({t: i for i, t in enumerate(held["terms"].to_pylist())}))
+        for batch in batches:
+            yield pa.array([numbers.packed(x.as_py()) for x in batch], pa.binary())
+    return run
 
 
 def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,46 +254,54 @@ def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(terms, pa.list_(pa.string()))], ["label", "terms"])
 
 
-def _frequencies(number):
+def _frequencies(parent):
     """Documents with each term of a task, and documents under the number -1."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, df, n = TermNumbers(number.value), np.zeros(len(number.value), np.int64), 0
+        upper = parent.value
+        df, n = np.zeros(len(upper), np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            for text in batch.column("text"):
-                df[list(terms.of(text.as_py()))] += 1
+            for i in range(0, batch.num_rows, TOGETHER):
+                for at, _ in expanded(batch.column(0)[i:i + TOGETHER].to_pylist(), upper):
+                    df[at] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], n))], ["term", "n"])
     return run
 
 
-def _term_counts(number):
+def _model(held: dict) -> Model:
+    examples = held["examples"]
+    vectors = zip(examples.column("doc_id").to_pylist(), examples.column("label").to_pylist(), expanded(examples.column("terms").to_pylist(), held["parent"]))
+    return Model(range(len(held["weight"])), held["weight"], [(i, y, *v) for i, y, v in vectors], held["share"])
+
+
+def _votes(index):
+    """Label, vote and greatest cosine of the examples of some numbers, each without itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = TermNumbers(number.value)
+        model = _made(index, _model)
+        packed, parent = index.value["examples"].column("terms"), index.value["parent"]
         for batch in batches:
-            found = [sorted(of.counts(x.as_py()).items()) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("label"), pa.array([np.array([i for i, _ in f], np.int32).tobytes() for f in found], pa.binary()),
-                 pa.array([np.array([c for _, c in f], np.int32).tobytes() for f in found], pa.binary())], ["doc_id", "label", "terms", "counts"])
+            numbers = batch.column(0).to_pylist()
+            for i in range(0, len(numbers), TOGETHER):
+                some = numbers[i:i + TOGETHER]
+                vectors = [model.weighed(*v) for v in expanded([packed[k].as_py() for k in some], parent)]
+                votes = np.array([model.votes(*f) for f in model.nearest_of(vectors, some)])
+                yield pa.RecordBatch.from_arrays([pa.array(model.labels[some], pa.int32()), pa.array(votes[:, 0]), pa.array(votes[:, 1])], ["label", "share", "top"])
     return run
 
 
 class Model:
-    """Block-max inverted index over the examples in order of their ids, and the curve of the scores."""
+    """Block-max inverted index over the examples in order of their ids."""
 
-    def __init__(self, terms: list[str], weight: np.ndarray, vectors: list[tuple], share: float):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.weight, self.share = weight, share
+    def __init__(self, terms: Sequence, weight: np.ndarray, vectors: list[tuple], share: float):
+        self.number, self.weight, self.share = terms, weight, share
         self.ids = np.array([v[0] for v in vectors], np.int64)
         self.labels = np.array([v[1] for v in vectors], np.int64)
         self.blocks = -(-len(vectors) // BLOCK)
-        weights = [self.vector(dict(zip(v[2], v[3]))) for v in vectors]
+        weights = [self.weighed(np.asarray(v[2], np.int64), np.asarray(v[3], np.float64)) for v in vectors]
         at = np.concatenate([np.empty(0, np.int64), *(a for a, _ in weights)])
         w = np.concatenate([np.empty(0), *(x for _, x in weights)])
-        sizes = [len(a) for a, _ in weights]
-        edges = np.cumsum([0, *sizes]).tolist()
-        weights = [(at[a:b], w[a:b]) for a, b in zip(edges[:-1], edges[1:])]
-        example = np.repeat(np.arange(len(weights), dtype=np.int32), sizes)
+        example = np.repeat(np.arange(len(weights), dtype=np.int32), [len(a) for a, _ in weights])
         held = np.bincount(at, minlength=len(terms))
         common = np.flatnonzero(held * COMMON >= max(len(vectors), 1))
         # terms of many examples: a dense row in each block, and its maximum
@@ -205,15 +315,18 @@ class Model:
         order = np.argsort(at[~dense], kind="stable")
         self.place, self.w = example[~dense][order].astype(np.int32), w[~dense][order]
         self.start = np.concatenate(([0], np.cumsum(np.where(self.row < 0, held, 0)))).astype(np.int64)
-        self.curve = self._fit(weights) if vectors else None
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights (1 + log tf) * idf, times the label's weight, of length 1."""
         n = len(counts)
         at, tf = np.fromiter(counts.keys(), np.int64, n), np.fromiter(counts.values(), np.float64, n)
         order = np.argsort(at)
-        at, w = at[order], (1 + np.log(tf[order])) * self.weight[at[order]]
-        return at, w / np.sqrt((w * w).sum()) if n else w
+        return self.weighed(at[order], tf[order])
+
+    def weighed(self, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vector of term numbers in order and their counts."""
+        w = (1 + np.log(tf)) * self.weight[at]
+        return at, w / np.sqrt((w * w).sum()) if len(at) else w
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEAREST, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with a positive cosine, without example ``but``."""
@@ -267,47 +380,30 @@ class Model:
             return 0.0, 0.0
         return float((cosine * self.labels[number]).sum() / (cosine.sum() + 0.5)), float(cosine[0])
 
-    def _fit(self, weights: list) -> tuple[float, float, float]:
-        found = [f for i in range(0, len(weights), TOGETHER) for f in self.nearest_of(weights[i:i + TOGETHER], list(range(i, min(i + TOGETHER, len(weights)))))]
-        x = np.array([[1.0, *self.votes(*f)] for f in found])
-        y = self.labels.astype(float)
-        # the sample has other shares of the labels than the labelled rows
-        by_label = np.array([(1 - self.share) / max((y == 0).sum(), 1), self.share / max((y == 1).sum(), 1)]) * len(y)
-        row, beta = by_label[self.labels], np.zeros(3)
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            slope = x.T @ (row * (p - y)) + 1e-2 * beta
-            step = np.linalg.solve((x * (row * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), slope)
-            beta = beta - step
-            if np.abs(step).max() < 1e-10:
-                break
-        return tuple(beta.tolist())
-
-    def scores(self, counts: list[dict[int, int]]) -> list[tuple[float, tuple[np.ndarray, np.ndarray]]]:
-        """Score and nearest examples of several documents."""
-        if self.curve is None:
-            return [(self.share, (np.empty(0, np.int64), np.empty(0))) for _ in counts]
+    def scores(self, vectors: list[tuple], curve: tuple[float, float, float]) -> list[tuple[float, tuple[np.ndarray, np.ndarray]]]:
+        """Score and nearest examples of several documents' vectors."""
         out = []
-        for found in self.nearest_of([self.vector(c) for c in counts], [-1] * len(counts)):
+        for found in self.nearest_of(vectors, [-1] * len(vectors)):
             vote, top = self.votes(*found)
-            z = self.curve[0] + self.curve[1] * vote + self.curve[2] * top
+            z = curve[0] + curve[1] * vote + curve[2] * top
             out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), found))
         return out
 
 
-def _scores(sent):
+def _scores(index, curve: tuple[float, float, float]):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = sent.value
-        of, known = TermNumbers(model.number), {}
+        model = _made(index, _model)
+        parent, known = index.value["parent"], {}
         for batch in batches:
             scores, evidence = [], []
             for i in range(0, len(batch), TOGETHER):
-                texts = [x.as_py() or "" for x in batch[i:i + TOGETHER]]
-                keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for t in texts]
+                packed = batch[i:i + TOGETHER].to_pylist()
+                keys = [xxhash.xxh3_128_digest(x) for x in packed]
                 if len(known) > 20_000:
                     known.clear()
-                new = {k: t for k, t in zip(keys, texts) if k not in known}
-                for key, (score, (number, cosine)) in zip(new, model.scores([of.counts(t) for t in new.values()])):
+                new = {k: x for k, x in zip(keys, packed) if k not in known}
+                vectors = [model.weighed(*v) for v in expanded(list(new.values()), parent)]
+                for key, (score, (number, cosine)) in zip(new, model.scores(vectors, curve) if new else []):
                     known[key] = score, [{"doc_id": int(model.ids[i]), "cosine": float(c), "label": int(model.labels[i])}
                                          for i, c in zip(number[:SHOWN].tolist(), cosine[:SHOWN].tolist())]
                 for key in keys:
@@ -318,3 +414,4 @@ def _scores(sent):
 
 
 EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+EVIDENCE_TYPE = "array<struct<doc_id:long,cosine:double,label:int>>"
