@@ -93,6 +93,10 @@ def remove_rows(df: DataFrame, rows: DataFrame, keys: Sequence[str] = ("row_id",
     return df.join(rows.select(*keys), list(keys), "left_anti")
 
 
-def score_against(preds: DataFrame, truth: DataFrame) -> DataFrame:
-    """Predictions matched with truth per (row, split, horizon)."""
-    return preds.join(truth, ["row_id", "split", "horizon"])
+def score_against(preds: DataFrame, truth: DataFrame, keys: Sequence[str] = ("row_id", "split", "horizon")) -> DataFrame:
+    """Predictions matched with truth per row and horizon.
+
+    The sides are merged, never broadcast: size estimates take a long frame that
+    comes from arrays or from Python for as small as the wide rows it is made of.
+    """
+    return preds.join(truth.hint("merge"), list(keys))

@@ -36,7 +36,8 @@ def citation_events(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] =
     orders = (table(spark, sf_dir, "orders")
               .where(F.col("o_orderdate") < F.lit("2001-07-01").cast("timestamp_ntz"))
               .select(F.col("o_orderkey").alias("oid"), _period("o_orderdate").alias("per")))
-    return lines.join(orders, "oid").select(*columns)
+    # never broadcast: the size of two well-packed columns is estimated far below that of their rows, which grow with the input
+    return lines.join(orders.hint("shuffle_hash"), "oid").select(*columns)
 
 
 def venues(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ def facts(wide, preds, start=None):
     The constant is the base or, if ``start`` gives a number for each horizon, that number where it is above the base.
     """
     kept = wide.select("row_id", "base", *[f"y_{h}" for h in range(1, 11)])
-    scored = preds.join(R.stack_horizons(kept).select("row_id", "horizon", "base", "y"), ["row_id", "horizon"])
+    scored = R.score_against(preds, R.stack_horizons(kept).select("row_id", "horizon", "base", "y"), ["row_id", "horizon"])
     constant = F.col("base") if start is None else F.greatest("base", F.element_at(F.array(*[F.lit(x) for x in start]), F.col("horizon").cast("int")))
     return scored.groupBy("model", "split", "horizon").agg(
         F.count("*").alias("n_rows"), (F.count_if(F.coalesce(F.col("pred"), F.lit(-1.0)) < F.col("base") - 1e-9) == 0).alias("none_below_base"),
