@@ -1,8 +1,10 @@
 """Per-paper count series: one aggregate from which most features follow.
 
 The period axis is short and fixed, so a paper's whole history is a fixed
-set of conditional counters. They are combined map-side; histories, deltas,
-responses and cut-off sums are then projections without further shuffles.
+set of conditional counters. Counts per paper and period are combined map-side,
+in narrow rows; a paper's counters are filled where its few rows are together.
+Histories, deltas, responses and cut-off sums are then projections without
+further shuffles.
 """
 
 from __future__ import annotations
@@ -14,13 +16,15 @@ from growthcast.config import TimeAxis
 
 def paper_series(events: DataFrame, axis: TimeAxis, key: str = "pid") -> DataFrame:
     """events(key, per, key flag) -> (key, p0, n[], k[]): counts per period start..target."""
-    def counters(test: str) -> Column:
-        each = (f"count_if(per = {t}{test})" for t in range(axis.start, axis.target + 1))
+    def counters(count: str) -> Column:
+        each = (f"coalesce(sum(CASE WHEN per = {t} THEN {count} ELSE 0 END), 0)" for t in range(axis.start, axis.target + 1))
         return F.expr(f"array({', '.join(each)})")
 
-    # a series nobody reads is pruned, counters included
-    return (events.groupBy(key)
-            .agg(F.min("per").alias("p0"), counters("").alias("n"), counters(" AND key").alias("k"))
+    # a series nobody reads is pruned, counters included. The wide rows are made behind the shuffle: before it,
+    # a task would hold one for each key that it meets
+    counts = events.groupBy(key, "per").agg(F.count(F.lit(1)).alias("_n"), F.count_if("key").alias("_k"))
+    return (counts.repartition(key).groupBy(key)
+            .agg(F.min("per").alias("p0"), counters("_n").alias("n"), counters("_k").alias("k"))
             .where(F.col("p0") <= axis.source))
 
 
