@@ -545,3 +545,47 @@ def test_search_takes_the_best_of_each_group(spark):
                 mean.setdefault(r.params, []).append(r.score)
         top = max(mean, key=lambda p: np.mean(mean[p]))
         assert top == ",".join(f"{k}={chosen[k]}" for k in grid)
+
+
+def test_growth_counts_no_more_rows_than_it_must(monkeypatch):
+    from growthcast.models import binned as T
+    seen, plain = [], T.histogram
+
+    def counted(*args):
+        seen.append(len(args[2]))
+        return plain(*args)
+
+    rng = np.random.default_rng(3)
+    x, n = rng.integers(0, 16, (3_000, 5)).astype(np.uint8), 3_000
+    target = np.sign(x[:, 0] - 7.3 + 3 * rng.normal(size=n) + x[:, 1] % 3)
+    monkeypatch.setattr(T, "histogram", counted)
+    exact, place = T.grow(x, None, target, None, T.Rule(3, 2, bins=16), 1)
+    # the root, and the smaller of each two children of two levels
+    assert sum(seen) <= 2 * n and len(exact.feature) == 15
+    seen.clear()
+    forest, leaf = T.grow(x, None, target, np.ones(n, np.int64), T.Rule(50, 200, features=2, bins=16), 1)
+    sizes = np.bincount(leaf)
+    assert sizes[sizes > 0].min() >= 200 and sum(seen) <= n * (1 + max(_depths(forest))) - sizes[(sizes > 0) & (sizes < 400)].sum()
+    # sums that aren't whole are taken node by node and give the same splits
+    broken, there = T.grow(x, None, target * (1 + 2.0 ** -40), None, T.Rule(3, 2, bins=16), 1)
+    assert (broken.feature, broken.threshold) == (exact.feature, exact.threshold) and (there == place).all()
+    assert np.allclose(broken.value, exact.value)
+
+
+def _depths(tree):
+    at = [0] * len(tree.feature)
+    for i, f in enumerate(tree.feature):
+        if f >= 0:
+            at[tree.left[i]] = at[tree.right[i]] = at[i] + 1
+    return at
+
+
+@pytest.mark.parametrize("groups", [3, 2_000])
+def test_lower_medians_of_few_and_many_groups(groups):
+    from growthcast.models import binned as T
+    rng = np.random.default_rng(5)
+    group, value = rng.integers(0, groups - 1, 5_000), np.round(rng.normal(size=5_000), 1)
+    found = T.lower_medians(group, value, groups)
+    for g in range(groups):
+        own = sorted(value[group == g])
+        assert found[g] == (own[(len(own) - 1) // 2] if own else 0.0)
