@@ -589,3 +589,41 @@ def test_lower_medians_of_few_and_many_groups(groups):
     for g in range(groups):
         own = sorted(value[group == g])
         assert found[g] == (own[(len(own) - 1) // 2] if own else 0.0)
+
+
+def test_forest_is_scored_without_the_driver(spark, monkeypatch):
+    """Trees meet rows in a shuffle; the driver gets numbers of nodes and rows only."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    from growthcast.models import trees as TR
+    df = _table(spark, 200)
+    model = RandomForest(FEATS, 2, trees=7, min_leaf=8).fit(df)
+    rows = {r.row_id: r for r in df.collect()}
+    forest = model.forest.collect()
+    monkeypatch.setattr(TR, "NODES_A_PASS", 40)
+    monkeypatch.setattr(TR, "ROWS_A_BLOCK", 60, raising=False)
+    with monkeypatch.context() as m:
+        for name in ("toArrow", "toPandas"):
+            m.setattr(Classic, name, lambda *_: pytest.fail("trees on the driver"))
+        plain = Classic.collect
+
+        def one_number(self):
+            got = plain(self)
+            assert len(got) == 1 and len(got[0]) == 1 and isinstance(got[0][0], int)
+            return got
+
+        m.setattr(Classic, "collect", one_number)
+        found = model.predict(df)
+    preds = found.collect()
+    assert len(preds) == 400
+
+    def leaf(tree, x):
+        at = 0
+        while tree.feature[at] >= 0:
+            at = (tree.left if x[tree.feature[at]] <= tree.threshold[at] else tree.right)[at]
+        return tree.value[at]
+
+    for p in preds[::37]:
+        x = [math.nan if rows[p.row_id][c] is None else float(rows[p.row_id][c]) for c in FEATS]
+        mean = sum(leaf(t, x) for t in forest if t.horizon == p.horizon) / 7
+        assert math.isclose(p.pred, max(mean, rows[p.row_id].base), rel_tol=1e-12)
