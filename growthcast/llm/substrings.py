@@ -57,9 +57,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = materialise(texts.select("doc", "text").mapInArrow(_anchor_rows(window, seed), "anchor long, doc long, n int"), "anchors")
     shared = anchors.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1")
     salts = F.when(F.col("total") > hot, F.ceil(F.col("total") / hot)).otherwise(0).cast("int")
-    found = (anchors.select("anchor", "doc").join(shared, "anchor").groupBy("doc")
-             .agg(F.collect_set(F.struct("anchor", salts.alias("salts"))).alias("found")))
-    # all joins take the same columns of texts, so their shuffle is made once
+    # steps are written, so that the shuffle files of one are gone before the next; size estimates of written lists are far too small
+    found = materialise(anchors.select("anchor", "doc").join(shared, "anchor").groupBy("doc")
+                        .agg(F.collect_set(F.struct("anchor", salts.alias("salts"))).alias("found")), "found").hint("merge")
+    # both joins up to what is gone take the same columns of texts, so their shuffle is made once
     stretches = (texts.join(found, "doc", "left").where(F.col("found").isNotNull())
                  .select(*texts.columns, "found.anchor", "found.salts").mapInArrow(_stretch_rows(window, seed), STRETCH))
     again, first = _repeats(stretches)
@@ -68,7 +69,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = (texts.join(unclear, "doc", "left").where(F.col("open").isNotNull())
                .select(*texts.columns, "open.pos", "open.len", "open.salts", "open.anchor").mapInArrow(_window_rows(window), STRETCH))
     again = again.union(_repeats(windows)[0])
-    gone = again.groupBy("doc").agg(F.collect_set(F.struct("pos", "len")).alias("gone"))
+    gone = materialise(again.groupBy("doc").agg(F.collect_set(F.struct("pos", "len")).alias("gone")), "gone").hint("merge")
     cut = F.arrow_udf(_cut(window), "kept string, n_words long, n_removed long")
     return (texts.join(gone, "doc", "left").withColumn("_cut", cut("text", "gone.pos", "gone.len"))
             .select("doc_id", "_cut.kept", "_cut.n_words", "_cut.n_removed", *(F.col("text" if c == text_col else f"_{c}").alias(c) for c in carry)))

@@ -69,3 +69,16 @@ def test_rows_of_no_id(spark):
     assert run(spark, [(1, a), (None, a), (None, b)]) == sorted([(1, 40, 0, a), (None, 40, 40, ""), (None, 40, 0, b)], key=str)
     # of equal rows one stays, whichever it is
     assert run(spark, [(None, c), (None, c), (None, c), (2, b)]) == sorted([(None, 40, 40, "")] * 2 + [(None, 40, 0, c), (2, 40, 0, b)], key=str)
+
+
+def test_shuffle_files_of_the_steps_are_gone(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(40))) for i in range(6)], "doc_id long, text string")
+        out = S.remove_repeats(df)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= 2  # texts and what is gone from them; what came before is written
+        assert sorted((r.doc_id, r.n_removed) for r in out.collect()) == [(0, 0), *((i, 40) for i in range(1, 6))]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
