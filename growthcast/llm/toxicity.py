@@ -50,6 +50,8 @@ EXAMPLES, BLOCK, NEAREST, SHOWN = 2_000, 64, 15, 3
 SUPPORT, RATIO = 5, 20.0
 #: Terms in one of so many examples, or more, are kept by blocks; so many queries are answered together.
 COMMON, TOGETHER = 8, 128
+#: Bytes of texts that go to Python together, and words whose numbers a worker keeps.
+TEXT_BYTES, KEPT_WORDS = 4 << 20, 100_000
 BEGINNINGS = (4, 5, 6)
 WORD = re.compile(r"\w+")
 
@@ -86,7 +88,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     sc = docs.sparkSession.sparkContext
     words = sc.broadcast(found.words)
     # the texts are taken apart once; frequencies and scores come from the numbers written here
-    held = materialise(docs.select(*keep, F.arrow_udf(_numbered(words), "binary")(F.col(text_col)).alias("_terms")), "toxicity-terms")
+    held = materialise(docs.select(*keep, F.arrow_udf(_numbered(words), "binary")(F.col(text_col)).alias("_terms")), "toxicity-terms", TEXT_BYTES)
     vectors = sample.select("doc_id", "label", F.arrow_udf(_numbered(words), "binary")(F.col("text")).alias("terms")).toArrow()
     words.destroy()
     index = sc.broadcast(index_of(held.select("_terms"), found, vectors, share))
@@ -193,7 +195,7 @@ class WordNumbers(dict):
     A known term's beginnings are known too, so this number stands for all known terms of the word.
     """
 
-    def __init__(self, number: dict[str, int], most: int = 500_000):
+    def __init__(self, number: dict[str, int], most: int = KEPT_WORDS):
         super().__init__()
         self.number, self.most = number, most
 
@@ -271,8 +273,10 @@ def _frequencies(parent):
 
 def _model(held: dict) -> Model:
     examples = held["examples"]
-    vectors = zip(examples.column("doc_id").to_pylist(), examples.column("label").to_pylist(), expanded(examples.column("terms").to_pylist(), held["parent"]))
-    return Model(range(len(held["weight"])), held["weight"], [(i, y, *v) for i, y, v in vectors], held["share"])
+    # some examples at a time: all that are taken apart together take many times their size
+    vectors = (v for i in range(0, examples.num_rows, TOGETHER) for v in expanded(examples.column("terms")[i:i + TOGETHER].to_pylist(), held["parent"]))
+    rows = [(i, y, at.astype(np.int32), n) for i, y, (at, n) in zip(examples.column("doc_id").to_pylist(), examples.column("label").to_pylist(), vectors)]
+    return Model(range(len(held["weight"])), held["weight"], rows, held["share"])
 
 
 def _votes(index):
@@ -298,10 +302,12 @@ class Model:
         self.ids = np.array([v[0] for v in vectors], np.int64)
         self.labels = np.array([v[1] for v in vectors], np.int64)
         self.blocks = -(-len(vectors) // BLOCK)
-        weights = [self.weighed(np.asarray(v[2], np.int64), np.asarray(v[3], np.float64)) for v in vectors]
-        at = np.concatenate([np.empty(0, np.int64), *(a for a, _ in weights)])
-        w = np.concatenate([np.empty(0), *(x for _, x in weights)])
-        example = np.repeat(np.arange(len(weights), dtype=np.int32), [len(a) for a, _ in weights])
+        sizes = [len(v[2]) for v in vectors]
+        upto = np.cumsum([0, *sizes]).tolist()
+        at, w = np.empty(upto[-1], np.int32), np.empty(upto[-1])
+        for v, i, j in zip(vectors, upto[:-1], upto[1:]):
+            at[i:j], w[i:j] = self.weighed(np.asarray(v[2], np.int32), np.asarray(v[3], np.float64))
+        example = np.repeat(np.arange(len(vectors), dtype=np.int32), sizes)
         held = np.bincount(at, minlength=len(terms))
         common = np.flatnonzero(held * COMMON >= max(len(vectors), 1))
         # terms of many examples: a dense row in each block, and its maximum
@@ -312,8 +318,9 @@ class Model:
         self.common[example[dense] // BLOCK, self.row[at[dense]], example[dense] % BLOCK] = w[dense]
         self.most = self.common.max(2).T.copy() if self.blocks else np.zeros((len(common), 0))
         # the others: runs of postings
-        order = np.argsort(at[~dense], kind="stable")
-        self.place, self.w = example[~dense][order].astype(np.int32), w[~dense][order]
+        order = np.flatnonzero(~dense)
+        order = order[np.argsort(at[order], kind="stable")]
+        self.place, self.w = example[order], w[order]
         self.start = np.concatenate(([0], np.cumsum(np.where(self.row < 0, held, 0)))).astype(np.int64)
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:

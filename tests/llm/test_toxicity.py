@@ -2,11 +2,14 @@
 
 import random
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from growthcast.llm import queries as Q, toxicity as T
+from growthcast.session import BATCH_BYTES, materialise
 
 
 def made(seed=1, n=400, terms=30):
@@ -87,3 +90,28 @@ def test_texts_without_toxic_terms_have_neighbours(spark):
     for i in used:
         nearest = got[1000 + i].evidence[0]
         assert nearest.doc_id == i and nearest.label == int(i % 4 == 0) and abs(nearest.cosine - 1) < 1e-9
+
+
+def test_texts_come_to_python_in_batches_of_few_bytes(spark, monkeypatch):
+    sizes = []
+
+    def spied(df, label, batch_bytes=None):
+        if label == "toxicity-terms":
+            sizes.append(batch_bytes)
+        return materialise(df, label, batch_bytes)
+
+    monkeypatch.setattr(T, "materialise", spied)
+    docs = spark.createDataFrame([(i, ("bad " if i % 2 else "good ") * 50) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert T.toxicity(docs, labels).where("predicted = doc_id % 2").count() == 60
+    assert sizes == [T.TEXT_BYTES]
+    before = spark.conf.get(BATCH_BYTES)
+
+    @F.arrow_udf("long")
+    def together(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([len(b)] * len(b), pa.int64())
+
+    rows = materialise(spark.range(0, 2_000, 1, 1).select(together(F.repeat(F.lit("0123456789"), 100)).alias("n")), "batches", 100_000)
+    assert rows.count() == 2_000 and rows.agg(F.max("n")).first()[0] <= 200  # 2,000 without the bound
+    assert spark.conf.get(BATCH_BYTES) == before
