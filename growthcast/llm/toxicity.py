@@ -17,7 +17,7 @@ nearest examples are returned as evidence.
 
 Texts are taken apart once: each becomes the numbers of its words' longest
 known terms, written to the shared folder, and frequencies and scores are read
-from there. Every worker builds the index from the examples' numbers, which are
+from there; the scores are written too, so that no index outlives them. Every worker builds the index from the examples' numbers, which are
 broadcast; the driver holds those, the terms and their weights. They grow with
 the text of the examples, not with the documents.
 
@@ -32,8 +32,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -50,8 +49,8 @@ EXAMPLES, BLOCK, NEAREST, SHOWN = 2_000, 64, 15, 3
 SUPPORT, RATIO = 5, 20.0
 #: Terms in one of so many examples, or more, are kept by blocks; so many queries are answered together.
 COMMON, TOGETHER = 8, 128
-#: Bytes of texts that go to Python together, and words whose numbers a worker keeps.
-TEXT_BYTES, KEPT_WORDS = 4 << 20, 100_000
+#: Bytes of texts that go to Python together, texts numbered together, and unknown words and scores of texts that a worker keeps.
+TEXT_BYTES, SOME, KEPT_WORDS, KEPT_SCORES = 4 << 20, 32, 100_000, 5_000
 BEGINNINGS = (4, 5, 6)
 WORD = re.compile(r"\w+")
 
@@ -72,7 +71,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
              label_col: str = "toxic", examples: int = EXAMPLES, keep: list[str] | None = None) -> DataFrame:
     """The rows, with the columns of ``keep`` (all if None), and ``score``, ``predicted`` and ``evidence`` in addition.
 
-    These columns, and ``_terms``, must not be among those kept.
+    These columns, ``_terms`` and ``_scored`` must not be among those kept. What is kept is
+    written with the terms and with the scores, so long columns are better joined later.
     """
     keep = docs.columns if keep is None else keep
     known = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
@@ -93,8 +93,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     words.destroy()
     index = sc.broadcast(index_of(held.select("_terms"), found, vectors, share))
     scored = F.arrow_udf(_scores(index, fit(docs.sparkSession, index)), f"score double, evidence {EVIDENCE_TYPE}")
-    return (held.withColumn("_scored", scored(F.col("_terms")))
-            .select(*keep, "_scored.score", F.when(F.col("_scored.score") >= 0.5, 1).otherwise(0).alias("predicted"), "_scored.evidence"))
+    out = materialise(held.select(*keep, scored(F.col("_terms")).alias("_scored")), "toxicity-scores", TEXT_BYTES)
+    index.destroy()
+    return out.select(*keep, "_scored.score", F.when(F.col("_scored.score") >= 0.5, 1).otherwise(0).alias("predicted"), "_scored.evidence")
 
 
 def terms_of(word: str) -> list[str]:
@@ -190,28 +191,37 @@ def _ratio(a: Column, b: Column, n1: int, n0: int) -> Column:
 
 
 class WordNumbers(dict):
-    """The number of a word's longest known term, or -1, kept for words that come again.
+    """The numbers of the known terms, and of unknown words that were met: that of the longest known beginning, or -1.
 
-    A known term's beginnings are known too, so this number stands for all known terms of the word.
+    A known term's beginnings are known too, so this number stands for all known terms of a word.
     """
 
-    def __init__(self, number: dict[str, int], most: int = KEPT_WORDS):
-        super().__init__()
-        self.number, self.most = number, most
+    def __init__(self, terms: Sequence[str], most: int = KEPT_WORDS):
+        super().__init__(zip(terms, range(len(terms))))
+        self.size, self.met, self.most = len(terms), [], most
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        term, *beginnings = terms_of(word)
-        out = self[word] = next((self.number[t] for t in (term, *reversed(beginnings)) if t in self.number), -1)
+        if len(self.met) >= self.most:
+            for w in self.met:
+                del self[w]
+            self.met.clear()
+        out = -1
+        for n in reversed(BEGINNINGS):
+            if len(word) > n and (out := self.get(word[:n] + "*", -1)) >= 0:
+                break
+        self.met.append(word)
+        self[word] = out
         return out
 
-    def packed(self, text: str | None) -> bytes:
-        """Numbers of the words of a text in order, and then how often each occurs, as 32-bit integers."""
-        found = Counter(map(self.__getitem__, WORD.findall(text.lower()))) if text else {}
-        found.pop(-1, None)
-        pairs = np.array([*found.keys(), *found.values()], np.int32).reshape(2, -1)
-        return pairs[:, np.argsort(pairs[0])].tobytes()
+    def packed(self, texts: Sequence[str | None]) -> list[bytes]:
+        """Of each text the numbers of its words in order, and then how often each occurs, as 32-bit integers."""
+        numbers = [np.fromiter(map(self.__getitem__, WORD.findall(x.lower())), np.int64) if x else np.empty(0, np.int64) for x in texts]
+        text, number = np.repeat(np.arange(len(texts)), [len(x) for x in numbers]), np.concatenate([np.empty(0, np.int64), *numbers])
+        key = np.sort((text * self.size + number)[number >= 0])
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        pairs = np.array([key[first] % max(self.size, 1), np.diff(first, append=len(key))], np.int32)
+        edges = np.searchsorted(key[first], np.arange(len(texts) + 1) * self.size).tolist()
+        return [pairs[:, i:j].tobytes() for i, j in zip(edges[:-1], edges[1:])]
 
 
 def expanded(packed: list[bytes], parent: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -244,9 +254,9 @@ def _made(shared, make):
 
 def _numbered(words):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        numbers = _made(words, lambda held: WordNumbers({t: i for i, t in enumerate(held["terms"].to_pylist())}))
+        numbers = _made(words, lambda held: WordNumbers(held["terms"].to_pylist()))
         for batch in batches:
-            yield pa.array([numbers.packed(x.as_py()) for x in batch], pa.binary())
+            yield pa.array([x for i in range(0, len(batch), SOME) for x in numbers.packed(batch[i:i + SOME].to_pylist())], pa.binary())
     return run
 
 
@@ -274,8 +284,8 @@ def _frequencies(parent):
 def _model(held: dict) -> Model:
     examples = held["examples"]
     # some examples at a time: all that are taken apart together take many times their size
-    vectors = (v for i in range(0, examples.num_rows, TOGETHER) for v in expanded(examples.column("terms")[i:i + TOGETHER].to_pylist(), held["parent"]))
-    rows = [(i, y, at.astype(np.int32), n) for i, y, (at, n) in zip(examples.column("doc_id").to_pylist(), examples.column("label").to_pylist(), vectors)]
+    vectors = (v for i in range(0, examples.num_rows, SOME) for v in expanded(examples.column("terms")[i:i + SOME].to_pylist(), held["parent"]))
+    rows = ((i, y, *v) for i, y, v in zip(examples.column("doc_id").to_pylist(), examples.column("label").to_pylist(), vectors))
     return Model(range(len(held["weight"])), held["weight"], rows, held["share"])
 
 
@@ -297,19 +307,24 @@ def _votes(index):
 class Model:
     """Block-max inverted index over the examples in order of their ids."""
 
-    def __init__(self, terms: Sequence, weight: np.ndarray, vectors: list[tuple], share: float):
+    def __init__(self, terms: Sequence, weight: np.ndarray, vectors: Iterable[tuple], share: float):
         self.number, self.weight, self.share = terms, weight, share
-        self.ids = np.array([v[0] for v in vectors], np.int64)
-        self.labels = np.array([v[1] for v in vectors], np.int64)
-        self.blocks = -(-len(vectors) // BLOCK)
-        sizes = [len(v[2]) for v in vectors]
-        upto = np.cumsum([0, *sizes]).tolist()
-        at, w = np.empty(upto[-1], np.int32), np.empty(upto[-1])
-        for v, i, j in zip(vectors, upto[:-1], upto[1:]):
-            at[i:j], w[i:j] = self.weighed(np.asarray(v[2], np.int32), np.asarray(v[3], np.float64))
-        example = np.repeat(np.arange(len(vectors), dtype=np.int32), sizes)
+        ids, labels, ats, ws = [], [], [np.empty(0, np.int32)], [np.empty(0)]
+        for i, y, at, tf in vectors:
+            at, w = self.weighed(np.asarray(at, np.int32), np.asarray(tf, np.float64))
+            ids.append(i)
+            labels.append(y)
+            ats.append(at)
+            ws.append(w)
+        self.ids, self.labels = np.array(ids, np.int64), np.array(labels, np.int64)
+        self.blocks = -(-len(ids) // BLOCK)
+        example = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ats[1:]])
+        at = np.concatenate(ats)
+        ats.clear()
+        w = np.concatenate(ws)
+        ws.clear()
         held = np.bincount(at, minlength=len(terms))
-        common = np.flatnonzero(held * COMMON >= max(len(vectors), 1))
+        common = np.flatnonzero(held * COMMON >= max(len(ids), 1))
         # terms of many examples: a dense row in each block, and its maximum
         self.row = np.full(len(terms), -1, np.int32)
         self.row[common] = np.arange(len(common))
@@ -319,7 +334,7 @@ class Model:
         self.most = self.common.max(2).T.copy() if self.blocks else np.zeros((len(common), 0))
         # the others: runs of postings
         order = np.flatnonzero(~dense)
-        order = order[np.argsort(at[order], kind="stable")]
+        order = order[np.argsort(at[order], kind="stable")].astype(np.int32 if len(at) < 1 << 31 else np.int64)
         self.place, self.w = example[order], w[order]
         self.start = np.concatenate(([0], np.cumsum(np.where(self.row < 0, held, 0)))).astype(np.int64)
 
@@ -406,7 +421,7 @@ def _scores(index, curve: tuple[float, float, float]):
             for i in range(0, len(batch), TOGETHER):
                 packed = batch[i:i + TOGETHER].to_pylist()
                 keys = [xxhash.xxh3_128_digest(x) for x in packed]
-                if len(known) > 20_000:
+                if len(known) > KEPT_SCORES:
                     known.clear()
                 new = {k: x for k, x in zip(keys, packed) if k not in known}
                 vectors = [model.weighed(*v) for v in expanded(list(new.values()), parent)]

@@ -115,3 +115,25 @@ def test_texts_come_to_python_in_batches_of_few_bytes(spark, monkeypatch):
     rows = materialise(spark.range(0, 2_000, 1, 1).select(together(F.repeat(F.lit("0123456789"), 100)).alias("n")), "batches", 100_000)
     assert rows.count() == 2_000 and rows.agg(F.max("n")).first()[0] <= 200  # 2,000 without the bound
     assert spark.conf.get(BATCH_BYTES) == before
+
+
+def test_numbers_of_words(monkeypatch):
+    """Known words take no lookup of their own; unknown ones get their longest known beginning; texts do not mix."""
+    terms = sorted({t for w in ("scum", "friendly", "friend", "plainest") for t in T.terms_of(w)})
+    asked, missing = [], T.WordNumbers.__missing__
+    monkeypatch.setattr(T.WordNumbers, "__missing__", lambda self, w: asked.append(w) or missing(self, w))
+    numbers = T.WordNumbers(terms, most=2)
+    texts = ["Scum friendly SCUM", None, "", "nothing", "friendship plainly frie", "x1 x2 x3 friendship scum", "scum"]
+
+    def brute(text):
+        found = {}
+        for w in T.WORD.findall((text or "").lower()):
+            known = [t for t in T.terms_of(w) if t in terms]
+            for n in [terms.index(max(known, key=lambda t: (t == w, len(t))))] if known else []:
+                found[n] = found.get(n, 0) + 1
+        return sorted(found.items())
+
+    got = numbers.packed(texts)
+    assert [list(map(tuple, np.frombuffer(x, np.int32).reshape(2, -1).T.tolist())) for x in got] == [brute(t) for t in texts]
+    assert not {"scum", "friendly"} & set(asked) and len(numbers) <= len(terms) + 2
+    assert numbers.packed([]) == [] and T.WordNumbers([]).packed(["a b", None]) == [b"", b""]
