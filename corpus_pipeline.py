@@ -36,8 +36,11 @@ def _told_apart(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.classify(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select(COLUMNS)
+    told = _told_apart(docs)
+    # the texts themselves are not carried through the scoring
+    scored = toxicity.classify(told, table(spark, sf_dir, "labels"), keep=["doc_id", "_row"])
+    drop = scored.where("predicted = 1").select(F.col("doc_id").alias("_id"), F.col("_row").alias("_same")).distinct()
+    return told.join(drop, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_same")), "left_anti").select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,3 +137,24 @@ def test_numbers_of_words(monkeypatch):
     assert [list(map(tuple, np.frombuffer(x, np.int32).reshape(2, -1).T.tolist())) for x in got] == [brute(t) for t in texts]
     assert not {"scum", "friendly"} & set(asked) and len(numbers) <= len(terms) + 2
     assert numbers.packed([]) == [] and T.WordNumbers([]).packed(["a b", None]) == [b"", b""]
+
+
+def test_scores_are_written_in_small_batches_without_the_texts(spark, monkeypatch, tmp_path):
+    import corpus_pipeline as P
+
+    written = []
+
+    def spied(df, label, batch_bytes=None):
+        written.append((label, batch_bytes, df.columns))
+        return materialise(df, label, batch_bytes)
+
+    monkeypatch.setattr(T, "materialise", spied)
+    rows = [(i, ("scum " if i % 2 else "good ") * 50 + f"w{i}", "en", "web", 9) for i in range(60)]
+    rows += [(None, "scum scum w7", "en", "web", 9), (None, "good good w7", None, None, 9), (7, "good good w8", "en", "web", 9), (90, None, "en", "web", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = P.drop_toxic(spark, docs, str(tmp_path)).collect()
+    tables = {label: (size, columns) for label, size, columns in written}
+    assert tables["toxicity-scores"][0] == T.TEXT_BYTES and not any("text" in tables[t][1] for t in ("toxicity-terms", "toxicity-scores"))
+    want = [r for r in rows if "scum" not in (r[1] or "")]
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, want))
