@@ -46,9 +46,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = (texts.mapInArrow(_words(path, chunk), "chunk long, place long, word string")
              .repartition("word").sortWithinPartitions("word").mapInArrow(_merge(path), "chunk long, packed binary"))
     coded = texts.mapInArrow(_codes(path, chunk), f"chunk long, doc_ids array<{kind}>, packed binary")
-    pieces = texts.sparkSession.sparkContext.broadcast(piece_bytes(path))
+    piece = pieces(texts.sparkSession, path).toArrow().sort_by("id").column("piece").to_pylist()
     return (words.groupBy("chunk").cogroup(coded.groupBy("chunk"))
-            .applyInArrow(_lay_out(pieces), f"doc_id {kind}, ids array<int>, decoded string"))
+            .applyInArrow(_lay_out(texts.sparkSession.sparkContext.broadcast(piece)), f"doc_id {kind}, ids array<int>, decoded string"))
 
 
 def piece_bytes(path: str) -> list[bytes]:
@@ -65,9 +65,8 @@ def piece_bytes(path: str) -> list[bytes]:
 
 
 def pieces(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """(id, piece): the vocabulary as a table."""
-    rows = list(enumerate(piece_bytes(path or tokenizer_path())))
-    return spark.createDataFrame(rows, "id int, piece binary")
+    """(id, piece): the vocabulary as a table. A task reads the file, so that the driver doesn't hold the tokenizer."""
+    return spark.range(0, 1, 1, 1).mapInArrow(_pieces(path or tokenizer_path()), "id int, piece binary")
 
 
 def decode(ids: DataFrame, keys: list[str], ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -129,6 +128,14 @@ def _texts(batches: Iterator[pa.RecordBatch], chunk: int):
             yield at, doc_id, text
 
 
+def _pieces(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:  # one row
+            found = piece_bytes(path)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found), dtype=np.int32)), pa.array(found, pa.binary())], ["id", "piece"])
+    return run
+
+
 def _words(path: str, chunk: int):
     """The distinct words of every chunk with their numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,6 +69,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     levels = texts.sparkSession.sparkContext.broadcast(_levels(texts, n))
     profile = materialise(texts.mapInArrow(_profiles(n, percent, levels), f"doc long, doc_id {docs.schema[id_col].dataType.simpleString()}, {kept}"
                                            "n_shingles long, cls long, sig binary, keys array<long>"), "profiles")
+    levels.destroy()
     classes = (profile.where(F.col("cls").isNotNull()).groupBy("cls")
                .agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig")))
     classes = materialise(classes, "classes")
@@ -217,11 +218,12 @@ def _levels(texts: DataFrame, n: int) -> np.ndarray:
 
     schema = "k int, counts binary"
     slices = texts.select("text").mapInArrow(tally, schema).repartition(SLICES, "k").mapInArrow(total, schema).collect()
-    counts = np.zeros((SLICES, per), np.int64)
+    # slice by slice: doubles of all buckets at once would take 8 MB each time
+    mean = max(sum(int(np.frombuffer(row["counts"], np.int64).sum()) for row in slices) / (1 << BUCKET_BITS), 1.0)
+    levels = np.zeros((SLICES, per), np.uint8)
     for row in slices:
-        counts[row.k] = np.frombuffer(row["counts"], np.int64)
-    mean = max(counts.mean(), 1.0)
-    return np.floor(2 * np.log2(np.maximum(counts.ravel() / mean, 1))).astype(np.uint8)
+        levels[row.k] = np.floor(2 * np.log2(np.maximum(np.frombuffer(row["counts"], np.int64) / mean, 1)))
+    return levels.ravel()
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:

@@ -52,3 +52,17 @@ def test_decode_joins_pieces(spark, lib):
     df = spark.createDataFrame(rows, "doc_id long, ids array<int>")
     got = {r.doc_id: r.text for r in B.decode(df, ["doc_id"]).collect()}
     assert got == {**dict(enumerate(ODD)), 50: "", 51: ""}
+
+
+def test_driver_holds_no_tokenizer(spark, lib, monkeypatch):
+    """The vocabulary's file is read by tasks; the driver gets the pieces only."""
+    import tokenizers
+
+    def held(*_):
+        raise AssertionError("the driver made a tokenizer")
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("Tokenizer", (), {"from_file": held}))
+    rows = spark.createDataFrame([(1, "Ein Text, zwei Texte.")], "doc_id long, text string")
+    got = [(r.doc_id, r.ids, r.decoded) for r in B.encode(rows).collect()]
+    assert got == [want(lib, 1, "Ein Text, zwei Texte.")]
+    assert [r.text for r in B.decode(B.encode(rows).drop("decoded"), ["doc_id"]).collect()] == ["Ein Text, zwei Texte."]

@@ -114,3 +114,32 @@ def test_pairs_of_a_large_group_stay_in_their_tasks(spark):
             w[k] = f"x{i}_{k}"
         rows.append((i, " ".join(w)))
     assert run(spark, rows) == brute(rows)
+
+
+def test_levels_hold_little_in_the_driver(spark):
+    """Buckets become levels a slice at a time, not all as doubles; the levels are those of all at once."""
+    import tracemalloc
+
+    rows = [("a b c d e f g",), ("a b c d e x",), (None,)]
+    texts = spark.createDataFrame(rows, "text string")
+    tracemalloc.start()
+    got = J._levels(texts, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    hasher, counts = J.Hasher(), np.zeros(1 << J.BUCKET_BITS, np.int64)
+    for (text,) in rows:
+        np.add.at(counts, J._bucket(J._shingles(text, 1, hasher, distinct=False)), 1)
+    assert np.array_equal(got, np.floor(2 * np.log2(np.maximum(counts / max(counts.mean(), 1.0), 1))).astype(np.uint8)) and got.max() > 0
+    assert peak < 12 << 20
+
+
+@pytest.mark.parametrize("edges, rounds", [([(2, 1), (3, 1), (5, 4), (7, 7), (None, 6)], 0), ([(1, 2), (2, 3)], 1), ([], 0)])
+def test_components_end_with_stars(spark, monkeypatch, edges, rounds):
+    """No round is run, planned and written only to see that it changes nothing."""
+    from growthcast.llm import components as C
+
+    written = []
+    monkeypatch.setattr(C, "materialise", lambda df, label, write=C.materialise: written.append(label) or write(df, label))
+    got = {(r.node, r.component) for r in C.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {0: set(), 5: {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}, 2: {(1, 1), (2, 1), (3, 1)}}[len(edges)]
+    assert len(written) == 1 + rounds
