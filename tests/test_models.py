@@ -580,6 +580,74 @@ def _depths(tree):
     return at
 
 
+def test_search_fits_equal_options_once(spark, monkeypatch):
+    """A leaf of two rows makes 2, 3 and 4 the same smallest split, and each group has what the one before has chosen."""
+    from growthcast.models import fitting
+    from growthcast.operators.split import contiguous_folds
+    df, fits, plain = _table(spark, 240), [], fitting.in_tasks
+
+    def counted(spark, n, *args):
+        fits.append(n)
+        return plain(spark, n, *args)
+
+    monkeypatch.setattr(fitting, "in_tasks", counted)
+    _, scores = staged_search(df, MedianBoost(FEATS, stages=2), "y_2")
+    rows = scores.collect()
+    assert len(rows) == 80 and fits[:2] == [25, 15] and fits[2] in (20, 25)
+    found = {(r.stage, r.params, r.fold): r.score for r in rows}
+    assert all(found[1, f"min_split={s},min_leaf=2", f] == found[1, "min_split=2,min_leaf=2", f] for s in (3, 4) for f in range(5))
+    # an option that was not fitted has the score that its own fit gives
+    data = fitting.training(contiguous_folds(df, 5), FEATS, ["y_2"], 64)
+    best = max(range(2, 7), key=lambda d: np.mean([found[0, f"depth={d}", f] for f in range(5)]))
+    booster = MedianBoost(FEATS, stages=2, depth=best, min_split=4)
+    assert fitting.held_out_scores(data, [booster.job(0, f) for f in range(5)]) == [found[1, "min_split=4,min_leaf=2", f] for f in range(5)]
+
+
+def _whole_table(rng, n=4_000):
+    """Codes of few and many values, a constant among them."""
+    sizes = [64, 1, 3, 50, 7, 64, 2, 20]
+    return np.column_stack([rng.integers(0, s, n) for s in sizes]).astype(np.uint8)
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_features_counted_together(monkeypatch, few):
+    from growthcast.models import binned as T
+    monkeypatch.setattr(T, "FEW_CODES", few)
+    monkeypatch.setattr(T, "ROWS_TOGETHER", 300)
+    rng = np.random.default_rng(8)
+    x = _whole_table(rng)
+    table, value = T.Together(x, 64), rng.integers(-2, 3, len(x)).astype(float)
+    assert len(table.groups) < 6 and sorted(f for g in table.groups for f in g) == [0, 2, 3, 4, 5, 6, 7]
+    for rows in (None, np.flatnonzero(rng.random(len(x)) < 0.3), np.arange(0)):
+        own = x if rows is None else x[rows]
+        part = value if rows is None else value[rows]
+        assert (table.sums(value, rows) == [np.bincount(own[:, j], part, minlength=64) for j in range(x.shape[1])]).all()
+
+
+@pytest.mark.parametrize("share,depth,without", [(1.0, 4, 1), (0.7, 5, None), (1.0, 6, None)])
+def test_boosting_counts_changed_signs_and_smaller_children(monkeypatch, share, depth, without):
+    """Trees are those of whole counts at each stage; behind the first, the root takes the rows whose sign changed."""
+    from growthcast.models import binned as T, fitting
+    rng = np.random.default_rng(9)
+    x, n = _whole_table(rng), 4_000
+    y = (x[:, 0] + 3.0 * x[:, 4] * (x[:, 3] > 20) + rng.integers(0, 15, n))[:, None]
+    data = fitting.Arrays(rng.permutation(n), x, rng.integers(0, 3, n), y)
+    job = fitting.BoostJob(12, 0.1, share, 5, T.Rule(depth, 2), 0, without)
+    seen, plain = [], T.Together.sums
+
+    def counted(self, value, rows=None):
+        seen.append(len(value) if rows is None else len(rows))
+        return plain(self, value, rows)
+
+    monkeypatch.setattr(T.Together, "sums", counted)
+    start, trees, f = fitting.boost(data, job)
+    if share == 1.0:
+        assert sum(seen) <= n * (1 + (depth - 1) / 2 * 12) + 11 * n / 3
+    monkeypatch.setattr(fitting, "DEPTH_BY_NODES", 0)
+    whole = fitting.boost(data, job)
+    assert start == whole[0] and trees == whole[1] and (f == whole[2]).all() and len(trees) == 12
+
+
 @pytest.mark.parametrize("groups", [3, 2_000])
 def test_lower_medians_of_few_and_many_groups(groups):
     from growthcast.models import binned as T
