@@ -648,6 +648,31 @@ def test_boosting_counts_changed_signs_and_smaller_children(monkeypatch, share,
     assert start == whole[0] and trees == whole[1] and (f == whole[2]).all() and len(trees) == 12
 
 
+def test_forest_trees_are_those_of_plain_counts():
+    """Nodes that lie together, some small ones at a time, split like nodes that are looked up row by row."""
+    from growthcast.models import binned as T
+    rng = np.random.default_rng(10)
+    x = _whole_table(rng)
+    weight = T.bootstrap(np.arange(len(x)), 3, 1)
+    y = x[:, 0] + 2.0 * x[:, 5] + rng.integers(0, 9, len(x))
+    rows = np.flatnonzero(weight)
+    some, place = T.grow(x[rows], None, y[rows], weight[rows], T.Rule(1_000, 12, features=3), 77)
+    # targets that are not whole are summed feature by feature, node by node, as before
+    plain, there = T.grow(x[rows], None, y[rows] * (1 + 2.0 ** -40), weight[rows], T.Rule(1_000, 12, features=3), 77)
+    assert (some.feature, some.threshold, some.left, some.right) == (plain.feature, plain.threshold, plain.left, plain.right)
+    assert len(some.feature) > 100 and (place == there).all() and np.allclose(some.value, plain.value)
+    drawn = np.bincount(place, weight[rows])
+    assert drawn[drawn > 0].min() >= 12 and set(np.flatnonzero(drawn)) == {k for k, f in enumerate(some.feature) if f < 0}
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(T, "ROWS_OF_NODES", 100)
+        m.setattr(T, "NODES_OF_ROWS", 5)
+        sums = T._sums_of_nodes
+        m.setattr(T, "_sums_of_nodes", lambda *a: seen.append(len(a[3])) or sums(*a))
+        again, _ = T.grow(x[rows], None, y[rows], weight[rows], T.Rule(1_000, 12, features=3), 77)
+    assert again == some and max(seen) <= 5 and sum(seen) < len(some.feature)
+
+
 @pytest.mark.parametrize("groups", [3, 2_000])
 def test_lower_medians_of_few_and_many_groups(groups):
     from growthcast.models import binned as T
@@ -659,6 +684,30 @@ def test_lower_medians_of_few_and_many_groups(groups):
         assert found[g] == (own[(len(own) - 1) // 2] if own else 0.0)
 
 
+def test_rows_go_down_forests_by_whole_numbers():
+    """Sums over trees of thresholds and values that meet exactly, NaN and none."""
+    import pandas as pd
+
+    from growthcast.models import trees as TR
+    from growthcast.models.binned import FlatTree
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 6, (50, 2)) / 2
+    x[::9, 1] = np.nan
+    trees = [FlatTree([0, -1, 1, -1, -1], [float(t), 0.0, 1.5, 0.0, 0.0], [1, -1, 3, -1, -1], [2, -1, 4, -1, -1], [0.0, 0.5, 0.0, 1.25, 4.0]) for t in (0.5, 1.0, 2.0)]
+    held = pd.DataFrame([{"horizon": 1 + i % 2, **{k: np.array(v) for k, v in t._asdict().items()}} for i, t in enumerate([*trees, FlatTree([-1], [0.0], [-1], [-1], [7.0])])])
+    pdf = pd.DataFrame({"row_id": range(50), "split": "test", "base": 1.0, "x": list(x)})
+    want = np.zeros((50, 2))
+    for h, t in zip(held["horizon"], [*trees, None]):
+        want[:, h - 1] += 7.0 if t is None else t.score(x)
+    code, cut = TR._codes_of(x, np.array([0, 0, 1, -1]), np.array([0.5, 2.0, 1.5, 0.0]))
+    assert code.dtype == cut.dtype == np.uint8 and cut[:3].tolist() == [0, 1, 0] and ((code[:, 1] > 0) == ~(x[:, 1] <= 1.5)).all()
+    for rows in (1_000, 7):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(TR, "ROWS_DOWN", rows)
+            assert (np.array(TR._sums_of(2)(pdf, held)["sums"].tolist()) == want).all()
+    assert len(TR._sums_of(2)(pdf.iloc[:0], held)) == 0
+
+
 def test_forest_is_scored_without_the_driver(spark, monkeypatch):
     """Trees meet rows in a shuffle; the driver gets numbers of nodes and rows only."""
     from pyspark.sql.classic.dataframe import DataFrame as Classic
